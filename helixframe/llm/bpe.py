@@ -23,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from helixframe.llm.common import buffers, slices
+from helixframe.llm.common import buffers, segment_hash, slices
 
-#: Fixed value: the published pre-tokenization pattern of byte-level BPE.
+#: Fixed value: the published pre-tokenization pattern of byte-level BPE, which split_places follows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 64  # bytes; longer words are read one by one
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_500_000
+TABLE_BITS = 22
+WORD_BASE = 0x9E3779B97F4A7C15
 SLICE = 4 << 20
 
 
@@ -230,76 +232,183 @@ class Automaton:
 
 
 def library_encoder(definition: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Words to ids by the tokenizers library."""
+    """Words to ids by the tokenizers library.
+
+    Words that begin with a space and have no other are split again at just these spaces,
+    so thousands go through the library as one text; its word numbers tell them apart.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
     tokenizer.no_padding()
     tokenizer.no_truncation()
+    plain = regex.compile(r" [^\s]+")
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
-        counts = np.array([len(x) for x in ids], dtype=np.int64)
-        return np.array([i for x in ids for i in x], dtype=np.uint32), counts
+        out, counts = [], np.zeros(len(words), dtype=np.int64)
+        joined = [i for i, w in enumerate(words) if plain.fullmatch(w)]
+        for k in range(0, len(joined), 4096):
+            part = joined[k : k + 4096]
+            e = tokenizer.encode("".join([words[i] for i in part]), add_special_tokens=False)
+            of = np.array(e.word_ids, dtype=np.int64)
+            counts[part] = np.bincount(of, minlength=len(part))
+            out.append((np.array(part)[of], np.array(e.ids, dtype=np.uint32)))
+        known = set(joined)
+        rest = [i for i in range(len(words)) if i not in known]
+        for i, e in zip(rest, tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
+            counts[i] = len(e.ids)
+            out.append((np.full(len(e.ids), i), np.array(e.ids, dtype=np.uint32)))
+        if not out:
+            return np.zeros(0, dtype=np.uint32), counts
+        owner, ids = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+        return ids[np.argsort(owner, kind="stable")], counts
 
     return encode
 
 
+_SPACE_KIND, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
+
+
+def _kinds() -> np.ndarray:
+    """Whether each code point is white space, a letter, a number or something else."""
+    table = np.full(0x110000, _OTHER, dtype=np.uint8)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text = "".join(map(chr, points))
+    at = np.array(points)
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE_KIND, r"\s+")):
+        for m in regex.finditer(pattern, text):
+            table[at[m.start() : m.end()]] = kind
+    return table
+
+
+_kind_of: list[np.ndarray] = []
+
+
+def split_places(points: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the words of PATTERN begin in the code points of texts that begin at ``texts``.
+
+    Words are runs of letters, of numbers or of other characters with the blank before
+    them, and runs of white space without the last character if something follows, which
+    is a word of its own unless it is such a blank; an apostrophe without a blank before it
+    takes the letters s, t, m, d, re, ve or ll after it.
+    """
+    if not _kind_of:
+        _kind_of.append(_kinds())
+    n = len(points)
+    kind = _kind_of[0][points]
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[texts[texts < n]] = True
+    word = begins[:n].copy()
+    word[1:] |= kind[1:] != kind[:-1]
+    space = kind == _SPACE_KIND
+    # the last white space before something, and what follows a blank
+    last = np.flatnonzero(space[:-1] & ~space[1:] & ~begins[1:n]) if n > 1 else np.zeros(0, dtype=np.int64)
+    word[last] = True
+    word[last[points[last] == 32] + 1] = False
+    p = np.flatnonzero((points[:-1] == 39) & word[: n - 1] & ~begins[1:n]) if n > 1 else np.zeros(0, dtype=np.int64)
+    if len(p):
+        padded = np.append(points, [0, 0, 0]).astype(np.int64)
+        one = np.isin(padded[p + 1], [ord(c) for c in "stmd"])
+        two = np.isin(padded[p + 1] * 0x110000 + padded[p + 2], [ord(a) * 0x110000 + ord(b) for a, b in ("re", "ve", "ll")]) & ~np.append(begins, [True, True])[p + 2]
+        word[p[one | two] + 1] = False
+        for after in (p[one] + 2, p[two] + 3):
+            after = after[after < n]
+            after = after[kind[after] == _LETTER]
+            word[after] = True
+    return np.flatnonzero(word)
+
+
 class TextEncoder:
     """Whole texts to ids: pre-split, then each distinct word once by ``encode_words``.
 
-    Ids of words seen before are kept, up to CACHE_WORDS words; then the store is
-    emptied, so memory stays bounded whatever the corpus.
+    Words seen before are found by their hash in an open-addressed table, up to
+    CACHE_WORDS of them; then the table is emptied, so memory stays bounded whatever the
+    corpus.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int], pattern: str = PATTERN):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int]):
         self._encode, self._special = encode_words, special
-        self._words = regex.compile(pattern)
         self._cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self._clear()
 
     def _clear(self) -> None:
-        self._index: dict[str, int] = {}
+        self._key, self._value = np.zeros(1 << TABLE_BITS, dtype=np.uint64), np.zeros(1 << TABLE_BITS, dtype=np.int32)
         self._ids, self._begin = np.zeros(1 << 20, dtype=np.uint32), np.zeros(1 << 18, dtype=np.int64)
-        self._used = 0
-        for text, i in self._special.items():
-            self._add([text], np.array([i], dtype=np.uint32), np.array([1]))
+        self._used = self._n = 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 for those not in the table."""
+        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        key = self._key[slot]
+        out = np.where(key == h, self._value[slot], -1)
+        live = np.flatnonzero((key != h) & (key != 0))
+        while len(live):
+            slot[live] = (slot[live] + 1) & ((1 << TABLE_BITS) - 1)
+            key = self._key[slot[live]]
+            hit = key == h[live]
+            out[live[hit]] = self._value[slot[live[hit]]]
+            live = live[~hit & (key != 0)]
+        return out
 
-    def _add(self, words: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
-        n = len(self._index)
+    def _add(self, h: np.ndarray, words: list[str]) -> None:
+        flat, counts = self._encode(words)
         while self._used + len(flat) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        while n + len(words) + 1 > len(self._begin):
+        while self._n + len(words) + 1 > len(self._begin):
             self._begin = np.concatenate([self._begin, np.zeros_like(self._begin)])
         self._ids[self._used : self._used + len(flat)] = flat
-        self._begin[n + 1 : n + len(words) + 1] = self._used + np.cumsum(counts)
+        self._begin[self._n + 1 : self._n + len(words) + 1] = self._used + np.cumsum(counts)
         self._used += len(flat)
-        self._index.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def _split(self, text: str) -> list[str]:
-        if self._cut is None or not any(s in text for s in self._special):
-            return self._words.findall(text)
-        parts = self._cut.split(text)
-        return [w for k, p in enumerate(parts) for w in ([p] if k % 2 else self._words.findall(p))]
+        slot, live = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.arange(len(h))
+        while len(live):
+            free = live[self._key[slot[live]] == 0]
+            self._key[slot[free]] = h[free]
+            won = free[self._key[slot[free]] == h[free]]
+            self._value[slot[won]] = self._n + won
+            done = np.zeros(len(h), dtype=bool)
+            done[won] = True
+            live = live[~done[live]]
+            slot[live] = (slot[live] + 1) & ((1 << TABLE_BITS) - 1)
+        self._n += len(words)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and text ends of texts without special tokens."""
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+        begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        starts = split_places(points, begin[:-1])
+        ends = np.append(starts[1:], len(points)) if len(starts) else starts
+        h = segment_hash(points.astype(np.uint64) + np.uint64(1), starts, ends, WORD_BASE)
+        h[h == 0] = 1
+        at = self._find(h)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new, first = np.unique(h[missing], return_index=True)
+            if self._n + len(new) > CACHE_WORDS:
+                self._clear()
+                new, first = np.unique(h, return_index=True)
+                missing = np.arange(len(h))
+            place = missing[first]
+            self._add(new, [joined[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)])
+            at[missing] = self._find(h[missing])
+        size = self._begin[at + 1] - self._begin[at]
+        stop = np.cumsum(size)
+        n = int(stop[-1]) if len(stop) else 0
+        ids = self._ids[np.repeat(self._begin[at] - (stop - size), size) + np.arange(n)] if n else np.zeros(0, dtype=np.uint32)
+        return ids, np.concatenate([[0], stop])[np.searchsorted(starts, begin)].astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text ends (with a leading 0)."""
-        split = [self._split(t) for t in texts]
-        new = list(set().union(*split).difference(self._index)) if split else []
-        if len(self._index) + len(new) > CACHE_WORDS and len(self._index) > len(self._special):
-            self._clear()
-            new = list(set().union(*split).difference(self._index))
-        if new:
-            self._add(new, *self._encode(new))
-        get, total = self._index.__getitem__, sum(map(len, split))
-        at = np.fromiter((i for words in split for i in map(get, words)), dtype=np.int64, count=total)
-        size = self._begin[at + 1] - self._begin[at]
-        ends = np.cumsum(size)
-        n = int(ends[-1]) if total else 0
-        ids = self._ids[np.repeat(self._begin[at] - (ends - size), size) + np.arange(n)] if n else np.zeros(0, dtype=np.uint32)
-        word_ends = np.cumsum([len(words) for words in split])
-        text_ends = np.concatenate([[0], np.where(word_ends > 0, np.concatenate([[0], ends])[word_ends], 0)]).astype(np.int64)
-        return ids, text_ends
+        if self._cut is None or not any(s in t for t in texts for s in self._special):
+            return self._plain(texts)
+        pieces, of = [], []
+        for i, t in enumerate(texts):
+            for p in self._cut.split(t):
+                pieces.append(p), of.append(i)
+        ids, ends = self._plain([p if p not in self._special else "" for p in pieces])
+        parts = [np.array([self._special[p]], dtype=np.uint32) if p in self._special else ids[a:b] for p, a, b in zip(pieces, ends, ends[1:], strict=False)]
+        sizes = np.bincount(of, weights=[len(p) for p in parts], minlength=len(texts)).astype(np.int64)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
 
 
 _loaded: dict[tuple[int, str], tuple] = {}

@@ -42,9 +42,10 @@ class WaveletMatrix:
     def build(cls, values: np.ndarray, bits: int | None = None) -> WaveletMatrix:
         v = np.asarray(values, dtype=np.uint32)
         bits = bits or max(1, int(v.max()).bit_length() if len(v) else 1)
+        v = v.astype(np.uint16) if bits <= 16 else v
         zeros, planes = [], []
         for b in range(bits - 1, -1, -1):
-            one = (v >> np.uint32(b) & np.uint32(1)).astype(bool)
+            one = (v & v.dtype.type(1 << b)) != 0
             planes.append(np.packbits(one, bitorder="little"))
             low = v[~one]
             zeros.append(len(low))
@@ -117,13 +118,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All values in order, from the lowest plane up."""
-        values = np.zeros(self.n, dtype=np.uint32)
+        values = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
         for b, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
             one = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             above = np.empty_like(values)
-            above[~one], above[one] = values[:zeros], values[zeros:] | np.uint32(1 << b)
+            above[~one], above[one] = values[:zeros], values[zeros:] | values.dtype.type(1 << b)
             values = above
-        return values
+        return values.astype(np.uint32)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
