@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import Words, buffers, mapped, ship, slices, written
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_KEYS = 1 << 20
 KEY_BYTES = 5  # of a key below its bucket's bits; a longer key's rest is left out, which at most flags more
 NULL_ID = np.iinfo(np.int64).min  # null ids rank first

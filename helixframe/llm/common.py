@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
+
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 1 << 20  # text hashed by numpy at once; bounds the temporaries
+SLICE_BYTES = 1 << 19  # text hashed by numpy at once; bounds the temporaries
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -17,7 +17,7 @@ from helixframe.llm.common import WORD_CLASS, written
 #: The weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
 SYMBOLS = "#*$%&|<>"
-RANGE_ROWS = 4096  # rows of a source's key range, about
+RANGE_ROWS = 256  # rows of a source's key range, about
 
 
 def word_count(text: Column) -> Column:

@@ -28,7 +28,7 @@ class _Windows:
         a, b, doc, start, counts = [], [], [], [], []
         for first, _, words in block.words(hashes=hashes):
             at, h = words.grams(length)
-            a.append(h), doc.append(words.doc[at] + first), start.append(at - words.first[words.doc[at]]), counts.append(words.counts)
+            a.append(h), doc.append((words.doc[at] + first).astype(np.int32)), start.append((at - words.first[words.doc[at]]).astype(np.int32)), counts.append(words.counts)
             if hashes > 1:
                 b.append(words.grams(length, 1)[1])
         self.a, self.doc, self.start = np.concatenate(a), np.concatenate(doc), np.concatenate(start)
