@@ -206,17 +206,18 @@ def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _linkable(rows: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
-    """``rows`` without the sets that have too many elements to themselves.
+    """``rows`` without the sets that have too many elements which no other class has.
 
-    Of a set's n elements only ``free`` occur in another set of ``rows``. With a partner of
-    m elements it must share percent / (100 + percent) of n + m, so it can do without all
-    partners if that is more than ``free`` for the smallest m that shares a signature.
+    Of a set's n elements ``free`` occur in another class of ``rows`` too. With a partner of
+    m elements there it must share percent / (100 + percent) of n + m, so it can do without
+    all partners if that is more than ``free`` for the smallest m that shares a signature.
     """
-    docs = rows.select("rep").distinct()
-    elements = kept.join(docs, "rep", "left_semi").select("rep", F.explode("shingles").alias("e"))
-    alone = elements.groupBy("e").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    docs = rows.select("rep", "root").distinct()
+    elements = written(kept.select("rep", F.explode("shingles").alias("e")).join(docs, "rep"), "elements")
+    shared = elements.groupBy("e").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("e")
+    free = elements.join(shared, "e").groupBy("rep").agg(F.count("*").alias("free"))
     low = rows.groupBy("signature").agg(F.min("n").alias("low"))
-    counted = rows.join(alone, "rep", "left").withColumn("free", F.col("n") - F.coalesce("alone", F.lit(0))).join(low, "signature")
+    counted = rows.drop("free").join(free, "rep").join(low, "signature")
     return counted.where(F.col("free") * (100 + percent) >= (F.col("n") + F.col("low")) * percent).select("signature", "rep", "n", "free")
 
 
@@ -232,20 +233,26 @@ def _classes(kept: DataFrame, percent: int) -> DataFrame:
     rows = written(_rare_signatures(kept), "rare")
     links = written(_shared_links(_fitting(_heads(rows.withColumn("root", F.col("rep")), F.col("rep")), percent), kept, percent), "links")
     roots = components(links)
-    rows = written(_linkable(_open(rows, roots), kept, percent), "linkable")
+    for _ in range(2):  # fewer sets share fewer elements
+        rows = written(_linkable(_open(rows, roots), kept, percent), "linkable")
     # another of each signature by chance: a set meets as many as it has signatures
     rest = _open(rows, roots)
     found = written(_shared_links(_fitting(_heads(rest, F.xxhash64("rep", "signature")), percent), kept, percent), "links")
     if not found.isEmpty():
         links = links.unionByName(found)
         roots = components(links)
+        rows = _linkable(_open(rows, roots), kept, percent)
     rest = written(_open(rows, roots), "open")
     if rest.isEmpty():
         return roots
-    left = rest.select("signature", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("free").alias("fa"))
-    right = rest.select("signature", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("free").alias("fb"))
-    can = (left["ra"] < right["rb"]) & (F.least("fa", "fb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    pairs = left.join(right, (left["signature"] == right["signature"]) & can)
+    # a pair comes up at the first signature it shares, and not again at the others
+    own = rest.groupBy("rep").agg(F.collect_list("signature").alias("all"))
+    rest = rest.join(own, "rep")
+    left = rest.select("signature", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("free").alias("fa"), F.col("all").alias("la"))
+    right = rest.select("signature", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("free").alias("fb"), F.col("all").alias("lb"))
+    can = (F.col("ra") < F.col("rb")) & (F.least("fa", "fb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    first = F.array_min(F.array_intersect("la", "lb")) == left["signature"]
+    pairs = left.join(right, (left["signature"] == right["signature"]) & can & first).select("a", "na", "b", "nb")
     found = written(_shared_links(_fitting(pairs, percent), kept, percent), "links")
     return roots if found.isEmpty() else components(links.unionByName(found))
 
