@@ -172,7 +172,11 @@ def fit(training: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
     if not n0 or not n1:
         odds = math.log((n1 + 1) / (n0 + 1))
         return Model(np.zeros(N_FEATURES), 0.0, 1.0, odds)
-    rows = training.select("features", "label", F.md5(F.col("doc_id").cast("string")).alias("at")).orderBy("at", "label", "features").limit(sample_rows).collect()
+    at = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 13), 16, 10).cast("bigint")
+    hashed = training.select("features", "label", at.alias("at"))
+    if n0 + n1 > sample_rows:  # so that the driver gets few more rows than it keeps
+        hashed = hashed.where(F.col("at") < int(2**52 * (1.1 * sample_rows + 500) / (n0 + n1)))
+    rows = hashed.orderBy("at", "label", "features").limit(sample_rows).collect()
     sets = [np.frombuffer(r["features"], dtype=np.uint16) for r in rows]
     labels = np.array([r["label"] for r in rows])
     weights, bias = fit_hinge(sets, labels, ratios)
