@@ -13,7 +13,7 @@ def read_annotations(spark: SparkSession, path: str, *, raw: bool = False) -> Da
     """Tab-separated with a header; empty fields are null. ``raw`` takes quotes as text and keeps empties."""
     reader = spark.read.schema(ANNOTATIONS).option("sep", "\t").option("header", True)
     if raw:
-        return reader.option("quote", "").option("emptyValue", "").option("nullValue", "\0").csv(path)
+        return reader.option("quote", "").csv(path).fillna("")
     return reader.option("escape", '"').csv(path)
 
 

@@ -18,33 +18,26 @@ def read_lines(spark: SparkSession, path: str, partitions: int | None = None) ->
     return lines.repartition(partitions) if partitions else lines
 
 
-def _parts(line: Column) -> dict[str, Column]:
-    text = trim_all(line)
-    fields = F.split(text, "\t", -1)
-    at = F.array_position(F.split(F.get(fields, F.lit(8)), ":", -1), "GT")
-    genotype = F.when(at > 0, F.get(F.split(F.get(fields, F.lit(9)), ":", -1), (at - 1).cast("int")))
-    return {"text": text, "fields": fields, "at": at, "gt": genotype}
-
-
 def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     """Every line with its variant columns and ``reject``, null for a valid record.
 
     Reasons, first that fits: comment (or blank), arity, position, format, genotype.
     """
-    p = _parts(F.col(column))
-    # positions of up to 10 digits after leading zeros fit; longer ones are out of range
-    digits = F.regexp_replace(F.regexp_extract(F.get(p["fields"], F.lit(1)), r"^\+?([0-9]+)$", 1), "^0+(?=[0-9])", "")
-    pos = F.when((F.length(digits) > 0) & (F.length(digits) <= 10), digits.cast("bigint"))
-    pos = F.when(pos <= MAX_POSITION, pos)
+    field = lambda i: F.get(F.col("fields"), F.lit(i))
+    split = lines.select(trim_all(F.col(column)).alias("text")).withColumn("fields", F.split("text", "\t", -1))
+    # without leading zeros, positions in range have at most 10 digits
+    digits = F.regexp_extract(field(1), r"^\+?0*([0-9]+)$", 1)
+    keyed = split.select("text", "fields", F.when(F.length(digits).between(1, 10), digits.cast("bigint")).alias("n"), F.coalesce(F.array_position(F.split(field(8), ":", -1), "GT"), F.lit(0)).alias("gt_at"))
+    gt = F.when(F.col("gt_at") > 0, F.get(F.split(field(9), ":", -1), (F.col("gt_at") - 1).cast("int")))
+    read = keyed.select("text", "fields", F.when(F.col("n") <= MAX_POSITION, F.col("n")).alias("pos"), "gt_at", gt.alias("gt_raw"))
     reject = (
-        F.when((F.length(p["text"]) == 0) | p["text"].startswith("#"), "comment")
-        .when(F.size(p["fields"]) < 10, "arity")
-        .when(pos.isNull(), "position")
-        .when(F.coalesce(p["at"], F.lit(0)) == 0, "format")
-        .when(p["gt"].isNull(), "genotype")
+        F.when((F.length("text") == 0) | F.col("text").startswith("#"), "comment")
+        .when(F.size("fields") < 10, "arity")
+        .when(F.col("pos").isNull(), "position")
+        .when(F.col("gt_at") == 0, "format")
+        .when(F.col("gt_raw").isNull(), "genotype")
     )
-    names = [F.get(p["fields"], F.lit(i)).alias(n) for i, n in ((0, "chrom"), (2, "rsid"), (3, "ref"), (4, "alt"))]
-    return lines.select(names[0], pos.alias("pos"), *names[1:], p["gt"].alias("gt_raw"), reject.alias("reject"))
+    return read.select(field(0).alias("chrom"), "pos", field(2).alias("rsid"), field(3).alias("ref"), field(4).alias("alt"), "gt_raw", reject.alias("reject"))
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
