@@ -27,7 +27,7 @@ def word_count(text: Column) -> Column:
 def symbol_weight(text: Column) -> Column:
     """Quality weight of a text: 1 without symbols, less the more of its characters are symbols."""
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    return F.coalesce(F.length(text) / (F.length(text) + symbols * 10), F.lit(1.0))
+    return F.coalesce(F.try_divide(F.length(text), F.length(text) + symbols * 10), F.lit(1.0))
 
 
 def sampling_key(doc_id: Column, weight: Column, seed: str) -> Column:
