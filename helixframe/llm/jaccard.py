@@ -169,7 +169,7 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         order = np.argsort(of, kind="stable")
         of, value, code = of[order], value[order].astype(np.int64), (need[of, which] * 2 + which)[order]
         picked, begin = np.unique(of, return_index=True)
-        ends = np.append(begin[1:], len(of))
+        ends = np.append(begin[1:], len(of))[: len(begin)]
         lists = lambda x: pa.array([x[a:b] for a, b in zip(begin, ends, strict=True)], pa.list_(pa.int64()))
         return pa.table({"rep": pa.array(block.ids[picked], pa.int64()), "signatures": lists(value), "needs": lists(code), "shingles": pa.array([sets[i].astype(np.int64) for i in picked], pa.list_(pa.int64()))})
 

@@ -49,6 +49,13 @@ def test_similarity_classes(spark, docs, odd_docs, no_docs):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == classes(rows) and len(found) == len(rows)
 
 
+def test_blocks_without_partners(spark):
+    rows = [(i, f"only {i} here " * (i % 9)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(df).collect()} == classes(rows)
+    assert substrings.remove_repeats(df).where("n_removed > n_words").count() == 0
+
+
 def test_edited_copies(spark):
     """A family around the threshold: each pair by brute force."""
     import random
