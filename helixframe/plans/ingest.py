@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 from helixframe.sources.store import Store
-from helixframe.sources.vcf import parsed, read_lines
+from helixframe.sources.vcf import parse_lines, read_lines
 
 STEPS = ("DOWNLOADING_S3", "PARSING_VCF", "VALIDATING", "COMPLETED", "ERROR")
 
@@ -64,7 +64,7 @@ class Ingestion:
             self._say("PARSING_VCF", path, 55, "parsing records")
 
             def write() -> None:
-                rows = parsed(lines).where("reject is null").drop("reject")
+                rows = parse_lines(lines)
                 if rows.isEmpty():
                     raise VariantFileError(f"{path} has no valid record")
                 self.store.write_variants(rows, user, mode)

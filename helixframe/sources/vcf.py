@@ -18,26 +18,33 @@ def read_lines(spark: SparkSession, path: str, partitions: int | None = None) ->
     return lines.repartition(partitions) if partitions else lines
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as the only column, worked out once a row: filters above don't move below it."""
+    return df.select(F.explode(F.array(value)).alias(name))
+
+
 def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     """Every line with its variant columns and ``reject``, null for a valid record.
 
-    Reasons, first that fits: comment (or blank), arity, position, format, genotype.
+    Reasons, first that fits: comment (or blank, or null), arity, position, format, genotype.
     """
-    field = lambda i: F.get(F.col("fields"), F.lit(i))
-    split = lines.select(trim_all(F.col(column)).alias("text")).withColumn("fields", F.split("text", "\t", -1))
-    # without leading zeros, positions in range have at most 10 digits
-    digits = F.regexp_extract(field(1), r"^\+?0*([0-9]+)$", 1)
-    keyed = split.select("text", "fields", F.when(F.length(digits).between(1, 10), digits.cast("bigint")).alias("n"), F.coalesce(F.array_position(F.split(field(8), ":", -1), "GT"), F.lit(0)).alias("gt_at"))
-    gt = F.when(F.col("gt_at") > 0, F.get(F.split(field(9), ":", -1), (F.col("gt_at") - 1).cast("int")))
-    read = keyed.select("text", "fields", F.when(F.col("n") <= MAX_POSITION, F.col("n")).alias("pos"), "gt_at", gt.alias("gt_raw"))
+    split = _once(lines, "f", F.split(trim_all(F.coalesce(F.col(column), F.lit(""))), "\t", -1))
+    field = lambda i: F.get(F.col("f"), F.lit(i))
+    rest = F.translate(field(1), "0123456789", "")
+    whole = (rest == "") | ((rest == "+") & field(1).startswith("+"))
+    at = F.coalesce(F.array_position(F.split(field(8), ":", -1), "GT"), F.lit(0))
+    keyed = _once(split, "k", F.struct("f", F.when(whole, field(1).try_cast("bigint")).alias("n"), at.alias("at"), F.split(field(9), ":", -1).alias("sample")))
+    genotype = F.when(F.col("k.at") > 0, F.get("k.sample", (F.col("k.at") - 1).cast("int")))
+    field = lambda i: F.get(F.col("k.f"), F.lit(i))
     reject = (
-        F.when((F.length("text") == 0) | F.col("text").startswith("#"), "comment")
-        .when(F.size("fields") < 10, "arity")
-        .when(F.col("pos").isNull(), "position")
-        .when(F.col("gt_at") == 0, "format")
-        .when(F.col("gt_raw").isNull(), "genotype")
+        F.when(field(0).startswith("#") | ((field(0) == "") & (F.size("k.f") == 1)), "comment")
+        .when(F.size("k.f") < 10, "arity")
+        .when(F.coalesce(F.col("k.n") > MAX_POSITION, F.lit(True)), "position")
+        .when(F.col("k.at") == 0, "format")
+        .when(genotype.isNull(), "genotype")
     )
-    return read.select(field(0).alias("chrom"), "pos", field(2).alias("rsid"), field(3).alias("ref"), field(4).alias("alt"), "gt_raw", reject.alias("reject"))
+    pos = F.when(F.col("k.n") <= MAX_POSITION, F.col("k.n"))
+    return keyed.select(field(0).alias("chrom"), pos.alias("pos"), field(2).alias("rsid"), field(3).alias("ref"), field(4).alias("alt"), genotype.alias("gt_raw"), reject.alias("reject"))
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
