@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 with contextlib.suppress(OSError, AttributeError):
-    # arrays of 1 MB and more leave the process when they are freed (glibc's M_MMAP_THRESHOLD)
-    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+    # arrays of 8 MB and more leave the process when they are freed (glibc's M_MMAP_THRESHOLD)
+    ctypes.CDLL("libc.so.6").mallopt(-3, 8 << 20)
 
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 19  # text hashed by numpy at once; bounds the temporaries
