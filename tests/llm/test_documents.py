@@ -105,6 +105,42 @@ def test_substrings(spark, docs, odd_docs, no_docs):
             assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+def test_matching_statistics():
+    """Lengths of the longest earlier match, by brute force, over few different words."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(60):
+        automaton, before = substrings.SuffixAutomaton(), []
+        for _ in range(rng.randrange(1, 7)):
+            words = [rng.randrange(3) for _ in range(rng.randrange(14))]
+            if before and rng.random() < 0.4:
+                words += before[-1][rng.randrange(3) :]
+            seen = {tuple(x[i:j]) for x in before for i in range(len(x)) for j in range(i, len(x) + 1)} | {()}
+            want = []
+            for end in range(1, len(words) + 1):
+                want.append(max(n for n in range(end + 1) if tuple(words[end - n : end]) in seen))
+                seen |= {tuple(words[i:end]) for i in range(end)}
+            assert automaton.feed(words) == want
+            before.append(words)
+
+
+def test_few_words(spark):
+    """Passages that overlap themselves and others, over many blocks."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(d, " ".join(rng.choice(("a", "b")) * rng.randrange(1, 3) for _ in range(rng.randrange(70)))) for d in range(60)] + [(d, "a " * (d % 50)) for d in range(60, 90)]
+    seen, found = set(), {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(20), length=6).collect()}
+    for d, text in rows:
+        w, gone = text.split(), set()
+        for i in range(len(w) - 5):
+            if tuple(w[i : i + 6]) in seen:
+                gone.update(range(i, i + 6))
+            seen.add(tuple(w[i : i + 6]))
+        assert found[d] == len(gone)
+
+
 def test_fingerprints(spark, docs, odd_docs, no_docs):
     for table in (docs, odd_docs):
         rows = sorted(((r.doc_id, r.text or "") for r in table.collect()), key=lambda r: rank(r[0]))
