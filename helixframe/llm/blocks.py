@@ -84,20 +84,21 @@ def bucket_bits(blocks: DataFrame) -> int:
     return min(24, max(6, math.ceil(math.log2(max(1, size / 6 / BUCKET_KEYS)))))
 
 
-def _bounds(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket's keys begin in a sorted array, and the end."""
-    steps = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.append(np.searchsorted(keys, steps), len(keys))
+def runs(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted bucket numbers the distinct ones, and where each begins, with the end."""
+    begins = np.ones(len(buckets), dtype=bool)
+    begins[1:] = buckets[1:] != buckets[:-1]
+    at = np.flatnonzero(begins)
+    return buckets[at], np.append(at, len(buckets))
 
 
 def key_rows(part: int, keys: np.ndarray, bits: int) -> pa.RecordBatch:
     """Rows (bucket, part, payload) of a block's sorted distinct keys."""
-    at = _bounds(keys, bits)
+    full, at = runs((keys >> np.uint64(64 - bits)).astype(np.int32))
     rest = (keys << np.uint64(bits)) >> np.uint64(64 - 8 * KEY_BYTES)
     packed = np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
-    full = np.flatnonzero(np.diff(at))
-    payload = [packed[at[b] : at[b + 1]].tobytes() for b in full]
-    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([part] * len(full), pa.int64()), pa.array(payload, pa.binary())], ["bucket", "part", "payload"])
+    payload = [packed[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(full), pa.array([part] * len(full), pa.int64()), pa.array(payload, pa.binary())], ["bucket", "part", "payload"])
 
 
 KEY_SCHEMA = "bucket int, part bigint, payload binary"
@@ -134,12 +135,13 @@ def repeated(keys: DataFrame, kind: int = 1) -> DataFrame:
 
 def read_flags(rows: list[dict], kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
     """The bits that came back for a block's sorted distinct keys."""
-    at, out = _bounds(keys, bits), np.zeros(len(keys), dtype=bool)
+    full, at = runs((keys >> np.uint64(64 - bits)).astype(np.int32))
+    out = np.zeros(len(keys), dtype=bool)
     for row in rows:
         if row["kind"] == kind:
-            b = row["bucket"]
-            n = int(at[b + 1] - at[b])
-            out[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(row["flags"], dtype=np.uint8), count=n, bitorder="little").astype(bool)
+            i = int(np.searchsorted(full, row["bucket"]))
+            n = int(at[i + 1] - at[i])
+            out[at[i] : at[i + 1]] = np.unpackbits(np.frombuffer(row["flags"], dtype=np.uint8), count=n, bitorder="little").astype(bool)
     return out
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from helixframe.llm.blocks import FLAG_SCHEMA, KEY_SCHEMA, Block, bucket_bits, flag_table, id_array, key_rows, pack, read_flags, repeated, with_flags
+from helixframe.llm.blocks import FLAG_SCHEMA, KEY_SCHEMA, Block, bucket_bits, flag_table, id_array, key_rows, pack, read_flags, repeated, runs, with_flags
 from helixframe.llm.common import mapped, mix64, ship, written
 
 LENGTH = 20
@@ -131,14 +131,15 @@ class _Candidates:
         begins = np.ones(len(p), dtype=bool)
         begins[1:] = (np.diff(p) != 1) | (np.diff(windows.doc[p]) != 0) | (np.diff(least) != 0)
         at = np.flatnonzero(begins)
-        bucket = (mix64(least[at]) >> np.uint64(64 - bits)).astype(np.int64)
+        bucket = (mix64(least[at]) >> np.uint64(64 - bits)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         self.first, self.sizes = p[at[order]], np.diff(np.append(at, len(p)))[order]  # first windows, numbers of windows
-        self.bounds = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+        self.buckets, self.bounds = runs(bucket[order])
 
     def windows(self, bucket: int) -> np.ndarray:
         """Places of the windows sent to a bucket, in the order sent."""
-        some = slice(self.bounds[bucket], self.bounds[bucket + 1])
+        i = int(np.searchsorted(self.buckets, bucket))
+        some = slice(self.bounds[i], self.bounds[i + 1])
         return _ranges(self.first[some], self.sizes[some])
 
 
@@ -150,14 +151,14 @@ def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _passage_rows(block: Block, windows: _Windows, found: _Candidates, length: int) -> pa.Table:
     """Rows (bucket, part, payload): number of passages, their shards, ids, starts and numbers of words, the words."""
-    full, payload = np.flatnonzero(np.diff(found.bounds)), []
-    for bucket in full:
-        some = slice(found.bounds[bucket], found.bounds[bucket + 1])
+    full, payload = found.buckets, []
+    for i in range(len(full)):
+        some = slice(found.bounds[i], found.bounds[i + 1])
         first, n_words = found.first[some], found.sizes[some] + length - 1
         heads = [windows.least[first], block.ids[windows.doc[first]].view(np.uint64), windows.start[first].astype(np.uint64), n_words.astype(np.uint64)]
         words = windows.words[_ranges(windows.word[first].astype(np.int64), n_words)]
         payload.append(np.concatenate([np.array([len(first)], dtype=np.uint64), *heads, words]).tobytes())
-    return pa.table({"bucket": pa.array(full.astype(np.int32)), "part": pa.array([block.part] * len(full), pa.int64()), "payload": pa.array(payload, pa.binary())})
+    return pa.table({"bucket": pa.array(full), "part": pa.array([block.part] * len(full), pa.int64()), "payload": pa.array(payload, pa.binary())})
 
 
 def _matched(table: pa.Table, length: int) -> pa.Table:
