@@ -183,6 +183,16 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     return out.select(blank("id").alias("doc_id"), "n_shingles", blank("component_id").alias("component_id"))
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with an aggregate of theirs by ``key``, which may be hot.
+
+    The aggregate is written first: then both sides of the join are plain exchanges, of
+    which the adaptive planner may split a hot key's rows, or the aggregate is small
+    enough to be broadcast by its measured size.
+    """
+    return rows.join(written(groups, "groups"), key)
+
+
 def _rare_signatures(kept: DataFrame) -> DataFrame:
     """(signature, rep, n): for each set the signatures by which its partners can be found.
 
@@ -193,7 +203,7 @@ def _rare_signatures(kept: DataFrame) -> DataFrame:
     rows = rows.select("rep", "n", F.col("s.signatures").alias("signature"), (F.col("s.needs") % 2).alias("side"), F.floor(F.col("s.needs") / 2).alias("need"))
     often = rows.groupBy("signature").agg(F.count("*").alias("sets")).where("sets > 1")
     own = Window.partitionBy("rep", "side")
-    placed = rows.join(often, "signature").withColumn("f", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("sets", "signature")))
+    placed = _with_groups(rows, often, "signature").withColumn("f", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("sets", "signature")))
     return placed.where("place <= f - need + 1").select("signature", "rep", "n")
 
 
@@ -202,7 +212,7 @@ def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     rows = rows.drop("root")
     placed = rows.join(roots, rows["rep"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("signature").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("signature")
-    return placed.join(mixed, "signature")
+    return _with_groups(placed, mixed, "signature")
 
 
 def _linkable(rows: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
@@ -215,9 +225,9 @@ def _linkable(rows: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     docs = rows.select("rep", "root").distinct()
     elements = written(kept.select("rep", F.explode("shingles").alias("e")).join(docs, "rep"), "elements")
     shared = elements.groupBy("e").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("e")
-    free = elements.join(shared, "e").groupBy("rep").agg(F.count("*").alias("free"))
+    free = _with_groups(elements, shared, "e").groupBy("rep").agg(F.count("*").alias("free"))
     low = rows.groupBy("signature").agg(F.min("n").alias("low"))
-    counted = rows.drop("free").join(free, "rep").join(low, "signature")
+    counted = _with_groups(rows.drop("free").join(free, "rep"), low, "signature")
     return counted.where(F.col("free") * (100 + percent) >= (F.col("n") + F.col("low")) * percent).select("signature", "rep", "n", "free")
 
 
@@ -225,7 +235,7 @@ def _heads(members: DataFrame, rank) -> DataFrame:
     """Of each signature the set that ranks first, with those of other classes: a, na, b, nb."""
     first = F.min(F.struct(rank.alias("r"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")))
     heads = members.groupBy("signature").agg(first.alias("h")).select("signature", "h.a", "h.na", "h.ra")
-    return members.withColumnsRenamed({"rep": "b", "n": "nb"}).join(heads, "signature").where("root <> ra")
+    return _with_groups(members.withColumnsRenamed({"rep": "b", "n": "nb"}), heads, "signature").where("root <> ra")
 
 
 def _classes(kept: DataFrame, percent: int) -> DataFrame:
