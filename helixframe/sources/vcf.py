@@ -28,7 +28,8 @@ def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
 
     Reasons, first that fits: comment (or blank, or null), arity, position, format, genotype.
     """
-    split = _once(lines, "f", F.split(trim_all(F.coalesce(F.col(column), F.lit(""))), "\t", -1))
+    # ten fields and the rest: further samples aren't cut up
+    split = _once(lines, "f", F.split(trim_all(F.coalesce(F.col(column), F.lit(""))), "\t", 11))
     field = lambda i: F.get(F.col("f"), F.lit(i))
     rest = F.translate(field(1), "0123456789", "")
     whole = (rest == "") | ((rest == "+") & field(1).startswith("+"))
