@@ -40,7 +40,7 @@ def test_decode(spark, gt, like, exact):
 
 def test_parser_edges(spark):
     tail = "rs1\tA\tC\t9\tP\t.\t"
-    good = ["1\t5\t" + tail + "GT\t0/1", "1\t+5\t" + tail + "GT\t0/1", "1\t4294967295\t" + tail + "GT\t0/1", "1\t5\t" + tail + "DP:GT:GQ\t3:1|1:9", "1\t5\t" + tail + "GT\t0/1\r", "1\t5\t" + tail + "DP:GT\t3:", "  1\t5\t" + tail + "GT\t0/1 ", "1\t000000000000005\t" + tail + "GT\t0/1"]
+    good = ["1\t5\t" + tail + "GT\t0/1", "1\t+5\t" + tail + "GT\t0/1", "1\t4294967295\t" + tail + "GT\t0/1", "1\t5\t" + tail + "DP:GT:GQ\t3:1|1:9", "1\t5\t" + tail + "GT\t0/1\r", "1\t5\t" + tail + "DP:GT\t3:", "  1\t5\t" + tail + "GT\t0/1 ", "1\t000000000000005\t" + tail + "GT\t0/1", "1\t5\t" + tail + "GT\t0/1\t1/1\t0/0"]
     bad = [" #c", "", "1\t4294967296\t" + tail + "GT\t0/1", "1\t-1\t" + tail + "GT\t0/1", "1\t 7\t" + tail + "GT\t0/1", "1\t7x\t" + tail + "GT\t0/1", "1\t7.0\t" + tail + "GT\t0/1", "1\t5\t" + tail + "DP:GT\t3", "1\t5\t" + tail + "DP\t3", "1\t5\t" + tail + "GT\t", "1\t99999999999999999999999\t" + tail + "GT\t0/1", None]
     rows = parse_lines(spark.createDataFrame([(x,) for x in good + bad], "value string")).collect()
     assert len(rows) == len(good) and {r.gt_raw for r in rows} == {"0/1", "1|1", ""}
