@@ -239,6 +239,17 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(odd_docs).count() == odd_docs.count() and licenses.scan_licenses(no_docs).count() == 0
 
 
+def test_license_wordings(spark):
+    kept = {"All rights reserved.": "Proprietary", "Licensed under the MIT License.": "MIT", "Copyright (c) 2024 X. All rights reserved.": "Proprietary", "Released under the Apache License 2.0": "Apache-2.0", "Licenced under CC BY-SA 4": "CC-BY-SA-4.0"}
+    other = ["Some rights reserved.", "all rights are not reserved", "Released under the MIT Press.", "Licensed under CC BY 3.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under the Apache License, Version 1.1.", "Released under the BSD 4-Clause License.", "This work is licensed under the GNU Lesser General Public License, version 2.1."]
+    rows = [*kept, *other, *(t for _, t in licenses.TEMPLATES)]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [*kept.values(), *[None] * len(other), *(name for name, _ in licenses.TEMPLATES)]
+    # every line of the documents that speaks of rights is a notice
+    found = licenses.scan_licenses(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("n_blocks > 0").collect()
+    assert found and all(r.n_confirmed == r.n_blocks for r in found)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tokenizers import Tokenizer
