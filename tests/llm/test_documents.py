@@ -250,6 +250,23 @@ def test_license_wordings(spark):
     assert found and all(r.n_confirmed == r.n_blocks for r in found)
 
 
+def test_license_places(spark):
+    many = " ".join(f"w{i}rd" for i in range(20_000))
+    rows = {
+        f"{many} Released under the MIT License. {many}": "MIT",
+        f"{many} Licensed under CC BY-NC 4.0. {many}\n": "CC-BY-NC-4.0",
+        "RELEASED UNDER THE MIT LICENSE.": "MIT",
+        "Released under the MIT License. Docs: Licensed under CC BY 4.0.": "CC-BY-4.0,MIT",
+        "# This work is licensed under the GNU\n# General Public License,\n# version 3. All rights\n# reserved.": "GPL-3.0,Proprietary",
+        "they released it under the sea, licensed or not. Released under the MIT License": "MIT",
+        f"{many} licence {many}": "",
+        "Released under the MIT License. " * 500: "MIT",
+    }
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i].licenses for i in range(len(rows))] == list(rows.values())
+    assert [got[i].n_confirmed for i in range(len(rows))] == [1, 1, 1, 2, 2, 1, 0, 500] and all(r.saved > 0 for r in got.values() if r.n_confirmed)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tokenizers import Tokenizer
