@@ -21,15 +21,16 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?[0-9]{2,4}[ .-]?[0-9]{3,4}|[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3})(?![0-9A-Za-z]|[.-][0-9])",
-    "local_phone": r"(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])",
+    "local_phone": r"(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS.values())
 _START = {k: "^(?:" + v + ")$" for k, v in PATTERNS.items()}
 _DAY0 = "1900-01-01"
 _DAYS = 73049  # to 2099-12-31, both included: 1900-01-01 plus 0..73048
+WALK = 60  # steps to a number in range; two of five dates have a day up to 12
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,9 +65,18 @@ def permute_text(text: Column, key: str, kind: str) -> Column:
     """A string of at most 128 characters to another of the same form.
 
     A digit becomes a digit and a lower-case letter a letter (for kind "secret" a
-    hexadecimal digit another); other characters stay. The string is cut in two halves
-    and each round adds a keyed function of one half to the places of the other.
+    hexadecimal digit another, in capitals if all letters are, else in lower case); other
+    characters stay. The string is cut in two halves and each round adds a keyed function
+    of one half to the places of the other.
     """
+    if kind == "secret":
+        capitals = text.rlike("[A-F]") & ~text.rlike("[a-f]")
+        moved = _moved_text(F.lower(text), key, kind)
+        return let(moved, lambda m: F.when(capitals, F.upper(m)).otherwise(m))
+    return _moved_text(text, key, kind)
+
+
+def _moved_text(text: Column, key: str, kind: str) -> Column:
     half = F.floor(F.length(text) / 2).cast("int")
     left, right = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
 
@@ -139,22 +149,44 @@ def _ip(value: Column, key: str) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
-    """Dates of 1900 to 2099 move within those years; month and day are told apart by range (day first)."""
+    """Dates of 1900 to 2099 move within those years; the day comes first, and the month where only that is a date.
+
+    Dates with the month first stay among those with a day above 12, so that they
+    aren't taken for others.
+    """
     iso = value.rlike("^[0-9]{4}-")
     mark = F.substr(value, F.lit(3), F.lit(1))
-    parsed = F.when(iso, F.try_to_timestamp(value, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(F.regexp_replace(value, "[./]", "-"), F.lit("dd-MM-yyyy")))
+    dashed = F.regexp_replace(value, "[./]", "-")
+    day_first = F.when(iso, F.try_to_timestamp(value, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(dashed, F.lit("dd-MM-yyyy")))
+    month_first = F.when(~iso & day_first.isNull(), F.try_to_timestamp(dashed, F.lit("MM-dd-yyyy")))
+
+    def days(parsed: Column) -> Column:
+        return F.datediff(parsed.cast("date"), F.lit(_DAY0).cast("date")).cast("bigint")
+
+    def body(read: Column) -> Column:
+        day, swapped = read["day"], read["swapped"]
+
+        def date(number: Column) -> Column:
+            return F.date_add(F.lit(_DAY0).cast("date"), number.cast("int"))
+
+        def fits(number: Column) -> Column:
+            return (number < _DAYS) & (~swapped | (F.dayofmonth(date(number)) > 12))
 
-    def body(day: Column) -> Column:
         # a permutation of a range that is no product: walk on until the number falls into it
         def walk(s: Column, i: Column) -> Column:
-            return F.when((i > 0) & (s < _DAYS), s).otherwise(permute(s, F.lit(271).cast("bigint"), F.lit(271).cast("bigint"), key, "date"))
+            return F.when((i > 0) & fits(s), s).otherwise(permute(s, F.lit(271).cast("bigint"), F.lit(271).cast("bigint"), key, "date"))
+
+        number = F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), day, walk)
+
+        def text(n: Column) -> Column:
+            new = date(n)
+            front, back = F.when(swapped, F.date_format(new, "MM")).otherwise(F.date_format(new, "dd")), F.when(swapped, F.date_format(new, "dd")).otherwise(F.date_format(new, "MM"))
+            written = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(front, mark, back, mark, F.date_format(new, "yyyy")))
+            return F.when((day >= 0) & (day < _DAYS) & fits(n), written).otherwise(value)
 
-        number = F.aggregate(F.sequence(F.lit(0), F.lit(24)), day, walk)
-        new = F.date_add(F.lit(_DAY0).cast("date"), number.cast("int"))
-        text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy")))
-        return F.when((day >= 0) & (day < _DAYS) & (number < _DAYS), text).otherwise(value)
+        return let(number, text)
 
-    return let(F.datediff(parsed.cast("date"), F.lit(_DAY0).cast("date")).cast("bigint"), body)
+    return let(F.struct(F.coalesce(days(day_first), days(month_first)).alias("day"), month_first.isNotNull().alias("swapped")), body)
 
 
 def _email(value: Column, key: str) -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -205,6 +206,22 @@ def test_pseudonyms(spark, odd_docs, no_docs):
     assert pii.pseudonymize(odd_docs, "k").columns == odd_docs.columns and pii.pseudonymize(no_docs, "k").count() == 0
 
 
+def test_pseudonym_forms(spark):
+    secret = "9742a250774262d69ad6a86100194ed53da5a0ef"
+    values = ["12/31/1999", "05.27.2001", "31/12/1999", "13/32/1999", "02/30/2001", "555-123-4567", "(555) 123-4567", secret, secret.upper(), secret[:20] + secret[20:].upper()]
+    df = spark.createDataFrame([(i, f"a {v}, b") for i, v in enumerate(values)], "doc_id long, text string")
+    got = [r.text[2:-3] for r in pii.pseudonymize(df, "k").orderBy("doc_id").collect()]
+    assert [i for i, (x, y) in enumerate(zip(values, got)) if x == y] == [3, 4]
+    assert re.fullmatch(r"[01]\d/(1[3-9]|[23]\d)/\d{4}", got[0]) and re.fullmatch(r"[01]\d\.(1[3-9]|[23]\d)\.\d{4}", got[1])
+    assert re.fullmatch(r"\d{3}-\d{3}-\d{4}", got[5]) and re.sub(r"\D", "", got[5]) == re.sub(r"\D", "", got[6])
+    assert re.fullmatch("[0-9a-f]{40}", got[7]) and got[8] == got[7].upper() and got[9].lower() == got[7]
+    # dates with the month first don't meet each other or any with the day first
+    days = spark.range(70000, 72000).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    dates = days.select(F.explode(F.array(F.date_format("d", "MM/dd/yyyy"), F.date_format("d", "dd/MM/yyyy"))).alias("t")).distinct()
+    moved = dates.select("t", pii.pseudonym(F.col("t"), "k").alias("m")).collect()
+    assert len({r.m for r in moved}) == len(moved) and sum(r.t == r.m for r in moved) < 5
+
+
 def test_permutations(spark):
     n = spark.range(1000)
     moved = n.select(pii.permute(F.col("id"), F.lit(25).cast("bigint"), F.lit(40).cast("bigint"), "k", "x").alias("m")).collect()
