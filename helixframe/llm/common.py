@@ -17,6 +17,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 with contextlib.suppress(OSError, AttributeError):
     # arrays of 8 MB and more leave the process when they are freed (glibc's M_MMAP_THRESHOLD)
@@ -47,6 +48,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW = "__row"
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame | None:
+    """``df`` with a number for each row in the column ROW, written, if ``key`` doesn't tell rows apart; else None."""
+    if df.groupBy(key).count().where("count > 1").isEmpty():
+        return None
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

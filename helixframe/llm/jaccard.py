@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.blocks import KEY_SCHEMA, NULL_ID, Block, bucket_bits, key_rows, pack, read_flags, repeated, with_flags
-from helixframe.llm.common import mapped, mix64, written
+from helixframe.llm.common import ROW, WORD_CLASS, mapped, mix64, numbered, written
 from helixframe.llm.components import components
 from helixframe.llm.fingerprint import shingle_sets
 
@@ -267,8 +267,21 @@ def _classes(kept: DataFrame, percent: int) -> DataFrame:
     return roots if found.isEmpty() else components(links.unionByName(found))
 
 
-def one_of_each(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that name their class: one of each group of near copies; ids must be unique."""
-    classes = similarity_classes(docs, key=key, **options).where("doc_id <=> component_id")
-    kept = classes.select(F.col("doc_id").alias("__key"))
-    return docs.join(kept, docs[key].eqNullSafe(kept["__key"]), "left_semi").select(docs.columns)
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Of each group of near copies the row with the smallest id (null before others).
+
+    Where ids repeat, rows are told apart by a number: different texts under one id are
+    documents of their own, and repeated rows, without words too, come down to one.
+    """
+    rows = numbered(docs, key)
+    if rows is None:
+        classes = similarity_classes(docs, key=key, text=text, **options).where("doc_id <=> component_id")
+        kept = classes.select(F.col("doc_id").alias("__key"))
+        return docs.join(kept, docs[key].eqNullSafe(kept["__key"]), "left_semi").select(docs.columns)
+    classes = similarity_classes(rows, key=ROW, text=text, **options).select(F.col("doc_id").alias(ROW), "n_shingles", "component_id")
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(WORD_CLASS)
+    same = F.when(wordless, F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256))
+    ids = rows.select(ROW, F.col(key).alias("__key"), same.alias("same"))
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    kept = classes.join(ids, ROW).groupBy(group, "same").agg(F.min(F.struct("__key", ROW))[ROW].alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import WORD_CLASS, written
+from helixframe.llm.common import ROW, WORD_CLASS, numbered, written
 
 #: The weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -68,10 +68,14 @@ def mix_plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source
     taken with the first it ties with. Rows with one key and one size tie; which of two
     equal rows comes first makes no difference to the result as a whole. Reruns agree.
     """
-    spark = docs.sparkSession
+    return _planned(docs, key, text, source, weight, seed, share, most, weights, [])
+
+
+def _planned(docs: DataFrame, key: str, text: str, source: str, weight: Column | None, seed: str, share: float, most: float, weights: tuple[int, ...], carried: list[str]) -> DataFrame:
+    """The plan with the columns ``carried``, by which the last ties are broken."""
     quality = weight if weight is not None else symbol_weight(F.col(text))
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), quality.alias("w"))
-    sized = written(sized.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), F.col("w"), seed).alias("key")), "mix")
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), quality.alias("w"), *carried)
+    sized = written(sized.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), F.col("w"), seed).alias("key"), *carried), "mix")
     ranges = max(1, sized.count() // RANGE_ROWS)
     sized = sized.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int")).withColumn("none", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
     parts = sized.groupBy("none", "name", "range").agg(F.sum("size").alias("part_size"))
@@ -82,23 +86,26 @@ def mix_plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source
     targets = targets.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target")
     parts = parts.join(targets, ["none", "name"]).drop("part_size")
     rows = sized.join(parts, ["none", "name", "range"])
-    inside = Window.partitionBy("none", "name", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("none", "name", "range").orderBy("key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     rest = F.col("target") - epochs * F.col("source_size")
     copies = epochs + F.when((rest > 0) & (start + F.col("size") / 2 <= rest), 1).otherwise(0)
-    return rows.withColumn("copies", copies.cast("bigint")).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.withColumn("copies", copies.cast("bigint")).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carried)
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: str = "mix", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as the plan takes it.
 
-    Rows are found again by the key, which must be unique here. The plan holds a few
-    numbers per document; the texts are moved once, to meet it.
+    Rows are found again by the key, where it repeats by a number of the row. The plan
+    holds a few numbers per document; the texts are moved once, to meet it.
     """
-    plan = mix_plan(docs, key=key, **options).where("copies > 0").select(F.col("doc_id").alias("__key"), "copies")
-    joined = docs.join(plan, docs[key].eqNullSafe(plan["__key"])).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-    return joined.select(*[docs[c] for c in docs.columns])
+    names, rows = docs.columns, numbered(docs, key)
+    docs, by = (docs, key) if rows is None else (rows, ROW)
+    plan = _planned(docs, key, text, source, weight, seed, share, most, weights, [] if rows is None else [ROW]).where("copies > 0")
+    plan = plan.select(F.col("doc_id" if rows is None else ROW).alias("__key"), "copies")
+    joined = docs.join(plan, docs[by].eqNullSafe(plan["__key"])).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    return joined.select(*[docs[c] for c in names])
 
 
 PLAN_SQL = r"""

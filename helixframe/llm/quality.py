@@ -15,12 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import mapped, word_slices, written
 
 SAMPLE_ROWS = 12_000  # rows that the SVM is fitted on, at most; counts cover all rows
+KEEP_ROWS = 512  # rows scored and filtered at once
 _CLASSES = 32
 _ORDERS = (_CLASSES, _CLASSES**2, _CLASSES**3)
 _BINS = 10
@@ -191,6 +193,12 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
+def _learnt(packed: DataFrame, labels: DataFrame, label: str, sample_rows: int) -> Broadcast:
+    """The model of the labelled rows of ``packed``, broadcast."""
+    known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    return packed.sparkSession.sparkContext.broadcast(fit(packed.join(known, "doc_id"), sample_rows=sample_rows))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs, from its text alone.
 
@@ -198,10 +206,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, label: str = "quality"
     is empty; null labels teach nothing; an id labelled twice takes the greater label.
     """
     packed = written(features(docs), "features")
-    known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    training = packed.where(~held_out()).join(known, "doc_id")
-    model = fit(training, sample_rows=sample_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _learnt(packed.where(~held_out()), labels, label, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,8 +217,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, label: str = "quality"
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier takes for label 1; ids must be unique."""
-    scores = quality_scores(docs, labels, **options)
-    kept = scores.where("predicted = 1").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+def keep_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that the classifier takes for label 1, each by its own text.
+
+    Scored rows aren't looked up by id again, so null and repeated ids make no difference.
+    """
+    shared = _learnt(written(features(docs.where(~held_out())), "features"), labels, label, sample_rows)
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, KEEP_ROWS):
+                rows = batch.slice(at, KEEP_ROWS)
+                yield rows.filter(pa.array(shared.value.scores(list(feature_sets(rows.column(text)))) >= 0.5))
+
+    return mapped(docs, run, docs.schema)

@@ -284,6 +284,31 @@ def test_license_places(spark):
     assert [got[i].n_confirmed for i in range(len(rows))] == [1, 1, 1, 2, 2, 1, 0, 500] and all(r.saved > 0 for r in got.values() if r.n_confirmed)
 
 
+def test_null_and_repeated_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    kept = Counter(r.text for r in quality.keep_quality(docs, labels).collect())
+    assert 0 < sum(kept.values()) < docs.count()
+    none = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 1, F.col("doc_id")))
+    got = quality.keep_quality(none, labels)
+    assert got.schema == none.schema and got.where("doc_id is null").count() == quality.quality_scores(none, labels).where("doc_id is null and predicted = 1").count() > 0
+    # texts a and b are near copies, c is not
+    a = " ".join(f"w{i}" for i in range(60))
+    b, c = a + " more", " ".join(f"x{i}" for i in range(60))
+    rows = [(None, a, "s"), (None, b, "s"), (None, c, "s"), (7, c, "s"), (5, "q r s t u v", "s"), (5, "q r s t u v", "s"), (5, "a b c d e f g", "s"), (6, None, "s"), (6, None, "s"), (6, "", "s"), (None, None, "s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    one = jaccard.one_of_each(table)
+    assert one.columns == table.columns
+    left = Counter((r.doc_id, r.text) for r in one.collect())
+    assert left[None, a] + left[None, b] == 1 and set(left.values()) == {1}
+    assert set(left) - {(None, a), (None, b)} == {(None, c), (5, "q r s t u v"), (5, "a b c d e f g"), (6, None), (6, ""), (None, None)}
+    plan = Counter()
+    for r in mixing.mix_plan(table).collect():
+        plan[r.doc_id, r.size] += r.copies
+    mixed = Counter((r.doc_id, len((r.text or "").split())) for r in mixing.mix(table).collect())
+    assert mixed == +plan and sum(mixed.values()) > 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tokenizers import Tokenizer
