@@ -23,15 +23,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from helixframe.llm.common import buffers, segment_hash, slices
+from helixframe.llm.common import SLICE_BYTES, buffers, slices, tiled_hash
 
 #: Fixed value: the published pre-tokenization pattern of byte-level BPE, which split_places follows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 64  # bytes; longer words are read one by one
-CACHE_WORDS = 1_500_000
-TABLE_BITS = 22
-WORD_BASE = 0x9E3779B97F4A7C15
-SLICE = 4 << 20
+CACHE_WORDS = 700_000
+TABLE_BITS = 20
 
 
 def byte_characters() -> dict[str, int]:
@@ -41,11 +39,30 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def check_supported(spec: dict) -> None:
+    """Raise for a tokenizer file whose words or ids other rules than those of this module decide."""
+    split = spec.get("pre_tokenizer") or {"type": "ByteLevel"}
+    model = spec["model"]
+    wrong = [
+        name
+        for name, bad in (
+            ("normalizer", spec.get("normalizer") is not None),
+            ("pre_tokenizer", split["type"] != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True)),
+            ("model", model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))),
+            ("added_tokens", any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip"))),
+        )
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"byte-level BPE alone is supported, not this {', '.join(wrong)}")
+
+
 class Automaton:
     """Token automaton of a tokenizer file in the JSON form of byte-level BPE."""
 
     def __init__(self, definition: str):
         spec = json.loads(definition)
+        check_supported(spec)
         model, byte = spec["model"], byte_characters()
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
@@ -272,12 +289,11 @@ _SPACE_KIND, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 def _kinds() -> np.ndarray:
     """Whether each code point is white space, a letter, a number or something else."""
     table = np.full(0x110000, _OTHER, dtype=np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, points))
-    at = np.array(points)
-    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE_KIND, r"\s+")):
-        for m in regex.finditer(pattern, text):
-            table[at[m.start() : m.end()]] = kind
+    for low in (*range(0, 0xD800, 0x1000), *range(0xE000, 0x110000, 0x1000)):
+        text = "".join(map(chr, range(low, min(low + 0x1000, 0xD800) if low < 0xD800 else low + 0x1000)))
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE_KIND, r"\s+")):
+            for m in regex.finditer(pattern, text):
+                table[low + m.start() : low + m.end()] = kind
     return table
 
 
@@ -318,12 +334,20 @@ def split_places(points: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(word)
 
 
+def _grown(values: np.ndarray, size: int) -> np.ndarray:
+    """The array, half as long again as often as ``size`` values need."""
+    room = len(values)
+    while room < size:
+        room += room >> 1
+    return values if room == len(values) else np.concatenate([values, np.zeros(room - len(values), dtype=values.dtype)])
+
+
 class TextEncoder:
     """Whole texts to ids: pre-split, then each distinct word once by ``encode_words``.
 
-    Words seen before are found by their hash in an open-addressed table, up to
-    CACHE_WORDS of them; then the table is emptied, so memory stays bounded whatever the
-    corpus.
+    Words seen before are found by their hash in an open-addressed table and compared
+    character by character, up to CACHE_WORDS of them; then the table is emptied, so
+    memory stays bounded whatever the corpus.
     """
 
     def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int]):
@@ -333,8 +357,9 @@ class TextEncoder:
 
     def _clear(self) -> None:
         self._key, self._value = np.zeros(1 << TABLE_BITS, dtype=np.uint64), np.zeros(1 << TABLE_BITS, dtype=np.int32)
-        self._ids, self._begin = np.zeros(1 << 20, dtype=np.uint32), np.zeros(1 << 18, dtype=np.int64)
-        self._used = self._n = 0
+        self._ids, self._begin = np.zeros(1 << 18, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64)
+        self._characters, self._spelt = np.zeros(1 << 20, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64)
+        self._used = self._n = self._length = 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Number of each word, -1 for those not in the table."""
@@ -350,26 +375,46 @@ class TextEncoder:
             live = live[~hit & (key != 0)]
         return out
 
-    def _add(self, h: np.ndarray, words: list[str]) -> None:
+    def _store(self, words: list[str]) -> np.ndarray:
+        """Encode words and keep their ids and characters; their numbers."""
         flat, counts = self._encode(words)
-        while self._used + len(flat) > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        while self._n + len(words) + 1 > len(self._begin):
-            self._begin = np.concatenate([self._begin, np.zeros_like(self._begin)])
+        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        self._ids = _grown(self._ids, self._used + len(flat))
+        self._characters = _grown(self._characters, self._length + len(points))
+        self._begin, self._spelt = _grown(self._begin, self._n + len(words) + 1), _grown(self._spelt, self._n + len(words) + 1)
         self._ids[self._used : self._used + len(flat)] = flat
-        self._begin[self._n + 1 : self._n + len(words) + 1] = self._used + np.cumsum(counts)
-        self._used += len(flat)
+        self._characters[self._length : self._length + len(points)] = points
+        new = np.arange(self._n, self._n + len(words))
+        self._begin[new + 1], self._spelt[new + 1] = self._used + np.cumsum(counts), self._length + np.cumsum(sizes)
+        self._used, self._length, self._n = self._used + len(flat), self._length + len(points), self._n + len(words)
+        return new
+
+    def _add(self, h: np.ndarray, words: list[str]) -> None:
+        number = self._store(words)
         slot, live = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.arange(len(h))
         while len(live):
             free = live[self._key[slot[live]] == 0]
             self._key[slot[free]] = h[free]
             won = free[self._key[slot[free]] == h[free]]
-            self._value[slot[won]] = self._n + won
+            self._value[slot[won]] = number[won]
             done = np.zeros(len(h), dtype=bool)
             done[won] = True
             live = live[~done[live]]
             slot[live] = (slot[live] + 1) & ((1 << TABLE_BITS) - 1)
-        self._n += len(words)
+
+    def _others(self, at: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Words whose characters aren't those of the word found by their hash."""
+        size, first = ends - starts, self._spelt[at]
+        other = self._spelt[at + 1] - first != size
+        kept = np.where(other, 0, size)
+        total = np.cumsum(kept)
+        stored = self._characters[np.repeat(first - (total - kept), kept) + np.arange(total[-1] if len(total) else 0)]
+        own = points if not other.any() else points[np.repeat(~other, size)]
+        wrong = np.flatnonzero(stored != own)
+        if len(wrong):
+            other[np.searchsorted(total, wrong, side="right")] = True
+        return np.flatnonzero(other)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and text ends of texts without special tokens."""
@@ -378,7 +423,7 @@ class TextEncoder:
         begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         starts = split_places(points, begin[:-1])
         ends = np.append(starts[1:], len(points)) if len(starts) else starts
-        h = segment_hash(points.astype(np.uint64) + np.uint64(1), starts, ends, WORD_BASE)
+        h = tiled_hash(points, starts)
         h[h == 0] = 1
         at = self._find(h)
         missing = np.flatnonzero(at < 0)
@@ -391,6 +436,9 @@ class TextEncoder:
             place = missing[first]
             self._add(new, [joined[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)])
             at[missing] = self._find(h[missing])
+        other = self._others(at, points, starts, ends)
+        if len(other):
+            at[other] = self._store([joined[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
         size = self._begin[at + 1] - self._begin[at]
         stop = np.cumsum(size)
         n = int(stop[-1]) if len(stop) else 0
@@ -423,6 +471,7 @@ def _of(kind: str, definition: str) -> tuple:
             _loaded[key] = (TextEncoder(a.encode_words, a.special), a)
         else:
             spec = json.loads(definition)
+            check_supported(spec)
             _loaded[key] = (TextEncoder(library_encoder(definition), {t["content"]: t["id"] for t in spec.get("added_tokens", ())}), None)
     return _loaded[key]
 
@@ -431,7 +480,7 @@ def encoded_slices(kind: str, definition: str, texts: pa.Array) -> Iterator[tupl
     """(from, to, ids, ends) over an Arrow array of texts, some MB of text at a time."""
     encoder, _ = _of(kind, definition)
     _, offsets = buffers(texts)
-    for a, b in slices(offsets, SLICE):
+    for a, b in slices(offsets, SLICE_BYTES):
         ids, ends = encoder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
         yield a, b, ids, ends
 

@@ -90,8 +90,9 @@ def mapped(df: DataFrame, function, schema) -> DataFrame:
 # ---- numpy hashing of words and word sequences -------------------------------
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_BASES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
-_powers: dict[int, np.ndarray] = {}
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_PLACES = 64  # places of a word with random numbers of their own
+_tables: dict[int, np.ndarray] = {}
 _SPACE = np.ones(256, dtype=np.uint8)
 _SPACE[[9, 10, 11, 12, 13, 32]] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -108,25 +109,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
-        _powers[base] = have = np.cumprod(steps, dtype=np.uint64)
-    return have
+def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of the pairs; with either side fixed a bijection of the other."""
+    return mix64((a ^ (a >> np.uint64(29))) * _ODD + b)
 
 
-def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[s:e] for each pair, equal for equal sequences wherever they stand."""
-    n = len(values)
-    inverse = pow(base, -1, 1 << 64)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * _power(base, n)[:n], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * _power(inverse, n)[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+def tiled_hash(values: np.ndarray, starts: np.ndarray, blank: np.ndarray | None = None, which: int = 0) -> np.ndarray:
+    """Hash of values[s:t] for each start and the next one, equal for equal sequences.
+
+    Each value adds a random number of its own for its place in the sequence (tabulation
+    hashing), beyond place 64 or value 255 a mixed one, so no structure of words makes two
+    of them meet. Places marked ``blank`` add nothing.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    if which not in _tables:
+        _tables[which] = np.random.default_rng(0x5EED + which).integers(0, 1 << 64, _PLACES * 256, dtype=np.uint64)
+    table, first = _tables[which], int(starts[0])
+    values = values[first:]
+    place = np.arange(len(values), dtype=np.int32)
+    place -= np.repeat((starts - first).astype(np.int32), np.diff(np.append(starts - first, len(values))))
+    at = np.minimum(place, _PLACES - 1)
+    at <<= 8
+    at |= (values & 255).astype(np.int32)
+    h = table[at]
+    far = np.flatnonzero((place >= _PLACES) | (values > 255)) if values.dtype.itemsize > 1 else np.flatnonzero(place >= _PLACES)
+    if len(far):
+        h[far] = mix64(joined_hash(place[far].astype(np.uint64) ^ table[0], values[far].astype(np.uint64)) ^ table[1])
+    if blank is not None:
+        h[blank[first:]] = 0
+    return mix64(np.add.reduceat(h, starts - first))
+
+
+def runs_hash(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of h[i : i + size] for each i, from hashes of runs half as long and so on."""
+    span, out, covered = 1, None, 0
+    while True:
+        if size & span:
+            out = h if out is None else joined_hash(out[: len(out) - span], h[covered:])
+            covered += span
+        if covered == size:
+            return out
+        h = joined_hash(h[:-span], h[span:])
+        span *= 2
 
 
 class Words:
@@ -149,8 +174,7 @@ class Words:
         self.doc = np.searchsorted(self.offsets, self.starts, side="right") - 1
         self.counts = np.bincount(self.doc, minlength=n_docs).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        values = data.astype(np.uint64) + np.uint64(1)
-        self.hashes = [segment_hash(values, self.starts, self.ends, _BASES[i][0]) for i in range(hashes)]
+        self.hashes = [tiled_hash(data, self.starts, ~word, i) for i in range(hashes)]
 
     def grams(self, size: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of each run of ``size`` words within one text."""
@@ -158,7 +182,7 @@ class Words:
         if n < size:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
         at = np.flatnonzero(self.doc[size - 1 :] == self.doc[: n - size + 1])
-        return at, segment_hash(h, at, at + size, _BASES[which][1])
+        return at, runs_hash(h, size)[at]
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

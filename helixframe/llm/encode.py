@@ -20,15 +20,17 @@ def read_definition(path: str) -> str:
         return f.read()
 
 
-def bpe_encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
+def bpe_encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """``docs`` with its columns and ``ids``, the array of token ids of the whole text.
 
     Null texts count as empty and give an empty array. A special token's string in a
-    text gives that token's id. No shuffle; rows keep their partition. A column already
-    named like ``ids`` is replaced.
+    text gives that token's id. No shuffle; rows keep their partition, repeated rows
+    stay. A column already named like ``ids`` is replaced. All columns pass through
+    Python, so select those needed first; the text doesn't come back without ``keep_text``.
     """
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(tokenizer_path))
     docs = docs.drop(ids)
+    keep = [i for i, c in enumerate(docs.columns) if keep_text or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,9 +38,9 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ids:
             for a, b, flat, ends in bpe.encoded_slices("automaton", definition.value, batch.column(at)):
                 column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), column], [*(part.schema.names[i] for i in keep), ids])
 
-    return mapped(docs, run, docs.withColumn(ids, F.array().cast("array<int>")).schema)
+    return mapped(docs, run, docs.select(*[F.col(f"`{docs.columns[i]}`") for i in keep]).withColumn(ids, F.array().cast("array<int>")).schema)
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:

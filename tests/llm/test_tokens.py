@@ -48,6 +48,77 @@ def test_emptied_cache(monkeypatch):
         assert e.encode([t])[0].tolist() == LIBRARY.encode(t).ids
 
 
+#: Two words of equal polynomial hash modulo 2**64, whatever the base.
+THUE = "".join("ab"[i.bit_count() & 1] for i in range(4096))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_equal_polynomial_hash():
+    for encoder in ENCODERS:
+        for t in (f"{THUE} {MORSE}", MORSE, THUE):
+            assert encoder.encode([t])[0].tolist() == LIBRARY.encode(t).ids
+
+
+def test_words_of_equal_hash(monkeypatch):
+    """With a hash of few values words are told apart by their characters."""
+    monkeypatch.setattr(bpe, "tiled_hash", lambda points, starts: np.full(len(starts), 7, dtype=np.uint64))
+    e = bpe.TextEncoder(AUTOMATON.encode_words, {})
+    for t in ("a b c a", "abc abd xyz", "", "b a longer b"):
+        assert e.encode([t, t])[0].tolist() == LIBRARY.encode(t).ids * 2
+
+
+def test_other_tokenizer_files():
+    import pytest
+
+    spec = json.loads(DEFINITION)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        with pytest.raises(ValueError):
+            bpe.Automaton(json.dumps(spec | change))
+
+
+def gadget_automaton(n_bytes, merges):
+    """The written-out automaton: a state with a loop for each byte, then one gadget for each merge.
+
+    All arcs of one label lead to one state. A gadget lays an arc of the new label over each
+    arc u whose state has an arc v, and leads the arcs u to a copy of that state without v.
+    """
+    arcs, label = [{x: 0 for x in range(n_bytes)}], n_bytes
+    for u, v in merges:
+        behind = {s[u] for s in arcs if u in s}
+        assert len(behind) <= 1
+        for t in behind:
+            if v in arcs[t]:
+                after, copy = arcs[t][v], len(arcs)
+                arcs.append({x: to for x, to in arcs[t].items() if x != v})
+                for s in arcs:
+                    if u in s:
+                        s[u], s[label] = copy, after
+        label += 1
+    return arcs
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7)), max_size=4))
+def test_as_written_out_gadgets(pairs):
+    """The compact automaton accepts the token strings that the merged gadgets accept."""
+    import itertools
+
+    names, merges, ids = ["a", "b", "c"], [], []
+    for i, j in pairs:
+        if i < len(names) and j < len(names) and names[i] + names[j] not in names:
+            merges.append(f"{names[i]} {names[j]}"), ids.append((i, j)), names.append(names[i] + names[j])
+    own = bpe.Automaton(json.dumps({"model": {"vocab": {n: i for i, n in enumerate(names)}, "merges": merges}}))
+    library = Tokenizer.from_str(json.dumps({"version": "1.0", "model": {"type": "BPE", "vocab": {n: i for i, n in enumerate(names)}, "merges": merges}}))
+    arcs = gadget_automaton(3, ids)
+    for length in range(1, 4):
+        for word in itertools.product(range(len(names)), repeat=length):
+            state = 0
+            for x in word:
+                state = arcs[state].get(x) if state is not None else None
+            canonical = own.encode_words(["".join(names[x] for x in word)])[0].tolist() == list(word)
+            assert (state is not None) == canonical == (library.encode("".join(names[x] for x in word)).ids == list(word))
+
+
 def test_operator(spark, odd_docs, no_docs, tokenizer_path):
     texts = {r.doc_id: r.text or "" for r in odd_docs.collect()}
     found = encode.bpe_round_trip(odd_docs, tokenizer_path).collect()
@@ -58,6 +129,8 @@ def test_operator(spark, odd_docs, no_docs, tokenizer_path):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     back = encode.bpe_decode(encode.bpe_encode(odd_docs.withColumnRenamed("label", "ids"), tokenizer_path), tokenizer_path)
     assert back.where("decoded <> coalesce(text, '')").count() == 0 and "lang" in back.columns
+    bare = encode.bpe_encode(odd_docs.select("doc_id", "text"), tokenizer_path, keep_text=False)
+    assert bare.columns == ["doc_id", "ids"] and encode.bpe_decode(bare, tokenizer_path).count() == len(texts)
     assert encode.bpe_round_trip(no_docs, tokenizer_path).count() == 0
 
 
