@@ -39,7 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document that is left."""
-    return encode.bpe_encode(docs, TOKENIZER).select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    coded = encode.bpe_encode(docs.select("doc_id", "source", "text"), TOKENIZER, keep_text=False)
+    return coded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
 STAGES = [("quality classifier", classify), ("n-gram Jaccard join", drop_near_duplicates), ("PII", hide_personal_data), ("mixing sources", mix_sources), ("BPE encoding", tokenize)]
