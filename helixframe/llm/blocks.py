@@ -111,38 +111,48 @@ def _keys_of(payload: bytes) -> np.ndarray:
 
 
 def flag_table(bucket: int, kind: int, parts: list[int], flags: list[np.ndarray]) -> pa.Table:
-    packed = [np.packbits(f, bitorder="little").tobytes() for f in flags]
+    return _flag_rows(bucket, kind, parts, [np.packbits(f, bitorder="little").tobytes() for f in flags])
+
+
+def _flag_rows(bucket: int, kind: int, parts: list[int], packed: list[bytes]) -> pa.Table:
     n = len(parts)
     return pa.table({"part": pa.array(parts, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "flags": pa.array(packed, pa.binary())})
 
 
 def repeated(keys: DataFrame, kind: int = 1) -> DataFrame:
-    """From key rows, for each block and bucket a bit per key: do two or more blocks have it?"""
+    """From key rows, for each block and bucket a bit per key: do two or more blocks have it?
+
+    Behind the bits stands a byte for each such key, the greater the more blocks have it.
+    """
 
     def answer(table: pa.Table) -> pa.Table:
         own = [_keys_of(p) for p in table.column("payload").to_pylist()]
         every, counts = np.unique(np.concatenate(own), return_counts=True)
         twice = every[counts > 1]
-
-        def flags(k: np.ndarray) -> np.ndarray:
-            return twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k if len(twice) else np.zeros(len(k), dtype=bool)
-
-        return flag_table(table.column("bucket")[0].as_py(), kind, table.column("part").to_pylist(), [flags(k) for k in own])
+        often = np.minimum(255, 8 * np.log2(counts[counts > 1])).astype(np.uint8)
+        packed = []
+        for k in own:
+            at = np.searchsorted(twice, k)
+            found = twice[np.minimum(at, len(twice) - 1)] == k if len(twice) else np.zeros(len(k), dtype=bool)
+            packed.append(np.packbits(found, bitorder="little").tobytes() + often[at[found]].tobytes())
+        return _flag_rows(table.column("bucket")[0].as_py(), kind, table.column("part").to_pylist(), packed)
 
     ship(keys.sparkSession)
     return keys.groupBy("bucket").applyInArrow(answer, FLAG_SCHEMA)
 
 
-def read_flags(rows: list[dict], kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
-    """The bits that came back for a block's sorted distinct keys."""
+def read_flags(rows: list[dict], kind: int, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a block's sorted distinct keys the bits that came back, and the bytes (0 without the bit)."""
     full, at = runs((keys >> np.uint64(64 - bits)).astype(np.int32))
-    out = np.zeros(len(keys), dtype=bool)
+    out, often = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.uint8)
     for row in rows:
         if row["kind"] == kind:
             i = int(np.searchsorted(full, row["bucket"]))
-            n = int(at[i + 1] - at[i])
-            out[at[i] : at[i + 1]] = np.unpackbits(np.frombuffer(row["flags"], dtype=np.uint8), count=n, bitorder="little").astype(bool)
-    return out
+            n, raw = int(at[i + 1] - at[i]), np.frombuffer(row["flags"], dtype=np.uint8)
+            found = np.unpackbits(raw[: (n + 7) // 8], count=n, bitorder="little").astype(bool)
+            out[at[i] : at[i + 1]] = found
+            often[at[i] + np.flatnonzero(found)] = raw[(n + 7) // 8 :]
+    return out, often
 
 
 def with_flags(blocks: DataFrame, flags: DataFrame, function: Callable[[Block, list[dict]], pa.Table], schema: str) -> DataFrame:

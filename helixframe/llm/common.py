@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -30,32 +33,57 @@ SLICE_BYTES = 1 << 19  # text hashed by numpy at once; bounds the temporaries
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (single-machine tests) a temporary folder is set for the
-    session, so that later calls use the same one.
+    Where it is unset and Spark runs in this process (tests) a temporary folder is set for
+    the session, so that later calls use the same one; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+_folders = threading.local()  # the folder of the innermost scratch()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables ``written`` inside, but those to ``keep``, are deleted at the end: nothing may read them then."""
+    before = getattr(_folders, "name", None)
+    _folders.name = name = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        _folders.name = before
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = None if keep else getattr(_folders, "name", None)
+    path = f"{folder or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-ROW = "__row"
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name``, or one made of it that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame | None:
-    """``df`` with a number for each row in the column ROW, written, if ``key`` doesn't tell rows apart; else None."""
-    if df.groupBy(key).count().where("count > 1").isEmpty():
+def numbered(df: DataFrame, key: str) -> tuple[DataFrame, str] | None:
+    """``df`` with a number for each row in another column, written, and its name, if ``key`` doesn't tell rows apart; else None."""
+    if df.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
         return None
-    return written(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    row = spare_name(df, "row")
+    return written(df.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -63,10 +91,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 _shipped: set[str] = set()
+#: Most rows and bytes of an Arrow batch, and Spark's defaults, which these take the place of.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("2000", "10000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("8m", "67108864b")}
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application."""
+    """Give the executors this package, once for each application, and keep Arrow batches small.
+
+    Python workers hold a batch and what they make of it, so the batches bound their memory;
+    a size that the session was given stays.
+    """
+    for name, (own, default) in _BATCH.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, own)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

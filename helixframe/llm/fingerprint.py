@@ -114,6 +114,7 @@ def with_neighbours(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     n = shuffle_partitions(docs.sparkSession)
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shares = [i / (4 * n) for i in range(1, 4 * n)]
+    # one row comes back, with as many bounds as there are partitions to fill
     found = docs.agg(F.percentile_approx("doc_id", shares, 20 * n).alias("b"), F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull().cast("int")).alias("nulls")).first()
     bounds = sorted({b for b in found.b or () if found.nulls or b > found.low})
     key_ = F.col("doc_id")
@@ -121,7 +122,7 @@ def with_neighbours(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     piece = F.col("piece")
     copies = F.array(
         F.struct(piece.alias("piece"), F.lit(0).alias("extra")),
-        F.when(F.array_contains(F.lit(bounds), key_), F.struct((piece - 1).alias("piece"), F.lit(1).alias("extra"))) if bounds else F.lit(None),
+        F.when((piece > 0) & (F.get(F.lit(bounds), piece - 1) == key_), F.struct((piece - 1).alias("piece"), F.lit(1).alias("extra"))) if bounds else F.lit(None),
         F.when(first, F.struct(F.lit(len(bounds)).alias("piece"), F.lit(2).alias("extra"))),
     )
     dealt = docs.withColumn("piece", _range_number(key_, bounds)).withColumn("copy", F.explode(F.array_compact(copies)))

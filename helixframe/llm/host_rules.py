@@ -90,13 +90,15 @@ def host_quality(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ho
     A document fails the base rules with under 50 words or with over half of its words in
     repeated 3-word windows; for its host's rate it also fails with many symbols or repeated
     lines. It is kept if it passes the base rules and its host's shrunken rate is at most
-    ``max_rate``. Null hosts are one host. Repeated rows count as often as they occur.
+    ``max_rate``. Null hosts are one host. Repeated rows count as often as they occur. A text
+    is measured by one task whatever its length, in memory and steps near its number of words.
     """
     m = measures(docs, key=key, text=text, host=host)
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT)
     other = (F.col("n_symbols") * 10 > F.col("n_words") * MAX_SYMBOLS) | (F.col("n_dup_lines") * 10 > F.col("n_words") * MAX_DUP_LINES)
     m = written(m.withColumn("base_failed", base).withColumn("failed", base | other), "rules")
-    hosts = host_rates(m).select(F.col("host").alias("of"), F.col("rate").alias("host_rate"))
+    # written first: a plain table of known size, so it is broadcast if small and a hot host's rows can be split if not
+    hosts = written(host_rates(m).select(F.col("host").alias("of"), F.col("rate").alias("host_rate")), "hosts")
     joined = m.join(hosts, m["host"].eqNullSafe(hosts["of"]))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("host_rate") <= max_rate)).alias("kept"), "host_rate")
 

@@ -3,8 +3,9 @@
 Every source gets a budget of words. Whole epochs of a source come first; what is
 left of its budget goes to the documents that come first in an Efraimidis-Spirakis
 order, by the key -ln(u) / w of a document's quality weight w, up to a prefix sum of
-words. A source is cut into many key ranges, each small: sums of the ranges give
-each range its prefix, so no task sorts a whole source.
+words. A source is cut into many ranges of the key's logarithm, each small whatever the
+weights, and the ranges into blocks: sums of the blocks and of the ranges in a block give
+each range its prefix, so no task sorts a whole source or all of its ranges.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ROW, WORD_CLASS, numbered, written
+from helixframe.llm.common import WORD_CLASS, numbered, spare_name, written
 
 #: The weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
 SYMBOLS = "#*$%&|<>"
-RANGE_ROWS = 256  # rows of a source's key range, about
+RANGE_ROWS = 750  # rows of a source's range, at most about
+DENSEST = 0.37  # share of keys in a unit of their natural logarithm: 1 / e for one weight, less for a mixture
+BLOCK_RANGES = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -67,31 +70,38 @@ def mix_plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source
     Null texts have size 0, null sources are one source, the last. An empty document is
     taken with the first it ties with. Rows with one key and one size tie; which of two
     equal rows comes first makes no difference to the result as a whole. Reruns agree.
+    Long texts are only counted. A weight below 1e-6, or null, counts as 1e-6.
     """
-    return _planned(docs, key, text, source, weight, seed, share, most, weights, [])
+    return _planned(docs, key, text, source, weight, seed, share, most, weights)
 
 
-def _planned(docs: DataFrame, key: str, text: str, source: str, weight: Column | None, seed: str, share: float, most: float, weights: tuple[int, ...], carried: list[str]) -> DataFrame:
-    """The plan with the columns ``carried``, by which the last ties are broken."""
+def _planned(docs: DataFrame, key: str, text: str, source: str, weight: Column | None, seed: str, share: float, most: float, weights: tuple[int, ...], row: str | None = None) -> DataFrame:
+    """The plan, with the column ``row`` of docs as row, by which the last ties are broken."""
     quality = weight if weight is not None else symbol_weight(F.col(text))
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), quality.alias("w"), *carried)
-    sized = written(sized.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), F.col("w"), seed).alias("key"), *carried), "mix")
-    ranges = max(1, sized.count() // RANGE_ROWS)
-    sized = sized.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int")).withColumn("none", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
-    parts = sized.groupBy("none", "name", "range").agg(F.sum("size").alias("part_size"))
-    by_range = Window.partitionBy("none", "name").orderBy("range")
-    parts = parts.withColumn("before", F.sum("part_size").over(by_range) - F.col("part_size"))
-    sizes = parts.groupBy("none", "name").agg(F.sum("part_size").alias("source_size"))
+    ids = [F.col(row).alias("row")] if row else []
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), quality.alias("w"), *ids)
+    ids = ["row"] if row else []
+    sized = written(sized.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), F.col("w"), seed).alias("key"), *ids), "mix")
+    scale = max(1.0, sized.count() * DENSEST / RANGE_ROWS)
+    sized = sized.withColumn("range", F.floor(F.log("key") * scale)).withColumn("none", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
+    of = ["none", "name"]
+    parts = sized.groupBy(*of, "range").agg(F.sum("size").alias("n")).withColumn("block", F.floor(F.col("range") / BLOCK_RANGES))
+    blocks = parts.groupBy(*of, "block").agg(F.sum("n").alias("n"))
+    before = lambda by, *within: F.sum("n").over(Window.partitionBy(*of, *within).orderBy(by)) - F.col("n")
+    blocks = blocks.withColumn("block_start", before("block")).withColumn("source_size", F.sum("n").over(Window.partitionBy(*of))).drop("n")
+    blocks = written(blocks, "blocks")
+    sizes = blocks.groupBy(*of).agg(F.max("source_size").alias("source_size"))
     targets = source_targets(sizes.withColumn("source", F.when(~F.col("none"), F.col("name"))).select("source", "source_size"), share=share, most=most, weights=weights)
-    targets = targets.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target")
-    parts = parts.join(targets, ["none", "name"]).drop("part_size")
-    rows = sized.join(parts, ["none", "name", "range"])
-    inside = Window.partitionBy("none", "name", "range").orderBy("key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
+    targets = targets.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "target")
+    parts = parts.withColumn("start", before("range", "block")).join(blocks.join(targets, of), [*of, "block"])
+    parts = parts.select(*of, "range", (F.col("block_start") + F.col("start")).alias("before"), "source_size", "target")
+    rows = sized.join(parts, [*of, "range"])
+    inside = Window.partitionBy(*of, "range").orderBy("key", "doc_id", "size", *ids).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     rest = F.col("target") - epochs * F.col("source_size")
     copies = epochs + F.when((rest > 0) & (start + F.col("size") / 2 <= rest), 1).otherwise(0)
-    return rows.withColumn("copies", copies.cast("bigint")).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carried)
+    return rows.withColumn("copies", copies.cast("bigint")).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *ids)
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: str = "mix", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -100,12 +110,13 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     Rows are found again by the key, where it repeats by a number of the row. The plan
     holds a few numbers per document; the texts are moved once, to meet it.
     """
-    names, rows = docs.columns, numbered(docs, key)
-    docs, by = (docs, key) if rows is None else (rows, ROW)
-    plan = _planned(docs, key, text, source, weight, seed, share, most, weights, [] if rows is None else [ROW]).where("copies > 0")
-    plan = plan.select(F.col("doc_id" if rows is None else ROW).alias("__key"), "copies")
-    joined = docs.join(plan, docs[by].eqNullSafe(plan["__key"])).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-    return joined.select(*[docs[c] for c in names])
+    found, names = numbered(docs, key), docs.columns
+    rows, row = found or (docs, None)
+    plan = _planned(rows, key, text, source, weight, seed, share, most, weights, row).where("copies > 0")
+    times, copy = spare_name(rows, "times"), spare_name(rows, "copy")
+    plan = plan.select(F.col("row" if row else "doc_id").alias("of"), F.col("copies").alias(times))
+    joined = rows.join(plan, rows[row or key].eqNullSafe(plan["of"])).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))))
+    return joined.select(*[rows[c] for c in names])
 
 
 PLAN_SQL = r"""

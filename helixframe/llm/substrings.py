@@ -118,7 +118,7 @@ class _Candidates:
     """Windows that may stand elsewhere too, and passages of those that are the earliest in the block."""
 
     def __init__(self, block: Block, windows: _Windows, rows: list[dict], bits: int):
-        flagged = read_flags(rows, 1, windows.keys, bits) | windows.twice
+        flagged = read_flags(rows, 1, windows.keys, bits)[0] | windows.twice
         self.places = np.flatnonzero(flagged[windows.at])
         a, b = windows.a[self.places], windows.b[self.places]
         order = np.lexsort((windows.start[self.places], block.ids[windows.doc[self.places]], b, a))
