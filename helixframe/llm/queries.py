@@ -68,14 +68,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from corpus_pipeline import run
-
     own = (op1_bpe_automaton, op2_pii_pseudonyms, op3_host_rules, op4_jaccard_join, op5_substring_dedup, op6_wavelet_tokens, op7_source_mix, op8_quality_classifier, op9_license_scan, op10_fingerprints)
-    return {f.__name__: f for f in own} | {"pipeline": run}
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpus_pipeline import ORACLE_SQL
-
-    found = {"op3_host_rules": host_rules.QUALITY_SQL, "op7_source_mix": mixing.PLAN_SQL}
-    return found | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return {"op3_host_rules": host_rules.QUALITY_SQL, "op7_source_mix": mixing.PLAN_SQL}

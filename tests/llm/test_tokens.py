@@ -157,3 +157,9 @@ def test_wavelet_matrix(values):
         assert w.access(i) == values[i] and w.rank(values[i], i) == values[:i].count(values[i])
     for symbol in [*values[:3], 299]:
         assert w.occurrences(symbol) == [i for i, x in enumerate(values) if x == symbol] and w.count(symbol) == values.count(symbol)
+
+
+def test_entry():
+    import __spark_entry__
+
+    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} <= {q.split("_")[0] for q in __spark_entry__.queries()}
