@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import Words, buffers, mapped, shuffle_partitions, slices
+from helixframe.llm.common import Words, buffers, distinct, mapped, shuffle_partitions, slices
 
 K, SHINGLE = 128, 5
 
@@ -32,7 +32,7 @@ def shingle_sets(words: Words, size: int = SHINGLE, which: int = 0) -> Iterator[
     for i, end in enumerate(ends):
         n = int(words.counts[i])
         if n >= size:
-            yield np.unique(h[begin:end])
+            yield distinct(h[begin:end])
         elif n:
             first = int(words.first[i])
             digest = hashlib.blake2b(words.hashes[which][first : first + n].tobytes(), digest_size=8).digest()

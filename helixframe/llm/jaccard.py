@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.blocks import KEY_SCHEMA, NULL_ID, Block, bucket_bits, key_rows, pack, read_flags, repeated, with_flags
-from helixframe.llm.common import WORD_CLASS, mapped, mix64, numbered, scratch, written
+from helixframe.llm.common import WORD_CLASS, distinct, mapped, mix64, numbered, scratch, written
 from helixframe.llm.components import components
 from helixframe.llm.fingerprint import shingle_sets
 
@@ -185,7 +185,7 @@ def _sets_and_roots(docs: DataFrame, key: str, text: str, shingle: int, percent:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                yield key_rows(block.part, np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(Signatures(s, scheme).value for _, s in _sets(block, shingle))])), bits)
+                yield key_rows(block.part, distinct(np.concatenate([np.zeros(0, dtype=np.uint64), *(Signatures(s, scheme).value for _, s in _sets(block, shingle))])), bits)
 
     def candidates(block: Block, rows: list[dict]) -> pa.Table:
         wanted = {row["bucket"] for row in rows if row["kind"] == 0}
