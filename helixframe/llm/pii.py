@@ -3,29 +3,38 @@
 Values are found by pattern and validated (check digits, number ranges, calendar),
 then moved within their format by a keyed Feistel permutation of their digits, so
 that equal values get equal pseudonyms in every document and unequal ones do not
-meet. What does not validate stays as it is.
+meet. What does not validate stays as it is. The key is read from a row of its own, so
+that plans don't show it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import spare_name
+
 ROUNDS = 8
 
-#: The formats, in the order in which they are tried at a place.
+#: The formats, in the order in which they are tried at a place. Every repeat is bounded, so no text is
+#: long enough to exhaust the matcher's stack or to make it slow.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?[0-9]{2,4}[ .-]?[0-9]{3,4}|[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3})(?![0-9A-Za-z]|[.-][0-9])",
     "local_phone": r"(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,63}[0-9])(?=[0-9A-Fa-f]{0,63}[A-Fa-f])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
+    "token": r"(?<![0-9A-Za-z_-])(?:sk-[0-9A-Za-z_-]{20,64}|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36})(?![0-9A-Za-z])",
 }
+#: Country calling codes of two digits; 1 and 7 have one digit, all others three.
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+#: The marks of API tokens that stay.
+TOKEN_MARK = "^(sk-|AKIA|gh[opsu]_)"
 ANY = "|".join(PATTERNS.values())
 _START = {k: "^(?:" + v + ")$" for k, v in PATTERNS.items()}
 _DAY0 = "1900-01-01"
@@ -33,18 +42,23 @@ _DAYS = 73049  # to 2099-12-31, both included: 1900-01-01 plus 0..73048
 WALK = 60  # steps to a number in range; two of five dates have a day up to 12
 
 
+def hidden(spark: SparkSession, secret: str) -> Column:
+    """The secret as a column whose value no plan, log or page shows: a subquery on a row of its own."""
+    return spark.createDataFrame([(secret,)], "secret string").scalar()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _noise(key: str, kind: str, round_: Column, half: Column, modulus: Column) -> Column:
+def _noise(key: Column, kind: str, round_: Column, half: Column, modulus: Column) -> Column:
     """A keyed pseudo-random number below ``modulus``: 60 bits of SHA-256."""
-    digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), round_.cast("string"), half.cast("string"), modulus.cast("string")), 256)
+    digest = F.sha2(F.concat_ws(":", key, F.lit(kind), round_.cast("string"), half.cast("string"), modulus.cast("string")), 256)
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), modulus)
 
 
-def permute(value: Column, size_a: Column, size_b: Column, key: str, kind: str) -> Column:
+def permute(value: Column, size_a: Column, size_b: Column, key: Column, kind: str) -> Column:
     """Keyed permutation of 0 .. size_a * size_b - 1 by an unbalanced Feistel network.
 
     The number is read as (a, b) with b below size_b; each round adds a keyed function
@@ -61,35 +75,37 @@ def permute(value: Column, size_a: Column, size_b: Column, key: str, kind: str)
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["a"] * size_b + s["b"])
 
 
-def permute_text(text: Column, key: str, kind: str) -> Column:
+def permute_text(text: Column, key: Column, kind: str | Column) -> Column:
     """A string of at most 128 characters to another of the same form.
 
-    A digit becomes a digit and a lower-case letter a letter (for kind "secret" a
+    A digit becomes a digit and a letter a letter of its case (for kind "secret" a
     hexadecimal digit another, in capitals if all letters are, else in lower case); other
     characters stay. The string is cut in two halves and each round adds a keyed function
     of one half to the places of the other.
     """
-    if kind == "secret":
+    if isinstance(kind, str) and kind == "secret":
         capitals = text.rlike("[A-F]") & ~text.rlike("[a-f]")
-        moved = _moved_text(F.lower(text), key, kind)
+        moved = _moved_text(F.lower(text), key, F.lit(kind), True)
         return let(moved, lambda m: F.when(capitals, F.upper(m)).otherwise(m))
-    return _moved_text(text, key, kind)
+    return _moved_text(text, key, F.lit(kind) if isinstance(kind, str) else kind, False)
 
 
-def _moved_text(text: Column, key: str, kind: str) -> Column:
+def _moved_text(text: Column, key: Column, kind: Column, hexadecimal: bool) -> Column:
     half = F.floor(F.length(text) / 2).cast("int")
     left, right = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
 
     def shifted(part: Column, other: Column, i: Column) -> Column:
-        noise = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), i.cast("string"), other, F.length(part).cast("string")), 512)
+        noise = F.sha2(F.concat_ws(":", key, kind, i.cast("string"), other, F.length(part).cast("string")), 512)
 
         def moved(at: Column) -> Column:
             c = F.substr(part, at, F.lit(1))
             add = F.conv(F.substr(noise, at * 2 - 1, F.lit(2)), 16, 10).cast("int")
-            if kind == "secret":
+            if hexadecimal:
                 return F.lower(F.conv(((F.conv(c, 16, 10).cast("int") + add) % 16).cast("string"), 10, 16))
             code = F.ascii(c)
-            return F.when(code.between(48, 57), F.char((code - 48 + add) % 10 + 48)).when(code.between(97, 122), F.char((code - 97 + add) % 26 + 97)).otherwise(c)
+            kinds = ((48, 10), (97, 26), (65, 26))
+            new = [F.when(code.between(low, low + n - 1), F.char((code - low + add) % n + low)) for low, n in kinds]
+            return F.coalesce(*new, c)
 
         return F.when(F.length(part) == 0, part).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(part)), moved), ""))
 
@@ -121,7 +137,7 @@ def refill(shape: Column, digits: Column, pattern: str = "[0-9]") -> Column:
     return F.array_join(F.transform(pieces, lambda p, i: F.concat(F.when(i == 0, F.lit("")).otherwise(F.substr(digits, i, F.lit(1))), p)), "")
 
 
-def _card(value: Column, key: str) -> Column:
+def _card(value: Column, key: Column) -> Column:
     def body(digits: Column) -> Column:
         front = F.substr(digits, F.lit(1), F.length(digits) - 1)
         new = let(permute_text(front, key, "card"), lambda f: F.concat(f, ((10 - luhn_sum(F.concat(f, F.lit("0")))) % 10).cast("string")))
@@ -130,15 +146,57 @@ def _card(value: Column, key: str) -> Column:
     return let(F.regexp_replace(value, "[^0-9]", ""), body)
 
 
-def _phone(value: Column, key: str, kind: str) -> Column:
-    """The country code stays, the rest of the digits move."""
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    rest = F.substr(value, F.length(code) + 1)
-    digits = F.regexp_replace(rest, "[^0-9]", "")
-    return F.when(F.length(F.regexp_replace(value, "[^0-9]", "")) < 8, value).otherwise(F.concat(code, refill(rest, permute_text(digits, key, kind))))
+def _walk(number: Column, fits: Callable[[Column], Column], size_a: int, size_b: int, key: Column, kind: str) -> Column:
+    """A permutation of the numbers that fit: the larger one, gone on with until a number fits."""
+
+    def step(s: Column, i: Column) -> Column:
+        return F.when((i > 0) & fits(s), s).otherwise(permute(s, F.lit(size_a).cast("bigint"), F.lit(size_b).cast("bigint"), key, kind))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), number, step)
+
 
+def _phone(value: Column, key: Column) -> Column:
+    """The country code stays and the national number moves, alike in every spelling.
 
-def _ip(value: Column, key: str) -> Column:
+    Without ``+`` the code is 1. Numbers have 8 to 15 digits, those of code 1 eleven.
+    """
+
+    def body(digits: Column) -> Column:
+        given = value.startswith("+")
+        two = F.substr(digits, F.lit(1), F.lit(2))
+        code = F.when(~given, "").when(digits.rlike("^[17]"), F.substr(digits, F.lit(1), F.lit(1))).when(two.isin(TWO_DIGIT_CODES), two).otherwise(F.substr(digits, F.lit(1), F.lit(3)))
+
+        def moved(c: Column) -> Column:
+            national = F.substr(digits, F.length(c) + 1)
+            country = F.when(given, c).otherwise("1")
+            valid = F.when(country == "1", F.length(national) == 10).otherwise(F.length(digits).between(8, 15))
+            return F.when(valid, refill(value, F.concat(c, permute_text(national, key, F.concat(F.lit("phone"), country))))).otherwise(value)
+
+        return let(code, moved)
+
+    return let(F.regexp_replace(value, "[^0-9]", ""), body)
+
+
+def _ssn(value: Column, key: Column) -> Column:
+    """Numbers that can be issued move within themselves: area not 000, 666 or from 900, group not 00, serial not 0000."""
+
+    def fits(n: Column) -> Column:
+        area = F.floor(n / 1_000_000)
+        return (area > 0) & (area != 666) & (area < 900) & (F.pmod(F.floor(n / 10_000), F.lit(100)) > 0) & (F.pmod(n, F.lit(10_000)) > 0)
+
+    def body(n: Column) -> Column:
+        new = let(_walk(n, fits, 25_000, 40_000, key, "ssn"), lambda m: F.when(fits(m), refill(value, F.lpad(m.cast("string"), 9, "0"))).otherwise(value))
+        return F.when(fits(n), new).otherwise(value)
+
+    return let(F.regexp_replace(value, "-", "").cast("bigint"), body)
+
+
+def _token(value: Column, key: Column) -> Column:
+    mark = F.regexp_extract(value, TOKEN_MARK, 1)
+    return F.concat(mark, permute_text(F.substr(value, F.length(mark) + 1), key, "token"))
+
+
+def _ip(value: Column, key: Column) -> Column:
     def body(parts: Column) -> Column:
         number = F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, p: s * 256 + p)
         moved = permute(number, F.lit(65536).cast("bigint"), F.lit(65536).cast("bigint"), key, "ip")
@@ -148,7 +206,7 @@ def _ip(value: Column, key: str) -> Column:
     return let(F.transform(F.split(value, r"\."), lambda p: p.cast("bigint")), body)
 
 
-def _date(value: Column, key: str) -> Column:
+def _date(value: Column, key: Column) -> Column:
     """Dates of 1900 to 2099 move within those years; the day comes first, and the month where only that is a date.
 
     Dates with the month first stay among those with a day above 12, so that they
@@ -172,11 +230,7 @@ def _date(value: Column, key: str) -> Column:
         def fits(number: Column) -> Column:
             return (number < _DAYS) & (~swapped | (F.dayofmonth(date(number)) > 12))
 
-        # a permutation of a range that is no product: walk on until the number falls into it
-        def walk(s: Column, i: Column) -> Column:
-            return F.when((i > 0) & fits(s), s).otherwise(permute(s, F.lit(271).cast("bigint"), F.lit(271).cast("bigint"), key, "date"))
-
-        number = F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), day, walk)
+        number = _walk(day, fits, 271, 271, key, "date")
 
         def text(n: Column) -> Column:
             new = date(n)
@@ -189,51 +243,53 @@ def _date(value: Column, key: str) -> Column:
     return let(F.struct(F.coalesce(days(day_first), days(month_first)).alias("day"), month_first.isNotNull().alias("swapped")), body)
 
 
-def _email(value: Column, key: str) -> Column:
+def _email(value: Column, key: Column) -> Column:
     """The local part, in lower case, moves within its form; the domain stays."""
     local, domain = F.regexp_extract(value, "^([^@]*)@", 1), F.regexp_extract(value, "@(.*)$", 1)
     return let(F.lower(local), lambda name: F.concat(permute_text(name, key, "email"), F.lit("@"), domain))
 
 
-def pseudonym(value: Column, key: str) -> Column:
+def pseudonym(value: Column, key: Column) -> Column:
     """The pseudonym of one found value, or the value itself if it does not validate."""
     is_ = {k: value.rlike(p) for k, p in _START.items()}
     return (
         F.when(is_["email"], _email(value, key))
         .when(is_["ip"], _ip(value, key))
         .when(is_["date"], _date(value, key))
-        .when(is_["phone"], _phone(value, key, "phone"))
-        .when(is_["local_phone"], refill(value, permute_text(F.regexp_replace(value, "[^0-9]", ""), key, "phone")))
-        .when(is_["ssn"], refill(value, permute_text(F.regexp_replace(value, "[^0-9]", ""), key, "ssn")))
+        .when(is_["phone"] | is_["local_phone"], _phone(value, key))
+        .when(is_["ssn"], _ssn(value, key))
         .when(is_["card"], _card(value, key))
         .when(is_["secret"], permute_text(value, key, "secret"))
+        .when(is_["token"], _token(value, key))
         .otherwise(value)
     )
 
 
 def pseudonymize(docs: DataFrame, secret: str, *, text: str = "text", counts: str | None = None) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced by pseudonyms; other columns stay.
+    """``docs`` with personal data in ``text`` replaced by pseudonyms; other columns and repeated rows stay.
 
     One narrow pass without a shuffle, so hot values cost nothing more. A text is cut at
-    the found values and joined again around their pseudonyms. Null and empty texts stay.
-    ``counts`` names a column for the number of values that changed.
+    the found values and joined again around their pseudonyms; patterns are bounded, so a
+    text's length doesn't matter. Null and empty texts stay. ``counts`` names a column for
+    the number of values that changed; a column of that name is replaced.
     """
 
     def body(parts: Column) -> Column:
         joined = F.array_join(F.zip_with(parts["rest"], parts["new"], lambda r, n: F.concat(r, F.coalesce(n, F.lit("")))), "")
         return F.struct(joined.alias("t"), F.size(F.filter(F.arrays_zip(parts["old"], parts["new"]), lambda x: x["old"] != x["new"])).cast("bigint").alias("n"))
 
-    def rebuilt(value: Column) -> Column:
-        old = F.regexp_extract_all(value, F.lit(ANY), F.lit(0))
-
+    def rebuilt(value: Column, key: Column) -> Column:
         def with_new(found: Column) -> Column:
-            return let(F.struct(found.alias("old"), F.transform(found, lambda v: pseudonym(v, secret)).alias("new"), F.split(value, ANY, -1).alias("rest")), body)
+            new = let(key, lambda k: F.transform(found, lambda v: pseudonym(v, k)))
+            return let(F.struct(found.alias("old"), new.alias("new"), F.split(value, ANY, -1).alias("rest")), body)
 
-        return F.when(value.rlike("[0-9@]"), let(old, lambda found: F.when(F.size(found) > 0, with_new(found)))).otherwise(None)
+        old = F.regexp_extract_all(value, F.lit(ANY), F.lit(0))
+        return F.when(value.rlike("[0-9@]|sk-|gh[opsu]_|AKIA"), let(old, lambda found: F.when(F.size(found) > 0, with_new(found)))).otherwise(None)
 
-    done = rebuilt(F.col(text))
+    done, key = spare_name(docs, "done"), spare_name(docs, "key")
     names = [c for c in docs.columns if c != counts]
-    out = docs.select(*[F.col(f"`{c}`") for c in names], done.alias("__done"))
-    new = F.coalesce(F.col("__done.t"), F.col(f"`{text}`"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], hidden(docs.sparkSession, secret).alias(key))
+    out = keyed.select(*[F.col(f"`{c}`") for c in names], rebuilt(F.col(f"`{text}`"), F.col(key)).alias(done))
+    new = F.coalesce(F.col(done)["t"], F.col(f"`{text}`"))
     columns = [new.alias(c) if c == text else F.col(f"`{c}`") for c in names]
-    return out.select(*columns, *([F.coalesce(F.col("__done.n"), F.lit(0).cast("bigint")).alias(counts)] if counts else []))
+    return out.select(*columns, *([F.coalesce(F.col(done)["n"], F.lit(0).cast("bigint")).alias(counts)] if counts else []))

@@ -17,7 +17,12 @@ from helixframe.llm import encode, fingerprint, host_rules, jaccard, licenses, m
 from helixframe.llm.common import shared_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-SECRET = "helixframe-pseudonyms"  # a deployment passes its own
+SECRET_SETTING = "spark.helixframe.pii.secret"  # Spark hides settings with "secret" in their names
+
+
+def secret(spark: SparkSession) -> str:
+    """The key of pseudonyms from the session's settings; where none is set, as in tests, a public one."""
+    return spark.conf.get(SECRET_SETTING, "no secret is set")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +34,7 @@ def op1_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), SECRET, counts="n_replaced")
+    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), secret(spark), counts="n_replaced")
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

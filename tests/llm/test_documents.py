@@ -188,50 +188,6 @@ def test_mix(spark, docs):
     assert plan == mixing.mix_plan(docs).collect() or sorted(plan) == sorted(mixing.mix_plan(docs).collect())
 
 
-def test_pseudonyms(spark, odd_docs, no_docs):
-    text = "m a.b1@x.org c 4539578763621486 s 4539 5787 6362 1486 bad 4539578763621487 ip 19.37.233.111. no 999.1.1.1 p +1 (974) 555-3436 d 2020-02-29 x 2020-02-30 y 31.12.1999 t 9742a250774262d69ad6a86100194ed53da5a0ef"
-    df = spark.createDataFrame([(1, text), (2, "again 4539578763621486, a.b1@x.org"), (3, "plain words, 12 of 345 and 1.5"), (4, None), (5, "")], "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymize(df, "k", counts="n").collect()}
-    a, b = out[1].text.split(" "), text.split(" ")
-    assert len(a) == len(b) and out[1].n == 8
-    assert [int(x) <= 255 for x in a[b.index("19.37.233.111.")].rstrip(".").split(".")] == [True] * 4
-    for x, y in zip(a, b):
-        assert y.startswith("19.37") or len(x) == len(y) and [c.isdigit() for c in x if not y.startswith("9742")] == [c.isdigit() for c in y if not y.startswith("9742")]
-    luhn = lambda s: sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 * (int(c) > 4)) for i, c in enumerate(reversed(s))) % 10
-    card = a[b.index("4539578763621486")]
-    assert card != "4539578763621486" and luhn(card) == 0 and "".join(a[5:9]) == card
-    assert all(x in a for x in ("4539578763621487", "999.1.1.1", "2020-02-30")) and all(x not in a for x in ("19.37.233.111.", "2020-02-29", "31.12.1999", "9742a250774262d69ad6a86100194ed53da5a0ef"))
-    assert out[2].text == f"again {card}, {a[1]}" and out[3].text.startswith("plain") and out[3].n == 0 and out[4].text is None and out[5].text == ""
-    assert pii.pseudonymize(df, "other").where("doc_id = 2").first().text != out[2].text
-    assert pii.pseudonymize(odd_docs, "k").columns == odd_docs.columns and pii.pseudonymize(no_docs, "k").count() == 0
-
-
-def test_pseudonym_forms(spark):
-    secret = "9742a250774262d69ad6a86100194ed53da5a0ef"
-    values = ["12/31/1999", "05.27.2001", "31/12/1999", "13/32/1999", "02/30/2001", "555-123-4567", "(555) 123-4567", secret, secret.upper(), secret[:20] + secret[20:].upper()]
-    df = spark.createDataFrame([(i, f"a {v}, b") for i, v in enumerate(values)], "doc_id long, text string")
-    got = [r.text[2:-3] for r in pii.pseudonymize(df, "k").orderBy("doc_id").collect()]
-    assert [i for i, (x, y) in enumerate(zip(values, got)) if x == y] == [3, 4]
-    assert re.fullmatch(r"[01]\d/(1[3-9]|[23]\d)/\d{4}", got[0]) and re.fullmatch(r"[01]\d\.(1[3-9]|[23]\d)\.\d{4}", got[1])
-    assert re.fullmatch(r"\d{3}-\d{3}-\d{4}", got[5]) and re.sub(r"\D", "", got[5]) == re.sub(r"\D", "", got[6])
-    assert re.fullmatch("[0-9a-f]{40}", got[7]) and got[8] == got[7].upper() and got[9].lower() == got[7]
-    # dates with the month first don't meet each other or any with the day first
-    days = spark.range(70000, 72000).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
-    dates = days.select(F.explode(F.array(F.date_format("d", "MM/dd/yyyy"), F.date_format("d", "dd/MM/yyyy"))).alias("t")).distinct()
-    moved = dates.select("t", pii.pseudonym(F.col("t"), "k").alias("m")).collect()
-    assert len({r.m for r in moved}) == len(moved) and sum(r.t == r.m for r in moved) < 5
-
-
-def test_permutations(spark):
-    n = spark.range(1000)
-    moved = n.select(pii.permute(F.col("id"), F.lit(25).cast("bigint"), F.lit(40).cast("bigint"), "k", "x").alias("m")).collect()
-    assert sorted(r.m for r in moved) == list(range(1000))
-    three = n.select(pii.permute_text(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "x").alias("m")).collect()
-    assert len({r.m for r in three}) == 1000 and all(len(r.m) == 3 for r in three)
-    days = spark.range(40000, 40400).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
-    assert len({r.m for r in days.select(pii.pseudonym(F.col("d"), "k").alias("m")).collect()}) == 400
-
-
 def test_classifier(spark, docs, odd_docs, no_docs):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -313,6 +269,8 @@ def test_pipeline(spark):
     import corpus_pipeline
     from tokenizers import Tokenizer
 
+    from helixframe.llm.queries import secret
+
     import public_tokenizers
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -323,8 +281,8 @@ def test_pipeline(spark):
     good = [(r.doc_id, r.text) for r in docs.collect() if scores[r.doc_id]]
     first = {root for _, root in classes(good).values()}
     kept = docs.where(F.col("doc_id").isin(list(first)))
-    hidden = {r.doc_id: r.text for r in pii.pseudonymize(kept, corpus_pipeline.SECRET).collect()}
-    plan = {r.doc_id: r.copies for r in mixing.mix_plan(pii.pseudonymize(kept, corpus_pipeline.SECRET)).collect() if r.copies}
+    hidden = {r.doc_id: r.text for r in pii.pseudonymize(kept, secret(spark)).collect()}
+    plan = {r.doc_id: r.copies for r in mixing.mix_plan(pii.pseudonymize(kept, secret(spark))).collect() if r.copies}
     assert Counter(r.doc_id for r in out) == Counter(plan)
     assert all(r.ids == library.encode(hidden[r.doc_id] or "", add_special_tokens=False).ids for r in out)
     assert defaultdict(int, Counter(scores.values()))[1] > 0
