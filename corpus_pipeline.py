@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import encode, jaccard, mixing, pii, quality
 from helixframe.llm.common import scratch, shared_folder
-from helixframe.llm.queries import SECRET, TOKENIZER
+from helixframe.llm.queries import TOKENIZER, secret
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts pseudonyms for personal data; n_chars follows the text."""
-    hidden = pii.pseudonymize(docs, SECRET)
+    hidden = pii.pseudonymize(docs, secret(spark))
     return hidden.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(docs.columns)
 
 
