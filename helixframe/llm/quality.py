@@ -1,16 +1,17 @@
 """Operator 8: a quality classifier with Naive Bayes features in a linear SVM.
 
-Features are indicators of character-class n-grams (letters, digits, spaces and each
-kind of symbol; runs of letters, digits and blanks count once, a word that repeats the
-one before is a class of its own), of how dense the short ones are, and of the length.
-Each indicator is scaled by the classes' log-count ratio, from counts over all training
-rows; a hinge-loss model is then fitted by dual coordinate descent on a bounded sample.
+Features are indicators of words and pairs of words (A-Z in lower case), hashed into a
+table; of character-class n-grams (letters, digits, spaces and each kind of symbol; runs
+of letters, digits and blanks count once, a word that repeats the one before is a class
+of its own), of how dense the short ones are, and of the length. Each indicator is scaled
+by the classes' log-count ratio, from counts over all training rows; a hinge-loss model is
+then fitted by dual coordinate descent on a bounded sample.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,16 +20,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import mapped, word_slices, written
+from helixframe.llm.common import distinct, mapped, word_slices, written
 
-SAMPLE_ROWS = 12_000  # rows that the SVM is fitted on, at most; counts cover all rows
+SAMPLE_ROWS = 6_000  # rows that the SVM is fitted on, at most; counts cover all rows
 KEEP_ROWS = 512  # rows scored and filtered at once
+WORD_BITS = 17  # of the table of words and pairs
 _CLASSES = 32
 _ORDERS = (_CLASSES, _CLASSES**2, _CLASSES**3)
 _BINS = 10
 _DENSE = sum(_ORDERS)
 _LENGTH = _DENSE + (_ORDERS[0] + _ORDERS[1]) * _BINS
-N_FEATURES = _LENGTH + 24
+_WORDS = _LENGTH + 24
+N_FEATURES = _WORDS + (1 << WORD_BITS)
 _REPEATED = 30
 
 
@@ -48,8 +51,13 @@ _RUNS = np.isin(np.arange(_CLASSES), (1, 3, 4))
 
 
 def feature_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Sorted distinct feature numbers of each text, as uint16. Empty texts have the length's alone."""
-    for a, b, words in word_slices(texts):
+    """Sorted distinct feature numbers of each text, as uint32. Empty texts have the length's alone."""
+    drop = np.uint64(64 - WORD_BITS)
+    for a, b, words in word_slices(texts, lower=True):
+        one = (words.hashes[0] >> drop).astype(np.int64) + _WORDS
+        at, h = words.grams(2)
+        pair = (h >> drop).astype(np.int64) + _WORDS
+        ends = np.searchsorted(words.doc[at], np.arange(b - a + 1))
         kind = _CLASS[words.data]
         same = np.zeros(len(words.starts), dtype=bool)
         same[1:] = (words.hashes[0][1:] == words.hashes[0][:-1]) & (words.doc[1:] == words.doc[:-1])
@@ -79,17 +87,19 @@ def feature_sets(texts: pa.Array) -> Iterator[np.ndarray]:
                 seen[found] = False
                 out.append(base + found)
             out.append(np.array([_LENGTH + min(23, int(words.counts[i]).bit_length())]))
-            yield np.sort(np.concatenate(out)).astype(np.uint16)
+            out += [one[words.first[i] : words.first[i + 1]], pair[ends[i] : ends[i + 1]]]
+            yield distinct(np.concatenate(out)).astype(np.uint32)
 
 
-def features(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the packed feature numbers of each row: one narrow pass."""
+def features(labelled: DataFrame) -> DataFrame:
+    """From rows (doc_id, text, label) those with the packed feature numbers in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in feature_sets(batch.column(1))], pa.binary())], ["doc_id", "features"])
+            packed = pa.array([f.tobytes() for f in feature_sets(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2)], ["doc_id", "features", "label"])
 
-    return mapped(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), run, "doc_id bigint, features binary")
+    return mapped(labelled.select("doc_id", "text", "label"), run, "doc_id bigint, features binary, label int")
 
 
 @dataclass
@@ -99,22 +109,23 @@ class Model:
     slope: float
     shift: float
 
-    def scores(self, sets: list[np.ndarray]) -> np.ndarray:
-        margin = np.array([self.weights[s].sum() for s in sets]) + self.bias
+    def scores(self, sets: Iterable[np.ndarray]) -> np.ndarray:
+        margin = np.array([self.weights[s].sum() for s in sets], dtype=float) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
 def log_count_ratios(training: DataFrame) -> tuple[np.ndarray, int, int]:
     """Log ratio of each feature's smoothed share among label 1 and label 0, over all rows.
 
-    Each task sums its rows first; what comes to the driver has one row per feature.
+    Counts are smoothed by two rows in which each class has the share that it has overall,
+    so what neither has, and what says nothing, has the ratio 0. Each task sums its rows first; what comes to the driver has one row per feature.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, N_FEATURES + 1), dtype=np.int64)
         for batch in batches:
             for f, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[y, np.frombuffer(f, dtype=np.uint16)] += 1
+                sums[y, np.frombuffer(f, dtype=np.uint32)] += 1
                 sums[y, N_FEATURES] += 1
         found = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[0, found]), pa.array(sums[1, found])], ["feature", "n0", "n1"])
@@ -123,8 +134,16 @@ def log_count_ratios(training: DataFrame) -> tuple[np.ndarray, int, int]:
     counts = np.zeros((2, N_FEATURES + 1))
     counts[0, rows["feature"]], counts[1, rows["feature"]] = rows["n0"], rows["n1"]
     total = counts[:, N_FEATURES]
-    smooth = (counts[:, :N_FEATURES] + 1) / (total[:, None] + 2)
-    return np.log(smooth[1] / smooth[0]), int(total[0]), int(total[1])
+    return ratios_of(counts[:, :N_FEATURES], total), int(total[0]), int(total[1])
+
+
+def ratios_of(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The log-count ratios from the rows of label 0 and 1 that have each feature, and from all rows of both."""
+    if not total.all():
+        return np.zeros(counts.shape[1])
+    extra = 2 * total[:, None] / total.sum()
+    smooth = (counts + extra) / (total[:, None] + extra)
+    return np.log(smooth[1] / smooth[0])
 
 
 def fit_hinge(sets: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, *, cost: float = 0.05, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -179,7 +198,7 @@ def fit(training: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
     if n0 + n1 > sample_rows:  # so that the driver gets few more rows than it keeps
         hashed = hashed.where(F.col("at") < int(2**52 * (1.1 * sample_rows + 500) / (n0 + n1)))
     rows = hashed.orderBy("at", "label", "features").limit(sample_rows).collect()
-    sets = [np.frombuffer(r["features"], dtype=np.uint16) for r in rows]
+    sets = [np.frombuffer(r["features"], dtype=np.uint32) for r in rows]
     labels = np.array([r["label"] for r in rows])
     weights, bias = fit_hinge(sets, labels, ratios)
     model = Model(weights, bias, 1.0, 0.0)
@@ -193,42 +212,50 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
-def _learnt(packed: DataFrame, labels: DataFrame, label: str, sample_rows: int) -> Broadcast:
-    """The model of the labelled rows of ``packed``, broadcast."""
+def _learnt(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample_rows: int) -> Broadcast:
+    """The model of the labelled rows of ``docs`` that aren't held out, broadcast.
+
+    Whether labels are broadcast to the texts, or both dealt by id, is left to the planner,
+    which knows their size.
+    """
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    return packed.sparkSession.sparkContext.broadcast(fit(packed.join(known, "doc_id"), sample_rows=sample_rows))
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(~held_out())
+    return docs.sparkSession.sparkContext.broadcast(fit(written(features(rows.join(known, "doc_id")), "features"), sample_rows=sample_rows))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs, from its text alone.
 
     Learns from labelled rows that aren't held out. Null and null-like cases: a null text
-    is empty; null labels teach nothing; an id labelled twice takes the greater label.
+    is empty; null labels teach nothing; an id labelled twice takes the greater label, and
+    all rows of one id teach it. Scoring is one narrow pass, repeated rows stay, and a long
+    text is scored whole.
     """
-    packed = written(features(docs), "features")
-    shared = _learnt(packed.where(~held_out()), labels, label, sample_rows)
+    shared = _learnt(docs, labels, key, text, label, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.scores([np.frombuffer(f, dtype=np.uint16) for f in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+            for at in range(0, batch.num_rows, KEEP_ROWS):
+                rows = batch.slice(at, KEEP_ROWS)
+                score = shared.value.scores(feature_sets(rows.column(1)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    scored = mapped(packed, run, "doc_id bigint, score double, predicted int")
+    scored = mapped(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), run, "doc_id bigint, score double, predicted int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs that the classifier takes for label 1, each by its own text.
 
     Scored rows aren't looked up by id again, so null and repeated ids make no difference.
     """
-    shared = _learnt(written(features(docs.where(~held_out())), "features"), labels, label, sample_rows)
-    text = docs.columns.index("text")
+    shared = _learnt(docs, labels, key, text, label, sample_rows)
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, KEEP_ROWS):
                 rows = batch.slice(at, KEEP_ROWS)
-                yield rows.filter(pa.array(shared.value.scores(list(feature_sets(rows.column(text)))) >= 0.5))
+                yield rows.filter(pa.array(shared.value.scores(feature_sets(rows.column(place))) >= 0.5))
 
     return mapped(docs, run, docs.schema)

@@ -286,3 +286,34 @@ def test_pipeline(spark):
     assert Counter(r.doc_id for r in out) == Counter(plan)
     assert all(r.ids == library.encode(hidden[r.doc_id] or "", add_special_tokens=False).ids for r in out)
     assert defaultdict(int, Counter(scores.values()))[1] > 0
+
+
+def test_hinge_and_ratios():
+    """Ratios by counting, and dual coordinate descent against the duality gap."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 30, 8)) for _ in range(80)]
+    labels = np.array([int((s < 12).sum() > 2 or rng.random() < 0.2) for s in sets])
+    counts, total = np.zeros((2, 40)), np.bincount(labels, minlength=2).astype(float)
+    for s, y in zip(sets, labels):
+        counts[y, s] += 1
+    ratios = quality.ratios_of(counts, total)
+    share = lambda y, f: (counts[y, f] + 2 * total[y] / 80) / (total[y] + 2 * total[y] / 80)
+    assert all(abs(ratios[f] - np.log(share(1, f) / share(0, f))) < 1e-12 for f in range(40)) and abs(ratios[35]) < 1e-12
+    weights, bias = quality.fit_hinge(sets, labels, ratios, cost=0.5, rounds=4000)
+    x = np.zeros((80, 41))
+    for i, s in enumerate(sets):
+        x[i, s], x[i, 40] = ratios[s], 1.0
+    used = ratios != 0
+    w = np.append(np.where(used, weights / np.where(used, ratios, 1), 0), bias)
+    y, one = np.where(labels == 1, 1.0, -1.0), labels.mean()
+    cost = 0.5 * np.where(y > 0, 0.5 / one, 0.5 / (1 - one))
+    primal = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    # projected gradient ascent on the dual by other means: its value bounds every primal value from below
+    alpha, q = np.zeros(80), (x * y[:, None]) @ (x * y[:, None]).T
+    step = 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(100_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, cost)
+    dual = alpha.sum() - alpha @ q @ alpha / 2
+    assert dual - 1e-6 <= primal(w) <= dual + 1e-3 * abs(dual)
