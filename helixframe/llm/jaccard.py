@@ -35,6 +35,7 @@ PERCENT = 80
 LEVELS = 6
 CELLS = 3  # second-level partitions; subsets of all but one are enumerated
 CUT_FROM = 16  # differences from which partitions are cut
+FIRST = 32  # signatures of a set by which a pair that comes up again is known
 PAIRS = 4  # for each row; with more pairs to come, sets without enough shared elements are left out first
 _SEEDS = mix64(np.arange(1, LEVELS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -296,10 +297,14 @@ def _classes(kept: DataFrame, percent: int) -> DataFrame:
             rest = written(_open(_linkable(written(_open(rest, roots), "open"), kept, percent), roots), "open")
     if rest.isEmpty():
         return roots
-    left = rest.select("signature", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("free").alias("fa"))
-    right = rest.select("signature", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("free").alias("fb"))
+    # a pair comes up at the first signature it shares, and seldom again: at others than the first 32 of either set
+    first = rest.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("signature")), 1, FIRST).alias("first"))
+    rest = _with_groups(rest, first, "rep")
+    left = rest.select("signature", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("free").alias("fa"), F.col("first").alias("la"))
+    right = rest.select("signature", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("free").alias("fb"), F.col("first").alias("lb"))
     can = (F.col("ra") < F.col("rb")) & (F.least("fa", "fb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    pairs = left.join(right, (left["signature"] == right["signature"]) & can).select("a", "na", "b", "nb")
+    new = F.coalesce(F.array_min(F.array_intersect("la", "lb")) >= left["signature"], F.lit(True))
+    pairs = left.join(right, (left["signature"] == right["signature"]) & can & new).select("a", "na", "b", "nb")
     found = written(_shared_links(_fitting(pairs, percent), kept, percent), "links")
     return roots if found.isEmpty() else components(links.unionByName(found))
 
