@@ -36,6 +36,24 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def uri_component(value: Column) -> Column:
+    """for a URL; letters, digits and -_.!~*'() stay, all else is escaped."""
+    coded = F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))
+    for code, character in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        coded = F.replace(coded, F.lit(code), F.lit(character))
+    return coded
+
+
+def percent_text(done: Column, total: Column) -> Column:
+    """with one decimal, ties to even."""
+    return F.concat(F.bround(percent(done, total), 1).cast("string"), F.lit("%"))
+
+
+def score_text(score: Column) -> Column:
+    """a score as a percentage with two decimals."""
+    return F.format_string("%.2f%%", score * 100)
+
+
 def percent(done: Column, total: Column) -> Column:
     """share of the total in per cent; 100 if there is nothing to do."""
     return F.when(total > 0, done * 100.0 / total).otherwise(F.lit(100.0))

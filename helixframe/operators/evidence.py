@@ -33,13 +33,13 @@ def evidence(variants: DataFrame, annotations: DataFrame, target: str | None = N
     return rows.select(EVIDENCE.names)
 
 
-def first_with_rows(candidates: Sequence[DataFrame]) -> DataFrame:
-    """The first candidate that has rows, else the first; the caller names them all."""
-    return next((c for c in candidates if not c.isEmpty()), candidates[0])
+def find_first(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The first row, by all columns, that has the value."""
+    return rows.where(F.col(key) == value).orderBy(*rows.columns).limit(1)
 
 
 def cascade(candidates: Sequence[DataFrame]) -> DataFrame:
-    """L6 in one plan: all rows of the first candidate that has any, with its ``priority``."""
+    """L6, W2 in one plan: all rows of the first candidate that has any, with its ``priority``."""
     every = None
     for i, c in enumerate(candidates):
         c = c.withColumn("priority", F.lit(i))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.vectors import cosine
@@ -17,3 +19,48 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = 3, *, vector: str
         return vectors.select(F.lit(0.0).alias("score"), *rest).limit(0)
     scored = vectors.select(cosine(F.lit([float(x) for x in query]), F.col(vector)).alias("score"), *rest)
     return scored.orderBy(F.desc("score"), key).limit(k)
+
+
+BLOCK = 1024  # vectors of a block
+
+
+def _blocks(vectors: DataFrame, vector: str, key: str) -> DataFrame:
+    """Rows of up to BLOCK vectors: their keys, and all elements one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                matrix = part.column(1).flatten()
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([matrix.to_pylist()], pa.list_(pa.float64()))], ["keys", "matrix"])
+
+    rows = vectors.select(F.col(key).cast("bigint"), F.transform(vector, lambda x: x.cast("double"))).where(F.col(key).isNotNull())
+    return rows.mapInArrow(run, "keys array<bigint>, matrix array<double>")
+
+
+def top_k_of_each(vectors: DataFrame, queries: DataFrame, k: int = 3, *, vector: str = "vector", key: str = "id", digits: int = 6) -> DataFrame:
+    """For each row of ``queries`` the k nearest rows of ``vectors``: query, id, score, place.
+
+    Exact: blocks of queries meet blocks of vectors, of which each pair gives k rows for
+    each query; the rest is a ranking by query, cut within the tasks before the shuffle.
+    Scores are rounded before they rank, ties by key. All vectors have one length. Zero
+    vectors score 0, a zero query finds nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, v = (np.array(row[m], dtype=float).reshape(len(row[n]), -1) for m, n in (("queries", "of"), ("matrix", "keys")))
+                sizes = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+                score = np.round(np.divide(q @ v.T, sizes, out=np.zeros_like(sizes), where=sizes > 0), digits) + 0.0
+                keys = np.array(row["keys"], dtype=np.int64)
+                for i, of in enumerate(row["of"]):
+                    if q[i].any():
+                        best = np.lexsort((keys, -score[i]))[:k]
+                        yield pa.RecordBatch.from_arrays([pa.array([of] * len(best), pa.int64()), pa.array(keys[best]), pa.array(score[i][best])], ["query", key, "score"])
+
+    wanted = _blocks(queries, vector, key).select(F.col("keys").alias("of"), F.col("matrix").alias("queries"))
+    pairs = wanted.crossJoin(_blocks(vectors, vector, key))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), key)
+    ranked = pairs.mapInArrow(run, f"query bigint, {key} bigint, score double").withColumn("place", F.row_number().over(best))
+    return ranked.where(F.col("place") <= k)

@@ -46,5 +46,3 @@ class Assistant:
         said = f"Your genotype at {e['rsid']} ({e['gene']}) is {e['user_genotype']}: {e['phenotype']} [{e['clinical_significance']}]. {e['evidence_note']}"
         return Answer(said + (f" Literature: {found[0]['title']}" if found else ""), rows, found, tools)
 
-    def health(self) -> dict[str, str]:
-        return {"status": "ok", "spark": self.spark.version}

@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.genotype import decode
-from helixframe.functions.text import ladder, or_default, percent, user_of
+from helixframe.functions.text import basename, ladder, or_default, percent, percent_text, score_text, uri_component, user_of
+from helixframe.functions.vectors import cosine
 from helixframe.operators.evidence import cascade, evidence
 from helixframe.operators.routing import RULES, answer_text, routed, tools_used
-from helixframe.operators.search import top_k
-from helixframe.schemas import EVIDENCE, PROFILES
-from helixframe.sources.literature import abstract, articles
-from helixframe.sources.store import upsert
+from helixframe.operators.search import top_k, top_k_of_each
+from helixframe.schemas import EVIDENCE, PROFILES, Profile
+from helixframe.sources.literature import DATE, FOCUS, SOURCE, TITLE, abstract, articles
+from helixframe.sources.store import fresh_path, upsert
 from helixframe.sources.vcf import parse_lines, parsed, record_line
+from helixframe.streaming.lines import stream_vcf
 
 # Fixed values of the derivation.
 BASES = ("A", "C", "G", "T")
@@ -28,10 +30,24 @@ GENOTYPES = ("0/0", "0/1", "1/0", "1/1", "0|1", "./.", "1/2", "10/0")
 SIGNIFICANCE = (("STANDARD", "Pathogenic"), ("SMALL", "Risk Factor"), ("LARGE", "Drug Response"), ("MEDIUM", "Risk_Factor"), ("PROMO", "Likely Pathogenic"), ("ECONOMY", "Benign"))
 TARGET = "Brand#7"
 FRAGMENTS = ((("tion",), "has-tion"), (("the",), "has-the"))
+# The clinical benchmark table (chrom, pos, rsid, ref, alt, gt_raw, gene, phenotype, clinical_significance, evidence_note).
 CLINICAL = (
-    ("rs762551", "CYP1A2", "Risk Factor"), ("rs4988235", "LCT", "Pathogenic"), ("rs4149056", "SLCO1B1", "Risk Factor"),
-    ("rs9923231", "VKORC1", "Drug Response"), ("rs429358", "APOE", "Benign"),
+    ("chr15", 74749576, "rs762551", "A", "C", "1/1", "CYP1A2", "Slow caffeine metabolizer", "Risk Factor", "Decreased CYP1A2 enzyme activity; slower clearance of caffeine."),
+    ("chr12", 21178615, "rs4149056", "T", "C", "0/1", "SLCO1B1", "Statins myopathy risk", "Risk Factor", "Intermediate OATP1B1 function; increased blood statin levels and myopathy risk."),
+    ("chr16", 31107689, "rs9923231", "C", "T", "1/1", "VKORC1", "High warfarin sensitivity", "Drug Response", "Requires lower initial dose of warfarin blood thinner."),
+    ("chr22", 42128945, "rs3892097", "C", "T", "0/1", "CYP2D6", "Intermediate SSRI metabolizer (*4 allele)", "Drug Response", "Reduced metabolism of codeine, SSRIs, and beta-blockers."),
+    ("chr10", 94781859, "rs4244285", "G", "A", "0/1", "CYP2C19", "Intermediate Clopidogrel metabolizer (*2 allele)", "Drug Response", "Reduced bioactivation of clopidogrel (Plavix); alternative antiplatelet advised."),
+    ("chr2", 135851076, "rs4988235", "T", "C", "1/1", "LCT", "Primary Lactase Deficiency (Lactose Intolerance)", "Pathogenic", "Absence of lactase persistence allele; adult hypolactasia."),
+    ("chr1", 11796321, "rs1801133", "G", "A", "1/1", "MTHFR", "Reduced folate metabolism (C677T thermolabile variant)", "Risk Factor", "30-60% decrease in MTHFR enzyme efficiency; elevated homocysteine risk without B-vitamin intake."),
+    ("chr19", 44908684, "rs429358", "T", "C", "0/1", "APOE", "APOE-e4 carrier (Elevated Alzheimer & LDL cholesterol risk)", "Risk Factor", "APOE epsilon 4 allele carrier; associated with increased beta-amyloid deposition and cardiovascular risk."),
+    ("chr19", 44908822, "rs7412", "C", "T", "0/0", "APOE", "APOE-e3 reference", "Benign", "Normal lipoprotein metabolism."),
+    ("chr1", 169549811, "rs6025", "C", "T", "0/1", "F5", "Factor V Leiden carrier (Thrombophilia risk)", "Pathogenic", "Activated protein C resistance; 3-5x increased relative risk for deep vein thrombosis (DVT)."),
+    ("chr6", 32632646, "rs2187668", "T", "C", "1/1", "HLA-DQA1", "HLA-DQ2.5 haplotype (Celiac disease genetic susceptibility)", "Risk Factor", "Present in over 90% of celiac disease patients; dietary gluten triggers T-cell immune response."),
+    ("chr17", 43057051, "rs80357906", "G", "A", "0/0", "BRCA1", "Normal BRCA1 allele (No familial cancer mutation detected)", "Benign", "Wild-type tumor suppressor gene sequence."),
+    ("chr13", 32332611, "rs80359550", "C", "T", "0/0", "BRCA2", "Normal BRCA2 allele", "Benign", "Wild-type BRCA2 sequence."),
+    ("chr17", 7673802, "rs1042522", "G", "C", "0/1", "TP53", "TP53 Arg72Pro polymorphism", "Benign / Risk Modifier", "Common human polymorphism; minor modifier of cellular apoptosis efficiency."),
 )
+CLINICAL_SCHEMA = "chrom string, pos bigint, rsid string, ref string, alt string, gt_raw string, gene string, phenotype string, clinical_significance string, evidence_note string"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,10 +100,10 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
-    title = or_default(F.substring("text", 1, 80), "Untitled")
-    year = F.substring(or_default(F.col("n_chars").cast("string"), "Unknown"), 1, 4)
+    title = or_default(F.get(F.split("text", "\n"), F.lit(0)), TITLE)
+    year = F.substring(or_default(F.col("n_chars").cast("string"), DATE), 1, 4)
     gene = _pick(("LCT", "APOE", "CYP1A2", "VKORC1"), F.col("doc_id") % 4)
-    return d.select(F.col("doc_id").alias("pmid"), title.alias("title"), year.alias("year"), gene.alias("gene"), abstract(title, or_default(F.col("source"), "Unknown"), year, gene).alias("abstract"))
+    return d.select(F.col("doc_id").alias("pmid"), title.alias("title"), year.alias("year"), gene.alias("gene"), abstract(title, or_default(F.col("source"), SOURCE), year, gene).alias("abstract"))
 
 
 VIEWS_SQL = r"""
@@ -213,7 +229,7 @@ def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_questions_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.get(F.lit([w for ws, _ in RULES for w in ws] + ["weather"]), (F.col("turn") + F.col("conv_id")).cast("int") % 14)
-    q = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("Can I have "), F.initcap(words), F.lit("?")).alias("text"))
+    q = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" Can I have "), F.initcap(words), F.lit("?")).alias("text"))
     return routed(q).groupBy("target").agg(F.count("*").alias("n"))
 
 
@@ -259,29 +275,55 @@ def benchmark_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _clinical(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CLINICAL, CLINICAL_SCHEMA)
+
+
 def benchmark_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The literal clinical table against the derived variants, five rsids by turns."""
-    known = spark.createDataFrame(CLINICAL, "rsid string, gene string, clinical_significance string").withColumns({"phenotype": F.lit("trait"), "evidence_note": F.lit("note")})
-    v = _variants(spark, sf_dir).withColumn("rsid", _pick(tuple(c[0] for c in CLINICAL), F.col("ord") % 5))
-    return evidence(v, known, None, "strict").groupBy(*EVIDENCE.names).agg(F.count("*").alias("n"))
+    """The literal clinical table against the derived variants, its rsids by turns."""
+    v = _variants(spark, sf_dir).withColumn("rsid", _pick(tuple(c[2] for c in CLINICAL), F.col("ord") % len(CLINICAL)))
+    return evidence(v, _clinical(spark).drop("ref", "alt", "gt_raw"), None, "strict").groupBy(*EVIDENCE.names).agg(F.count("*").alias("n"))
 
 
 def vcf_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written as text files, read and parsed as a stream until all are done."""
-    import tempfile
-    import uuid
-
-    from helixframe.streaming.lines import stream_vcf
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixframe-")
-    root = f"{base}/stream-{uuid.uuid4().hex}"
+    root = fresh_path(spark, "stream")
     _lines(spark, sf_dir).select("value").write.option("lineSep", "\n").text(f"{root}/in")
     stream_vcf(spark, f"{root}/in", f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/out").groupBy("chrom").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
 
 
+def cosine_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest of each vector whose id is divisible by 20, itself included, among all."""
+    v = _vectors(spark, sf_dir)
+    return top_k_of_each(v, v.where("id % 20 = 0"), 3)
+
+
+def cosine_zero_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all vectors, of which every seventh is zero."""
+    zero = F.when(F.col("id") % 7 == 0, F.transform("vector", lambda x: x * 0)).otherwise(F.col("vector"))
+    scored = _vectors(spark, sf_dir).withColumn("score", cosine(F.lit(_query_vector(spark, sf_dir)), zero))
+    return scored.select("id", F.round("score", 6).alias("score"), score_text(F.col("score")).alias("shown"))
+
+
+def evidence_nulls_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of evidence with a null in any column are dropped."""
+    c = _annotations(spark, sf_dir).withColumn("evidence_note", F.when(F.col("c_ord") % 3 != 0, F.col("evidence_note")))
+    return evidence(_variants(spark, sf_dir), c, None, Profile(None, None, drop_nulls=True))
+
+
+def progress_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("value") > 50).alias("processed"), F.count("*").alias("total"))
+    return c.select("user_id", percent_text(F.col("processed"), F.col("total")).alias("shown"))
+
+
+def uri_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("s3://genomic data/"), F.col("p_brand"), F.lit("/"), F.col("p_name"))
+    return _table(spark, sf_dir, "part").select("p_partkey", basename(name).alias("base"), uri_component(name).alias("coded"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (vcf_parse, vcf_parse_rejects, vcf_roundtrip, genotype_decode_like, genotype_decode_equality, evidence_attached, evidence_cascade, count_guard, ingest_counts, progress_percent, cosine_topk, vector_first_hit, vector_upsert, route_questions, route_questions_domain, user_id_derivation, articles_project, articles_topn_per_gene, summary_lookup, answer_template, benchmark_variants, benchmark_evidence, vcf_stream)
+    plain = (vcf_parse, vcf_parse_rejects, vcf_roundtrip, genotype_decode_like, genotype_decode_equality, evidence_attached, evidence_cascade, count_guard, ingest_counts, progress_percent, cosine_topk, vector_first_hit, vector_upsert, route_questions, route_questions_domain, user_id_derivation, articles_project, articles_topn_per_gene, summary_lookup, answer_template, benchmark_variants, benchmark_evidence, vcf_stream, cosine_topk_each, cosine_zero_vectors, evidence_nulls_dropped, progress_texts, uri_texts)
     return {f.__name__: f for f in plain} | {
         "evidence_served": _evidence(TARGET, "served"),
         "evidence_strict": _evidence(TARGET, "strict"),
@@ -296,8 +338,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _DOMAIN = ["coffee", "caffeine", "lactose", "milk", "dairy", "statin", "cholesterol", "muscle", "warfarin", "blood thinner", "vkorc1", "cyp2c9", "ssri", "antidepressant"]
 _ARTICLES = r"""
 WITH base AS (
-  SELECT doc_id AS pmid, coalesce(nullif(substr(text, 1, 80), ''), 'Untitled') AS title, substr(coalesce(n_chars::VARCHAR, 'Unknown'), 1, 4) AS year,
-    ['LCT', 'APOE', 'CYP1A2', 'VKORC1'][doc_id % 4 + 1] AS gene, coalesce(nullif(source, ''), 'Unknown') AS source FROM documents)
+  SELECT doc_id AS pmid, coalesce(nullif(string_split(text, chr(10))[1], ''), 'Untitled Article') AS title, substr(coalesce(n_chars::VARCHAR, '2025'), 1, 4) AS year,
+    ['LCT', 'APOE', 'CYP1A2', 'VKORC1'][doc_id % 4 + 1] AS gene, coalesce(nullif(source, ''), 'Medical Journal') AS source FROM documents)
 """
 _COSINE = r"""
 WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
@@ -313,7 +355,8 @@ def oracle_sql() -> dict[str, str]:
     equal = "CASE gt_raw WHEN '0/0' THEN ref || '/' || ref WHEN '0/1' THEN ref || '/' || alt WHEN '1/0' THEN ref || '/' || alt WHEN '1/1' THEN alt || '/' || alt ELSE gt_raw END"
     routes = " ".join(f"WHEN {' OR '.join(f'contains(t, {w!r})' for w in words)} THEN '{gene}'" for words, gene in RULES)
     words = ", ".join(repr(w) for w in [*_DOMAIN, "weather"])
-    clinical = ", ".join(f"('{r}', '{g}', '{s}')" for r, g, s in CLINICAL)
+    clinical = ", ".join("(" + ", ".join(repr(x) for x in row) + ")" for row in CLINICAL)
+    turns = ", ".join(repr(row[2]) for row in CLINICAL)
     return {
         "vcf_parse": LINES_SQL + "SELECT p[1] AS chrom, n AS pos, p[3] AS rsid, p[4] AS ref, p[5] AS alt, gt AS gt_raw FROM judged WHERE reject IS NULL",
         "vcf_parse_rejects": LINES_SQL + "SELECT coalesce(reject, 'kept') AS reason, count(*) AS n_lines FROM judged GROUP BY 1",
@@ -335,14 +378,19 @@ def oracle_sql() -> dict[str, str]:
         "progress_percent": "SELECT event_type, count(*) FILTER (value > 50) AS processed, count(*) AS total, round(count(*) FILTER (value > 50) * 100.0::DOUBLE / count(*), 6) AS percentage FROM events GROUP BY 1",
         "cosine_topk": _COSINE + "SELECT id, label, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 5",
         "vector_first_hit": _COSINE + "SELECT id, round(score, 6) AS score FROM scored WHERE id <> 0 ORDER BY scored.score DESC, id LIMIT 1",
+        "cosine_topk_each": "WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.id AS query, e.id, round(list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6) AS score FROM e, e q WHERE q.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s) SELECT query, id, score, place::INT AS place FROM r WHERE place <= 3",
+        "cosine_zero_vectors": _COSINE + "SELECT id, CASE WHEN id % 7 = 0 THEN 0.0::DOUBLE ELSE round(score, 6) END AS score, printf('%.2f%%', CASE WHEN id % 7 = 0 THEN 0.0::DOUBLE ELSE score END * 100) AS shown FROM scored",
+        "evidence_nulls_dropped": VIEWS_SQL + f"SELECT {_COLUMNS} FROM shown WHERE c_ord % 3 <> 0 AND gene IS NOT NULL AND user_genotype IS NOT NULL AND phenotype IS NOT NULL AND clinical_significance IS NOT NULL AND evidence_note IS NOT NULL",
+        "progress_texts": "SELECT user_id, round_even(count(*) FILTER (value > 50) * 100.0::DOUBLE / count(*), 1)::VARCHAR || '%' AS shown FROM events GROUP BY 1",
+        "uri_texts": "SELECT p_partkey, string_split('s3://genomic data/' || p_brand || '/' || p_name, '/')[-1] AS base, url_encode('s3://genomic data/' || p_brand || '/' || p_name) AS coded FROM part",
         "vector_upsert": "SELECT vec_id AS id, label::BIGINT + CASE WHEN vec_id % 3 = 0 THEN 100 ELSE 0 END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label::BIGINT FROM embeddings WHERE vec_id % 5 = 0",
         "route_questions": "SELECT CASE WHEN contains(lower(text), 'tion') THEN 'has-tion' WHEN contains(lower(text), 'the') THEN 'has-the' ELSE 'neither' END AS target, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1",
-        "route_questions_domain": f"WITH q AS (SELECT lower('Can I have ' || [{words}][(turn + conv_id) % 14 + 1] || '?') AS t FROM conversations) SELECT CASE {routes} ELSE 'rs762551' END AS target, count(*) AS n FROM q GROUP BY 1",
+        "route_questions_domain": f"WITH q AS (SELECT lower(text || ' Can I have ' || [{words}][(turn + conv_id) % 14 + 1] || '?') AS t FROM conversations) SELECT CASE {routes} ELSE 'rs762551' END AS target, count(*) AS n FROM q GROUP BY 1",
         "user_id_derivation": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'user-na12878' ELSE 'user-demo-01' END AS user_id, count(*) AS n FROM orders GROUP BY 1",
-        "articles_project": _ARTICLES + "SELECT pmid, title, year, gene, title || '. Published in ' || source || ' (' || year || '). Clinical focus on ' || gene || '.' AS abstract FROM base",
+        "articles_project": _ARTICLES + "SELECT pmid, title, year, gene, title || '. Published in ' || source || ' (' || year || '). Clinical focus on ' || gene || '" + FOCUS + "' AS abstract FROM base",
         "articles_topn_per_gene": _ARTICLES + ", r AS (SELECT gene, pmid, row_number() OVER (PARTITION BY gene ORDER BY pmid) AS ord FROM base) SELECT gene, pmid, ord, row_number() OVER (ORDER BY gene, ord) AS doc_number FROM r WHERE ord <= 2",
-        "summary_lookup": "WITH i AS (SELECT DISTINCT l_orderkey::VARCHAR AS gene, l_partkey AS part FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY part) - 1 AS ord FROM i) SELECT gene, part::VARCHAR AS pmid, ord, 'Part ' || part AS title, 'Unkn' AS year, 'Part ' || part || '. Published in Journal (Unkn). Clinical focus on ' || gene || '.' AS abstract FROM r WHERE ord < 3 AND part % 2 = 1",
+        "summary_lookup": "WITH i AS (SELECT DISTINCT l_orderkey::VARCHAR AS gene, l_partkey AS part FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY part) - 1 AS ord FROM i) SELECT gene, part::VARCHAR AS pmid, ord, 'Part ' || part AS title, '2025' AS year, 'Part ' || part || '. Published in Journal (2025). Clinical focus on ' || gene || '" + FOCUS + "' AS abstract FROM r WHERE ord < 3 AND part % 2 = 1",
         "answer_template": VIEWS_SQL + f", r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY rsid, user_genotype, phenotype, clinical_significance, evidence_note) AS k FROM shown WHERE {_STRICT}) SELECT gene, 'Your genotype at ' || rsid || ' (' || gene || ') is ' || user_genotype || ': ' || phenotype || ' [' || clinical_significance || ']. ' || evidence_note || CASE WHEN length(gene) > 7 THEN ' Literature: On ' || gene ELSE '' END AS answer, CASE WHEN length(gene) > 7 THEN 'query_genotype,search_medical_literature' ELSE 'query_genotype' END AS tools FROM r WHERE k = 1",
         "benchmark_variants": "SELECT 'chr' || ((c_custkey + 1) % 22 + 1) AS chrom, (c_custkey + 1) * 14250 + 1000000 AS pos, 'rs10000' || (c_custkey + 1) AS rsid, ['A', 'C', 'G', 'T'][(c_custkey + 1) % 4 + 1] AS ref, ['A', 'C', 'G', 'T'][(c_custkey + 2) % 4 + 1] AS alt, ['0/0', '0/1', '1/1'][(c_custkey + 1) % 3 + 1] AS gt_raw FROM customer",
-        "benchmark_evidence": VIEWS_SQL + f", known(rsid, gene, clinical_significance) AS (VALUES {clinical}), turned AS (SELECT *, ['rs762551', 'rs4988235', 'rs4149056', 'rs9923231', 'rs429358'][ord % 5 + 1] AS r FROM variants) SELECT r AS rsid, gene, {like} AS user_genotype, 'trait' AS phenotype, clinical_significance, 'note' AS evidence_note, count(*) AS n FROM turned JOIN known ON r = known.rsid WHERE {_STRICT} GROUP BY ALL",
+        "benchmark_evidence": VIEWS_SQL + f", known(chrom, pos, rsid, r, a, g, gene, phenotype, clinical_significance, evidence_note) AS (VALUES {clinical}), turned AS (SELECT *, [{turns}][ord % {len(CLINICAL)} + 1] AS of FROM variants) SELECT of AS rsid, gene, {like} AS user_genotype, phenotype, clinical_significance, evidence_note, count(*) AS n FROM turned JOIN known ON of = known.rsid WHERE {_STRICT} GROUP BY ALL",
     }

@@ -14,7 +14,6 @@ def _strings(*names: str) -> T.StructType:
 VARIANTS = T.StructType([T.StructField("chrom", T.StringType()), T.StructField("pos", T.LongType()), *_strings("rsid", "ref", "alt", "gt_raw").fields])
 ANNOTATIONS = _strings("rsid", "gene", "phenotype", "clinical_significance", "evidence_note")
 EVIDENCE = _strings("rsid", "gene", "user_genotype", "phenotype", "clinical_significance", "evidence_note")
-ARTICLES = _strings("pmid", "title", "abstract", "year", "gene")
 VECTORS = T.StructType([T.StructField("id", T.LongType()), *_strings("pmid", "title", "abstract", "year", "gene").fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
 ID_LIST = "esearchresult struct<idlist:array<string>>"
 SUMMARIES = "result map<string,struct<title:string,pubdate:string,source:string>>"

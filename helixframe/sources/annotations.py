@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.schemas import ANNOTATIONS
+from helixframe.sources.store import exists
 
 
 def read_annotations(spark: SparkSession, path: str, *, raw: bool = False) -> DataFrame:
@@ -19,10 +20,8 @@ def read_annotations(spark: SparkSession, path: str, *, raw: bool = False) -> Da
 
 def first_existing(spark: SparkSession, candidates: Sequence[str]) -> str:
     """The first path that exists, in any file system Spark knows."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in candidates:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(conf).exists(p):
+        if exists(spark, path):
             return path
     raise FileNotFoundError(", ".join(candidates))
 

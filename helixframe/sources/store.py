@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
-from helixframe.schemas import ANNOTATIONS, VARIANTS
+from helixframe.schemas import ANNOTATIONS, VARIANTS, VECTORS
 
 MODES = ("overwrite", "append", "if_empty")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """In any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset and Spark runs in this process a temporary folder serves; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="helixframe-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Store:
     """Tables under one root: variants by user, annotations, vectors."""
 
@@ -21,10 +42,9 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        """Empty if the table was never written; what else goes wrong is an error."""
+        path = f"{self.root}/{name}"
+        return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def _write(self, df: DataFrame, name: str, schema: T.StructType, mode: str) -> None:
         if mode not in MODES:
@@ -46,6 +66,13 @@ class Store:
         """From another store's root if one is given."""
         return Store(self.spark, other_root or self.root)._read("annotations", ANNOTATIONS)
 
+    def write_vectors(self, documents: DataFrame, dimension: int) -> None:
+        """K5, K7: all vector documents anew; one of another dimension fails the write."""
+        self._write(check_dimension(documents, dimension), "vectors", VECTORS, "overwrite")
+
+    def vectors(self) -> DataFrame:
+        return self._read("vectors", VECTORS)
+
     def validate(self, user: str) -> dict[str, int]:
         """Counts; raises if there are no rows, a null key or a position out of range."""
         n, nulls, outside = self.variants(user).agg(F.count("*"), F.count_if(F.col("rsid").isNull()), F.count_if(~F.col("pos").between(0, 4294967295))).first()
@@ -65,10 +92,3 @@ def check_dimension(vectors: DataFrame, dimension: int, column: str = "vector")
     """K7: fails when a vector has another length, as the rows are read."""
     ok = F.size(column) == dimension
     return vectors.withColumn(column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"not {dimension} elements: "), F.size(column).cast("string")))))
-
-
-def new_version(df: DataFrame, root: str) -> str:
-    """A fresh path under root: what is read is never overwritten."""
-    path = f"{root}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,20 @@ from helixframe.schemas import MAX_POSITION
 def read_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Lines of a plain or gzip file (by suffix), without those that aren't UTF-8.
 
-    A gzip file is read by one task; ``partitions`` deals its lines out before parsing.
+    A gzip file is read by one task, which deals its lines out before they are parsed, to
+    ``partitions`` tasks or as many as run at once.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).where(F.expr("is_valid_utf8(value)"))
+    lines = valid_lines(spark.read.option("lineSep", "\n").text(path))
+    if partitions is None and path.endswith(".gz"):
+        partitions = spark.sparkContext.defaultParallelism
     return lines.repartition(partitions) if partitions else lines
 
 
+def valid_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are UTF-8."""
+    return lines.where(F.expr("is_valid_utf8(value)"))
+
+
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``value`` as the only column, worked out once a row: filters above don't move below it."""
     return df.select(F.explode(F.array(value)).alias(name))
@@ -57,17 +67,46 @@ def read_vcf(spark: SparkSession, path: str, partitions: int | None = None) -> D
     return parse_lines(read_lines(spark, path, partitions))
 
 
-def record_line(info: Column | None = None, quality: str = "99", sample_tail: str = "99:65") -> Column:
-    """The line of a variant with FORMAT GT:GQ:DP."""
-    fields = [F.col("chrom"), F.col("pos").cast("string"), F.col("rsid"), F.col("ref"), F.col("alt"), F.lit(quality), F.lit("PASS"), info if info is not None else F.lit("."), F.lit("GT:GQ:DP"), F.concat_ws(":", F.col("gt_raw"), F.lit(sample_tail))]
+#: The header lines of a benchmark file; the sample's name ends the last.
+HEADER = (
+    "##fileformat=VCFv4.2",
+    "##fileDate=20260731",
+    "##source=1000Genomes_NA12878_Clinical_Benchmark_v1.0",
+    "##reference=GRCh38/hg38",
+    '##INFO=<ID=RS,Number=1,Type=String,Description="dbSNP rsID">',
+    '##INFO=<ID=GENE,Number=1,Type=String,Description="HGNC Gene Symbol">',
+    '##INFO=<ID=CLNSIG,Number=1,Type=String,Description="ClinVar Clinical Significance">',
+    '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+    '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype Quality">',
+    '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Read Depth">',
+)
+SAMPLE = "NA12878_BENCHMARK"
+
+
+def info(rsid: Column, gene: Column, significance: Column | None = None) -> Column:
+    """RS, GENE and, where there is a significance, CLNSIG with _ for white space."""
+    parts = [F.concat(F.lit("RS="), rsid), F.concat(F.lit("GENE="), gene)]
+    if significance is not None:
+        parts.append(F.concat(F.lit("CLNSIG="), F.regexp_replace(significance, r"\s+", "_")))
+    return F.concat_ws(";", *parts)
+
+
+def record_line(info: Column | None = None, quality: str | Column = "99", sample_tail: str | Column = "99:65") -> Column:
+    """The line of a variant with FORMAT GT:GQ:DP."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    fields = [F.col("chrom"), F.col("pos").cast("string"), F.col("rsid"), F.col("ref"), F.col("alt"), lit(quality), F.lit("PASS"), info if info is not None else F.lit("."), F.lit("GT:GQ:DP"), F.concat_ws(":", F.col("gt_raw"), lit(sample_tail))]
     return F.concat_ws("\t", *fields)
 
 
-def write_vcf(variants: DataFrame, path: str, header: list[str] | None = None, sample: str = "SAMPLE") -> None:
-    """One text file of header lines, then records in order of chrom, pos, rsid."""
-    spark = variants.sparkSession
+def write_vcf(variants: DataFrame, path: str, header: Sequence[str] = HEADER, sample: str = SAMPLE, line: Column | None = None) -> None:
+    """Part files in order, the header's first, then ranges of chrom, pos, rsid sorted within.
+
+    Put together in the order of their names they are one file; no task holds more than its
+    range. A reader of the folder sees the lines of all parts.
+    """
     columns = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])
-    top = spark.createDataFrame([(i, x) for i, x in enumerate([*(header or ["##fileformat=VCFv4.2"]), columns])], "n int, value string")
-    body = variants.select(F.lit(1 << 30).alias("n"), "chrom", "pos", "rsid", record_line().alias("value"))
-    both = top.select("n", F.lit("").alias("chrom"), F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("rsid"), "value").unionByName(body)
-    both.repartition(1).sortWithinPartitions("n", "chrom", "pos", "rsid").select("value").write.mode("overwrite").text(path)
+    text = "\n".join([*header, columns])
+    top = variants.sparkSession.range(1, numPartitions=1).select(F.lit(text).alias("value"))
+    body = variants.select("chrom", "pos", "rsid", (record_line() if line is None else line).alias("value"))
+    body = body.repartitionByRange("chrom", "pos", "rsid").sortWithinPartitions("chrom", "pos", "rsid").select("value")
+    top.unionByName(body).write.mode("overwrite").option("lineSep", "\n").text(path)

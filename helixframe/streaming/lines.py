@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from helixframe.functions.text import percent
-from helixframe.sources.vcf import parse_lines
+from helixframe.sources.vcf import parse_lines, valid_lines
 
 
 def stream_vcf(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
     """Parse what is new in a folder of variant files into Parquet, then stop; the parser keeps no state."""
-    lines = spark.readStream.option("lineSep", "\n").text(folder)
+    lines = valid_lines(spark.readStream.option("lineSep", "\n").text(folder))
     return parse_lines(lines).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -37,9 +35,3 @@ def with_progress(spark: SparkSession, job: Callable[[], None], report: Callable
     finally:
         ended.set()
         thread.join()
-
-
-def progress_by(df: DataFrame, key: str, done: str) -> DataFrame:
-    """F22 by group: processed, total and percentage."""
-    counts = df.groupBy(key).agg(F.count_if(F.col(done)).alias("processed"), F.count("*").alias("total"))
-    return counts.withColumn("percentage", percent(F.col("processed"), F.col("total")))

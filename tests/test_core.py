@@ -4,16 +4,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions.genotype import decode
-from helixframe.operators.evidence import evidence
+from helixframe.operators.evidence import evidence, find_first
 from helixframe.operators.routing import route
 from helixframe.operators.search import top_k
 from helixframe.plans.assistant import Assistant
-from helixframe.plans.ingest import Ingestion, VariantFileError
+from helixframe.plans.ingest import Ingestion, VariantFileError, retry
+from helixframe.plans.queries import CLINICAL, CLINICAL_SCHEMA
 from helixframe.sources.annotations import first_existing, read_annotations, write_annotations
-from helixframe.sources.literature import articles, embedded
+from helixframe.sources.literature import articles, embedded, targets, union_of
 from helixframe.sources.store import Store, check_dimension, upsert
 from helixframe.sources.vcf import parse_lines, read_vcf, write_vcf
-from helixframe.streaming.lines import stream_vcf
+from helixframe.streaming.lines import stream_vcf, with_progress
 
 VCF = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS\n" + "".join(
     f"{c}\t{p}\t{i}\t{r}\t{a}\t99\tPASS\tX\tGT\t{g}\n"
@@ -103,9 +104,64 @@ def test_literature(spark):
     ids = spark.createDataFrame([("LCT", ["1", "2", "3", "4"])], "gene string, idlist array<string>")
     maps = spark.createDataFrame([("LCT", {"1": ("T", "2020 Jan", "J"), "3": ("", None, "J"), "4": ("x", "1", "y")})], "gene string, result map<string,struct<title:string,pubdate:string,source:string>>")
     rows = articles(ids, maps, 3).orderBy("ord").collect()
-    assert [(r.pmid, r.title, r.year) for r in rows] == [("1", "T", "2020"), ("3", "Untitled", "Unkn")]
+    assert [(r.pmid, r.title, r.year) for r in rows] == [("1", "T", "2020"), ("3", "Untitled Article", "2025")]
     assert embedded(articles(ids, maps), lambda t: [[float(len(x))] for x in t]).select("vector").first()[0][0] > 0
 
 
 def test_routes():
     assert [route(q) for q in ("Can I drink COFFEE?", "milk", "statin", "blood thinner", "SSRI", "?")] == ["CYP1A2", "LCT", "SLCO1B1", "VKORC1", "CYP2D6", "rs762551"]
+
+
+def test_union_of_searches(spark):
+    """A search that fails is reported and left out."""
+    failed = []
+    found = union_of([lambda: spark.range(2), lambda: 1 / 0, lambda: spark.range(5, 6)], failed.append)
+    assert sorted(r.id for r in found.collect()) == [0, 1, 5] and len(failed) == 1 and union_of([lambda: 1 / 0]) is None
+    assert [r.term for r in targets(spark).collect()][0] == "CYP1A2%20caffeine%20metabolism"
+
+
+def test_first_found_and_errors(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 2), ("a", 1), ("b", 0)], "k string, n int")
+    assert find_first(rows, "k", "a").collect() == [("a", 1)] and find_first(rows, "k", "c").isEmpty()
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.variants("nobody").isEmpty()
+    (tmp_path / "store" / "annotations").mkdir(parents=True)
+    (tmp_path / "store" / "annotations" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        store.annotations().collect()
+    with pytest.raises(Exception):
+        store.write_vectors(spark.createDataFrame([(1, "p", "t", "a", "y", "g", [1.0, 2.0])], "id long, pmid string, title string, abstract string, year string, gene string, vector array<double>"), 3)
+
+
+def test_progress_of_a_job(spark):
+    seen = []
+    with_progress(spark, lambda: spark.range(0, 10**7, numPartitions=8).selectExpr("sum(sqrt(id))").collect(), lambda done, every: seen.append((done, every)), seconds=0.01)
+    assert seen and all(done <= every for done, every in seen)
+
+
+def test_command_line(spark, files, capsys, monkeypatch):
+    from helixframe import cli
+
+    assert cli.main(["--store", str(files / "cli"), "--annotations", str(files / "n.tsv"), "ingest", "u", str(files / "b.vcf.gz")]) == 0
+    assert '"rows": 4' in capsys.readouterr().out
+    assert cli.main(["--store", str(files / "cli"), "query", "u", "LCT"]) == 0 and "rs4988235" in capsys.readouterr().out
+
+
+def test_retry_and_empty_file(spark, tmp_path):
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("again")
+        return "done"
+
+    assert retry(flaky, first_wait=0.01) == "done" and len(calls) == 3
+    (tmp_path / "e.vcf").write_text("##nothing\n")
+    with pytest.raises(VariantFileError):
+        Ingestion(spark, Store(spark, str(tmp_path / "s"))).run("u", str(tmp_path / "e.vcf"))
+
+
+def test_benchmark_table(spark):
+    rows = spark.createDataFrame(CLINICAL, CLINICAL_SCHEMA)
+    assert rows.count() == 14 and [evidence(rows.drop("gene", "phenotype", "clinical_significance", "evidence_note"), rows.drop("ref", "alt", "gt_raw"), None, p).count() for p in ("served", "strict")] == [10, 7]

@@ -1,12 +1,15 @@
 """Every core query against its SQL in DuckDB."""
 
+import os
+
 import duckdb
 import pytest
 
-from helixframe.plans import queries
+from helixframe.plans import file_queries, queries
 
-DIR = "/root/testdata/sf0.001"
-SQL = queries.oracle_sql()
+DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SQL = queries.oracle_sql() | file_queries.oracle_sql()
+QUERIES = queries.queries() | file_queries.queries()
 
 
 @pytest.fixture(scope="module")
@@ -18,11 +21,11 @@ def duck():
 
 
 def test_each_has_sql():
-    assert queries.queries().keys() == SQL.keys()
+    assert QUERIES.keys() == SQL.keys()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
-    df = queries.queries()[name](spark, DIR)
+    df = QUERIES[name](spark, DIR)
     columns = sorted(df.columns)
     assert sorted(str(tuple(r)) for r in df.select(columns).collect()) == sorted(str(r) for r in duck.sql(f"select {', '.join(columns)} from ({SQL[name]})").fetchall())
