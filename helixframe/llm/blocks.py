@@ -23,7 +23,7 @@ from helixframe.llm.common import Words, buffers, mapped, ship, slices, written
 
 BLOCK_BYTES = 4 << 20
 BUCKET_KEYS = 1 << 20
-KEY_BYTES = 5  # of a key below its bucket's bits; a longer key's rest is left out, which at most flags more
+KEY_BYTES = 4  # of a key below its bucket's bits; the rest is left out, which flags about one key in some thousands more
 NULL_ID = np.iinfo(np.int64).min  # null ids rank first
 
 BLOCK_SCHEMA = "part bigint, ids array<bigint>, sizes array<bigint>, texts binary"

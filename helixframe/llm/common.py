@@ -45,27 +45,31 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-_folders = threading.local()  # the folder of the innermost scratch()
+_folders = threading.local()  # the folders of the scratch() blocks that are open, the innermost last
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables ``written`` inside, but those to ``keep``, are deleted at the end: nothing may read them then."""
-    before = getattr(_folders, "name", None)
-    _folders.name = name = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    name = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    before = getattr(_folders, "names", ())
+    _folders.names = (*before, name)
     try:
         yield
     finally:
-        _folders.name = before
+        _folders.names = before
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read again."""
+def written(df: DataFrame, label: str, keep: int = 0) -> DataFrame:
+    """Cut the lineage: write to the shared folder as Parquet and read again.
+
+    The table outlives the innermost ``keep`` scratch() blocks.
+    """
     spark = df.sparkSession
-    folder = None if keep else getattr(_folders, "name", None)
-    path = f"{folder or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folders = (shared_folder(spark), *getattr(_folders, "names", ()))
+    path = f"{folders[max(0, len(folders) - 1 - keep)]}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

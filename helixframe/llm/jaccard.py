@@ -152,7 +152,9 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     several classes but shares a rare signature is compared pair by pair. No pair of equal sets or of one class is made.
     """
     with scratch(docs.sparkSession):
-        sized, firsts, roots = _sets_and_roots(docs, key, text, shingle, percent)
+        with scratch(docs.sparkSession):
+            sized, firsts, kept = _candidates(docs, key, text, shingle, percent)
+        roots = written(_classes(kept, percent), "roots", keep=1)
     equal = ["n_shingles", "h1", "h2"]
     named = firsts.join(roots, firsts["rep"] == roots["node"], "left").select(*equal, F.coalesce("root", "rep").alias("component_id"))
     out = sized.join(named, equal, "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
@@ -160,8 +162,8 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     return out.select(blank("id").alias("doc_id"), "n_shingles", blank("component_id").alias("component_id"))
 
 
-def _sets_and_roots(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with the size and two hashes of their sets, the first row of each set, and (node, root) of linked ones."""
+def _candidates(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with the size and two hashes of their sets, the first row of each set, and the sets with signatures that occur elsewhere."""
     blocks = pack(docs, key=key, text=text)
     bits = bucket_bits(blocks)
 
@@ -175,10 +177,10 @@ def _sets_and_roots(docs: DataFrame, key: str, text: str, shingle: int, percent:
                 two = np.array([mix64(s ^ _SEEDS[1]).sum(dtype=np.uint64) for s in found], dtype=np.uint64).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([block.part] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int64)), pa.array([len(s) for s in found], pa.int64()), pa.array(one), pa.array(two)], ["id", "part", "at", "n_shingles", "h1", "h2"])
 
-    sized = written(mapped(blocks, facts, "id bigint, part bigint, at bigint, n_shingles bigint, h1 bigint, h2 bigint"), "sets", keep=True)
+    sized = written(mapped(blocks, facts, "id bigint, part bigint, at bigint, n_shingles bigint, h1 bigint, h2 bigint"), "sets", keep=2)
     equal = ["n_shingles", "h1", "h2"]
     firsts = sized.where("n_shingles > 0").groupBy(*equal).agg(F.min(F.struct("id", "part", "at")).alias("f"))
-    firsts = written(firsts.select(*equal, F.col("f.id").alias("rep"), F.col("f.part").alias("part"), F.col("f.at").alias("at")), "firsts", keep=True)
+    firsts = written(firsts.select(*equal, F.col("f.id").alias("rep"), F.col("f.part").alias("part"), F.col("f.at").alias("at")), "firsts", keep=2)
     largest = firsts.agg(F.max("n_shingles")).first()[0] or 1
     scheme = Scheme(int(largest), percent)
 
@@ -216,8 +218,8 @@ def _sets_and_roots(docs: DataFrame, key: str, text: str, shingle: int, percent:
 
     flags = repeated(mapped(blocks, keys, KEY_SCHEMA))
     wanted = firsts.select("part", F.lit(0).alias("kind"), F.col("at").cast("int").alias("bucket"), F.lit(None).cast("binary").alias("flags"))
-    kept = written(with_flags(blocks, flags.unionByName(wanted), candidates, "rep bigint, n bigint, signatures array<bigint>, shingles array<bigint>"), "candidates")
-    return sized, firsts, written(_classes(kept, percent), "roots", keep=True)
+    kept = written(with_flags(blocks, flags.unionByName(wanted), candidates, "rep bigint, n bigint, signatures array<bigint>, shingles array<bigint>"), "candidates", keep=1)
+    return sized, firsts, kept
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
