@@ -28,8 +28,8 @@ from helixframe.llm.common import SLICE_BYTES, buffers, slices, tiled_hash
 #: Fixed value: the published pre-tokenization pattern of byte-level BPE, which split_places follows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 64  # bytes; longer words are read one by one
-CACHE_WORDS = 700_000
-TABLE_BITS = 20
+CACHE_WORDS = 1_200_000
+TABLE_BITS = 21
 
 
 def byte_characters() -> dict[str, int]:

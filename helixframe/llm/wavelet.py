@@ -3,15 +3,16 @@
 A block holds the ids of consecutive documents in order. Its wavelet matrix has
 one plane of bits for each bit of an id, from the highest: plane p holds bit p of
 all ids in the order left by the planes above, then zeros go before ones. With
-counts of ones before every 512 bits, the id at a place, the number of a symbol
-before a place and the place of its k-th occurrence take a few steps per plane.
+counts of ones before every 512 bits, which the file holds too, the id at a place, the
+number of a symbol before a place and the place of its k-th occurrence take a few steps
+per plane. A shard's file holds the matrices of its blocks, one in each row.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +21,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe
-from helixframe.llm.common import mapped, shuffle_partitions
+from helixframe.llm.common import mapped, shuffle_partitions, ship
 from helixframe.llm.encode import read_definition
 
 BLOCK_IDS = 1 << 21
 _HEAD = struct.Struct("<4sIQ")
-_MAGIC = b"HWM1"
+_MAGIC = b"HWM2"
 _STEP = 512
+_SOME = 4096  # occurrences looked up at once
 
 FILE_SCHEMA = "shard bigint, block bigint, doc_ids array<bigint>, doc_tokens array<bigint>, n_ids bigint, payload binary"
 
 
+def _counts(plane: np.ndarray) -> np.ndarray:
+    """Ones before every _STEP bits of a packed plane, and all."""
+    if not len(plane):
+        return np.zeros(1, dtype="<u4")
+    steps = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), _STEP // 8), dtype=np.int64)
+    return np.concatenate([[0], np.cumsum(steps)]).astype("<u4")
+
+
 class WaveletMatrix:
     """A sequence of non-negative integers as bit planes with rank and select."""
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray]):
+    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray], ones: list[np.ndarray]):
         self.n, self.zeros, self.planes = n, zeros, planes  # planes: packed, low bit first
-        self._ones: list[np.ndarray] | None = None
+        self.ones = ones  # of each plane, before every _STEP bits and in all
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int | None = None) -> WaveletMatrix:
@@ -50,10 +60,10 @@ class WaveletMatrix:
             low = v[~one]
             zeros.append(len(low))
             v = np.concatenate([low, v[one]])
-        return cls(len(v), zeros, planes)
+        return cls(len(v), zeros, planes, [_counts(p) for p in planes])
 
     def to_bytes(self) -> bytes:
-        return _HEAD.pack(_MAGIC, len(self.planes), self.n) + struct.pack(f"<{len(self.zeros)}Q", *self.zeros) + b"".join(p.tobytes() for p in self.planes)
+        return _HEAD.pack(_MAGIC, len(self.planes), self.n) + struct.pack(f"<{len(self.zeros)}Q", *self.zeros) + b"".join(p.tobytes() for p in [*self.planes, *self.ones])
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> WaveletMatrix:
@@ -61,19 +71,19 @@ class WaveletMatrix:
         if magic != _MAGIC:
             raise ValueError("not a wavelet matrix")
         zeros = list(struct.unpack_from(f"<{bits}Q", raw, _HEAD.size))
-        at, size = _HEAD.size + 8 * bits, (n + 7) // 8
-        return cls(n, zeros, [np.frombuffer(raw, dtype=np.uint8, count=size, offset=at + i * size) for i in range(bits)])
+        at, size, steps = _HEAD.size + 8 * bits, (n + 7) // 8, -(-n // _STEP) + 1
+        planes = [np.frombuffer(raw, dtype=np.uint8, count=size, offset=at + i * size) for i in range(bits)]
+        at += bits * size
+        return cls(n, zeros, planes, [np.frombuffer(raw, dtype="<u4", count=steps, offset=at + 4 * i * steps) for i in range(bits)])
 
     def _bit(self, p: int, i: int) -> int:
         return int(self.planes[p][i >> 3]) >> (i & 7) & 1
 
     def _rank1(self, p: int, i: int) -> int:
         """Ones of plane p before place i."""
-        if self._ones is None:
-            self._ones = [np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(x), np.arange(0, len(x), _STEP // 8), dtype=np.int64))]) if len(x) else np.zeros(1, dtype=np.int64) for x in self.planes]
         block, plane = i // _STEP, self.planes[p]
         rest = plane[block * _STEP // 8 : (i + 7) // 8]
-        ones = int(self._ones[p][block]) + int(np.bitwise_count(rest).sum())
+        ones = int(self.ones[p][block]) + int(np.bitwise_count(rest).sum())
         return ones - (int(rest[-1]) >> (i & 7)).bit_count() if i & 7 else ones
 
     def access(self, i: int) -> int:
@@ -103,18 +113,35 @@ class WaveletMatrix:
     def count(self, symbol: int) -> int:
         return self.rank(symbol, self.n)
 
+    def _select(self, p: int, bit: bool, j: np.ndarray) -> np.ndarray:
+        """Places of the j-th ones, or zeros, of plane p: by the counts, then within their step."""
+        counts = self.ones[p].astype(np.int64)
+        counts = counts if bit else np.minimum(np.arange(len(counts)) * _STEP, self.n) - counts
+        step = np.searchsorted(counts, j, side="right") - 1
+        padded = np.zeros((len(counts) - 1) * _STEP // 8, dtype=np.uint8)
+        padded[: len(self.planes[p])] = self.planes[p]
+        bits = np.unpackbits(padded.reshape(-1, _STEP // 8)[step], axis=1, bitorder="little") == bit
+        return step * _STEP + (np.cumsum(bits, axis=1, dtype=np.int16) > (j - counts[step])[:, None]).argmax(axis=1)
+
+    def places(self, symbol: int, k: np.ndarray) -> np.ndarray:
+        """Places of the occurrences numbered k (from 0) of the symbol, from the lowest plane up."""
+        at = self._range(symbol, self.n)[0] + np.asarray(k, dtype=np.int64)
+        for p in range(len(self.planes) - 1, -1, -1):
+            bit = bool(symbol >> (len(self.planes) - 1 - p) & 1)
+            at = self._select(p, bit, at - self.zeros[p] if bit else at)
+        return at
+
     def select(self, symbol: int, k: int) -> int:
         """Place of occurrence k (from 0) of the symbol."""
         if not 0 <= k < self.count(symbol):
             raise IndexError(k)
-        lo, hi = 0, self.n - 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.rank(symbol, mid + 1) > k else (mid + 1, hi)
-        return lo
+        return int(self.places(symbol, np.array([k]))[0])
 
-    def occurrences(self, symbol: int) -> list[int]:
-        return [self.select(symbol, k) for k in range(self.count(symbol))]
+    def occurrences(self, symbol: int) -> Iterator[np.ndarray]:
+        """Places of all occurrences, some thousands at a time."""
+        n = self.count(symbol)
+        for k in range(0, n, _SOME):
+            yield self.places(symbol, np.arange(k, min(n, k + _SOME)))
 
     def decode(self) -> np.ndarray:
         """All values in order, from the lowest plane up."""
@@ -184,9 +211,69 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shard", "block", "in_block", "n_tokens", "ids_crc32"])
 
     rows = mapped(files, run, "doc_id bigint, shard bigint, block bigint, in_block bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.join(_starts(files), ["shard", "block"]).select("doc_id", (F.col("start") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _starts(files: DataFrame) -> DataFrame:
+    """shard, block, n_ids, start: where each block begins among the ids of all files."""
     sizes = files.select("shard", "block", "n_ids")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
     inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = sizes.select("shard", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("block_start")).join(shards, "shard")
-    return rows.join(blocks, ["shard", "block"]).select("doc_id", (F.col("shard_start") + F.col("block_start") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32")
+    blocks = sizes.select("shard", "block", "n_ids", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("block_start")).join(shards, "shard")
+    return blocks.select("shard", "block", "n_ids", (F.col("shard_start") + F.col("block_start")).alias("start"))
+
+
+def token_places(spark: SparkSession, path: str, ids: Sequence[int]) -> DataFrame:
+    """id, place: every occurrence of the ids in the files, by rank and select; places count over all files."""
+    files = spark.read.schema(FILE_SCHEMA).parquet(path)
+    wanted = sorted({int(i) for i in ids})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                matrix = WaveletMatrix.from_bytes(row["payload"])
+                for i in wanted:
+                    for places in matrix.occurrences(i):
+                        n = len(places)
+                        yield pa.RecordBatch.from_arrays([pa.array([x] * n, pa.int64()) for x in (i, row["shard"], row["block"])] + [pa.array(places, pa.int64())], ["id", "shard", "block", "at"])
+
+    found = mapped(files.select("shard", "block", "payload"), run, "id bigint, shard bigint, block bigint, at bigint")
+    return found.join(_starts(files), ["shard", "block"]).select("id", (F.col("start") + F.col("at")).alias("place"))
+
+
+def token_counts(spark: SparkSession, path: str, ids: Sequence[int]) -> DataFrame:
+    """id, n: how often each of the ids stands in the files, by rank."""
+    wanted = sorted({int(i) for i in ids})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                matrix = WaveletMatrix.from_bytes(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array([matrix.count(i) for i in wanted], pa.int64())], ["id", "n"])
+
+    counts = mapped(spark.read.schema(FILE_SCHEMA).parquet(path).select("payload"), run, "id bigint, n bigint")
+    return counts.groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """place, id: for each row of ``places`` (place) the id there, by access; places beyond the files give no row.
+
+    A place finds its block by equal numbers of BLOCK_IDS ids, of which a block touches a few.
+    """
+    files = spark.read.schema(FILE_SCHEMA).parquet(path)
+    spans = _starts(files).withColumn("span", F.explode(F.sequence(F.floor(F.col("start") / BLOCK_IDS), F.floor((F.col("start") + F.col("n_ids") - 1) / BLOCK_IDS))))
+    asked = places.select(F.col("place").cast("bigint").alias("place")).withColumn("span", F.floor(F.col("place") / BLOCK_IDS))
+    inside = (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n_ids"))
+    found = asked.join(spans, "span").where(inside).select("shard", "block", "place", (F.col("place") - F.col("start")).alias("at"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:  # a block that nobody asks for
+            return pa.table({"place": pa.array([], pa.int64()), "id": pa.array([], pa.int64())})
+        matrix = WaveletMatrix.from_bytes(right.column("payload")[0].as_py())
+        return pa.table({"place": left.column("place"), "id": pa.array([matrix.access(i) for i in left.column("at").to_pylist()], pa.int64())})
+
+    ship(spark)
+    by = ["shard", "block"]
+    matrices = spark.read.schema(FILE_SCHEMA).parquet(path).select(*by, "payload")
+    return found.groupBy(*by).cogroup(matrices.groupBy(*by)).applyInArrow(run, "place bigint, id bigint")

@@ -143,6 +143,12 @@ def test_token_files(spark, odd_docs, no_docs, tokenizer_path, monkeypatch):
         ids = [*LIBRARY.encode(text, add_special_tokens=False).ids, 0]
         assert (rows[doc].start, rows[doc].n_tokens, rows[doc].ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += len(ids)
+    every = [x for _, text in sorted(((r.doc_id, r.text or "") for r in odd_docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0)) for x in [*LIBRARY.encode(text, add_special_tokens=False).ids, 0]]
+    asked = [0, 1, len(every) // 2, len(every) - 1, len(every) + 5]
+    assert {(r.place, r.id) for r in wavelet.tokens_at(spark, path, spark.createDataFrame([(p,) for p in asked], "place long")).collect()} == {(p, every[p]) for p in asked[:-1]}
+    ids = [0, every[5], every[-2], 50255]
+    assert sorted((r.id, r.place) for r in wavelet.token_places(spark, path, ids).collect()) == sorted((x, i) for i, x in enumerate(every) if x in ids)
+    assert {r.id: r.n for r in wavelet.token_counts(spark, path, ids).collect()} == {i: every.count(i) for i in ids}
     wavelet.write_token_files(no_docs, path + "b", tokenizer_path)
     assert wavelet.read_token_files(spark, path + "b").count() == 0
 
@@ -156,7 +162,7 @@ def test_wavelet_matrix(values):
     for i in range(0, len(values), 37):
         assert w.access(i) == values[i] and w.rank(values[i], i) == values[:i].count(values[i])
     for symbol in [*values[:3], 299]:
-        assert w.occurrences(symbol) == [i for i, x in enumerate(values) if x == symbol] and w.count(symbol) == values.count(symbol)
+        assert [i for x in w.occurrences(symbol) for i in x.tolist()] == [i for i, x in enumerate(values) if x == symbol] and w.count(symbol) == values.count(symbol)
 
 
 def test_entry():
