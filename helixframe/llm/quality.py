@@ -215,12 +215,11 @@ def held_out(key: str = "doc_id"):
 def _learnt(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample_rows: int) -> Broadcast:
     """The model of the labelled rows of ``docs`` that aren't held out, broadcast.
 
-    Whether labels are broadcast to the texts, or both dealt by id, is left to the planner,
-    which knows their size.
+    Labels grow with the documents, so they aren't broadcast: both are dealt by id at every size.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(~held_out())
-    return docs.sparkSession.sparkContext.broadcast(fit(written(features(rows.join(known, "doc_id")), "features"), sample_rows=sample_rows))
+    return docs.sparkSession.sparkContext.broadcast(fit(written(features(rows.join(known.hint("merge"), "doc_id")), "features"), sample_rows=sample_rows))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
