@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import encode, fingerprint, host_rules, jaccard, licenses, mixing, pii, quality, substrings, wavelet
+from helixframe.llm import encode, fingerprint, host_rules, jaccard, language, licenses, mixing, periods, pii, quality, repair, substrings, wavelet
 from helixframe.llm.common import shared_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,10 +72,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(documents(spark, sf_dir))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(documents(spark, sf_dir), damage=True)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.conversation_repairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"), damage=True)
+
+
 def queries() -> dict:
-    own = (op1_bpe_automaton, op2_pii_pseudonyms, op3_host_rules, op4_jaccard_join, op5_substring_dedup, op6_wavelet_tokens, op7_source_mix, op8_quality_classifier, op9_license_scan, op10_fingerprints)
+    own = (op1_bpe_automaton, op2_pii_pseudonyms, op3_host_rules, op4_jaccard_join, op5_substring_dedup, op6_wavelet_tokens, op7_source_mix, op8_quality_classifier, op9_license_scan, op10_fingerprints, op11_language_id, op12_periodic_runs, op13_conversation_repair)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_rules": host_rules.QUALITY_SQL, "op7_source_mix": mixing.PLAN_SQL}
+    return {"op3_host_rules": host_rules.QUALITY_SQL, "op7_source_mix": mixing.PLAN_SQL, "op13_conversation_repair": repair.REPAIRS_SQL}
