@@ -30,6 +30,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONG_WORD = 64  # bytes; longer words are read one by one
 CACHE_WORDS = 1_200_000
 TABLE_BITS = 21
+MEMO_ARCS = 1 << 20  # arcs known by heart while long words are read
+PORTION = 1 << 19  # characters split into words at once
+PORTION_WORDS = 1 << 18  # words looked up at once
 
 
 def byte_characters() -> dict[str, int]:
@@ -78,6 +81,7 @@ class Automaton:
         self._arcs(sorted(i for t, i in vocab.items() if t not in self.special))
         self._table_key = np.full(1 << 20, -1, dtype=np.int64)
         self._table = np.zeros(1 << 20, dtype=bool)
+        self._long_tables: list = []  # as Python lists, made for the first long word
 
     def _compile(self, merges: list[tuple[str, str]], vocab: dict[str, int]) -> None:
         """Apply the gadgets in order: what each cut, and what its new label consists of."""
@@ -211,25 +215,48 @@ class Automaton:
                 word, state, node = word[go], state[go], node[go]
         return last, first, size
 
+    def _one_arc(self, l: int, r: int) -> bool:
+        """``_work_out`` for one state and label."""
+        rank, left, right, cut = self._plain_tables
+        limit = 1 << 62
+        while True:
+            if cut.get(l * self.n + r, limit) < limit:
+                return False
+            rl, rr = rank[l], rank[r]
+            if rl < 0 and rr < 0:
+                return True
+            if rl > rr:
+                limit, l = rl, right[l]
+            else:
+                limit, r = rr + 1, left[r]
+
     def _encode_long(self, word: bytes) -> list[int]:
         """The same reading of one word, without its lengths squared in memory."""
+        if not self._long_tables:
+            cut = dict(zip(self._cut_keys.tolist(), self._cut_ranks.tolist(), strict=True))
+            self._plain_tables = self.rank.tolist(), self.left.tolist(), self.right.tolist(), cut
+            self._long_tables = [self._child.tolist(), self._token.tolist(), {}]
+        children, token_at, memo = self._long_tables
+        if len(memo) > MEMO_ARCS:
+            memo.clear()
         last = [-1] * (len(word) + 1)
-        memo: dict[tuple[int, int], bool] = {}
         for i in range(len(word)):
-            node, j, state = 0, i, last[i]
+            node, j, base = 0, i, last[i] * self.n
             while j < len(word):
-                node = int(self._child[node, word[j]])
+                node = children[node][word[j]]
                 if not node:
                     break
                 j += 1
-                token = int(self._token[node])
-                if token >= 0 and i:
-                    if (state, token) not in memo:
-                        memo[state, token] = bool(self.has_arc(np.array([state]), np.array([token]))[0])
-                    if memo[state, token]:
+                token = token_at[node]
+                if token >= 0:
+                    if not i:
                         last[j] = token
-                elif token >= 0:
-                    last[j] = token
+                    else:
+                        arc = memo.get(base + token)
+                        if arc is None:
+                            arc = memo[base + token] = self._one_arc(last[i], token)
+                        if arc:
+                            last[j] = token
                 if node >= self._inner:
                     break
         tokens, at = [], len(word)
@@ -342,6 +369,22 @@ def _grown(values: np.ndarray, size: int) -> np.ndarray:
     return values if room == len(values) else np.concatenate([values, np.zeros(room - len(values), dtype=values.dtype)])
 
 
+_BLANK = regex.compile(r"(?<=\S)\s")
+
+
+def cut_at_blanks(text: str, size: int) -> Iterator[str]:
+    """``text`` in pieces of about ``size`` characters, cut before white space that follows something else.
+
+    A word of PATTERN ends there whatever comes after, so the pieces' words are the text's.
+    """
+    at = 0
+    while at < len(text):
+        m = _BLANK.search(text, at + size) if at + size < len(text) else None
+        to = m.start() if m else len(text)
+        yield text[at:to]
+        at = to
+
+
 class TextEncoder:
     """Whole texts to ids: pre-split, then each distinct word once by ``encode_words``.
 
@@ -416,20 +459,28 @@ class TextEncoder:
             other[np.searchsorted(total, wrong, side="right")] = True
         return np.flatnonzero(other)
 
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and text ends of texts without special tokens."""
-        joined = "".join(texts)
+    def _portion(self, joined: str, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts of these sizes that stand one after another, and how many each has."""
         points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
-        begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         starts = split_places(points, begin[:-1])
         ends = np.append(starts[1:], len(points)) if len(starts) else starts
-        h = tiled_hash(points, starts)
+        most = min(PORTION_WORDS, (1 << TABLE_BITS) >> 2)
+        parts = [self._words(joined, points, starts[i : i + most], ends[i : i + most]) for i in range(0, len(starts), most)]
+        ids = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, dtype=np.uint32)
+        stop = np.concatenate([[0], np.cumsum(np.concatenate([x for _, x in parts]))]) if parts else np.zeros(1, dtype=np.int64)
+        return ids, np.diff(stop[np.searchsorted(starts, begin)]).astype(np.int64)
+
+    def _words(self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of neighbouring words, and how many each has."""
+        points = points[starts[0] : ends[-1]]
+        h = tiled_hash(points, starts - starts[0])
         h[h == 0] = 1
         at = self._find(h)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new, first = np.unique(h[missing], return_index=True)
-            if self._n + len(new) > CACHE_WORDS:
+            if self._n + len(new) > min(CACHE_WORDS, (1 << TABLE_BITS) >> 1):
                 self._clear()
                 new, first = np.unique(h, return_index=True)
                 missing = np.arange(len(h))
@@ -441,9 +492,23 @@ class TextEncoder:
             at[other] = self._store([joined[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
         size = self._begin[at + 1] - self._begin[at]
         stop = np.cumsum(size)
-        n = int(stop[-1]) if len(stop) else 0
-        ids = self._ids[np.repeat(self._begin[at] - (stop - size), size) + np.arange(n)] if n else np.zeros(0, dtype=np.uint32)
-        return ids, np.concatenate([[0], stop])[np.searchsorted(starts, begin)].astype(np.int64)
+        ids = self._ids[np.repeat(self._begin[at] - (stop - size), size) + np.arange(int(stop[-1]))]
+        return ids, size
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and text ends of texts without special tokens, a portion of them at a time."""
+        pieces = [(i, p) for i, t in enumerate(texts) for p in ((t,) if len(t) <= PORTION else cut_at_blanks(t, PORTION))]
+        flat, counts, at = [], np.zeros(len(texts), dtype=np.int64), 0
+        while at < len(pieces):
+            to, size = at + 1, len(pieces[at][1])
+            while to < len(pieces) and size + len(pieces[to][1]) <= PORTION:
+                size += len(pieces[to][1])
+                to += 1
+            ids, n = self._portion("".join([p for _, p in pieces[at:to]]), [len(p) for _, p in pieces[at:to]])
+            flat.append(ids)
+            np.add.at(counts, [i for i, _ in pieces[at:to]], n)
+            at = to
+        return np.concatenate(flat) if flat else np.zeros(0, dtype=np.uint32), np.concatenate([[0], np.cumsum(counts)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text ends (with a leading 0)."""

@@ -48,6 +48,37 @@ def test_emptied_cache(monkeypatch):
         assert e.encode([t])[0].tolist() == LIBRARY.encode(t).ids
 
 
+def test_portions(monkeypatch):
+    """Texts cut into portions, more words than the table has slots, a long word, special tokens."""
+    monkeypatch.setattr(bpe, "TABLE_BITS", 10)
+    monkeypatch.setattr(bpe, "PORTION", 100)
+    texts = [" ".join(f"w{i}" for i in range(3000)), "", "a1b2c3" * 700, " \n\n  x  \t y's" * 60, "ab<|endoftext|> c" * 40, "zqxj" * 300, "日本 語" * 90]
+    e = bpe.TextEncoder(AUTOMATON.encode_words, AUTOMATON.special)
+    for _ in range(2):
+        ids, ends = e.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "".join(bpe.cut_at_blanks(texts[0], 50)) == texts[0] and max(map(len, bpe.cut_at_blanks(texts[0], 50))) < 60
+
+
+def test_long_word():
+    """A word of 200,000 letters, which is read byte by byte."""
+    import random
+
+    word = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    assert AUTOMATON.encode_words([word, "x"])[0].tolist() == LIBRARY.encode(word, add_special_tokens=False).ids + LIBRARY.encode("x", add_special_tokens=False).ids
+
+
+def test_millions_of_words():
+    """A text of more distinct words than the table has slots, within bounded memory."""
+    import resource
+
+    text = " ".join(map(str, range(2_200_000, 4_500_000)))
+    e, before = bpe.TextEncoder(bpe.library_encoder(DEFINITION), {}), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids, ends = e.encode([text])
+    assert len(ids) == ends[1] > 2_300_000 and AUTOMATON.emit(ids[-8:].astype(np.int64)).endswith(b"4499999")
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
+
+
 #: Two words of equal polynomial hash modulo 2**64, whatever the base.
 THUE = "".join("ab"[i.bit_count() & 1] for i in range(4096))
 MORSE = THUE.translate(str.maketrans("ab", "ba"))
