@@ -18,23 +18,28 @@ from helixframe.llm.common import spare_name
 
 ROUNDS = 8
 
-#: The formats, in the order in which they are tried at a place. Every repeat is bounded, so no text is
-#: long enough to exhaust the matcher's stack or to make it slow.
+#: The formats, in the order in which they are tried at a place. What may be long is matched by possessive
+#: repeats of single characters, which don't go back, so no text is long enough to exhaust the matcher's stack or to make it slow.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "private_key": r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----[0-9A-Za-z+/=,:\s-]*?-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*(?<=[A-Za-z0-9-]\.)[A-Za-z]{2,}+",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "date": r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{2,39}(?![0-9A-Za-z:]))(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?[0-9]{2,4}[ .-]?[0-9]{3,4}|[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3})(?![0-9A-Za-z]|[.-][0-9])",
-    "local_phone": r"(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
+    "local_phone": r"(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])",
+    "ssn": r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|(?<![0-9] )[0-9]{3} [0-9]{2} [0-9]{4}(?! [0-9]))(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,63}[0-9])(?=[0-9A-Fa-f]{0,63}[A-Fa-f])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
-    "token": r"(?<![0-9A-Za-z_-])(?:sk-[0-9A-Za-z_-]{20,64}|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36})(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
+    "token": r"(?<![0-9A-Za-z_-])(?:sk-[0-9A-Za-z_-]{20,}+|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36,}+|github_pat_[0-9A-Za-z_]{22,}+|xox[abeoprs]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z])",
 }
 #: Country calling codes of two digits; 1 and 7 have one digit, all others three.
 TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: The marks of API tokens that stay.
-TOKEN_MARK = "^(sk-|AKIA|gh[opsu]_)"
+TOKEN_MARK = "^(sk-|AKIA|gh[opsu]_|github_pat_|xox[abeoprs]-|AIza)"
+#: A text without any of these has nothing to find.
+HINT = "[0-9@]|::|sk-|gh[opsu]_|github_pat_|xox[abeoprs]-|AIza|-----BEGIN"
 ANY = "|".join(PATTERNS.values())
 _START = {k: "^(?:" + v + ")$" for k, v in PATTERNS.items()}
 _DAY0 = "1900-01-01"
@@ -76,12 +81,13 @@ def permute(value: Column, size_a: Column, size_b: Column, key: Column, kind: st
 
 
 def permute_text(text: Column, key: Column, kind: str | Column) -> Column:
-    """A string of at most 128 characters to another of the same form.
+    """A string to another of the same form, whatever its length.
 
     A digit becomes a digit and a letter a letter of its case (for kind "secret" a
     hexadecimal digit another, in capitals if all letters are, else in lower case); other
     characters stay. The string is cut in two halves and each round adds a keyed function
-    of one half to the places of the other.
+    of one half to the places of the other: bytes of SHA-512 of that half, and beyond 64
+    places of that digest with the number of the next 64.
     """
     if isinstance(kind, str) and kind == "secret":
         capitals = text.rlike("[A-F]") & ~text.rlike("[a-f]")
@@ -94,20 +100,28 @@ def _moved_text(text: Column, key: Column, kind: Column, hexadecimal: bool) -> C
     half = F.floor(F.length(text) / 2).cast("int")
     left, right = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
 
+    def new_character(c: Column, add: Column) -> Column:
+        if hexadecimal:
+            return F.lower(F.conv(((F.conv(c, 16, 10).cast("int") + add) % 16).cast("string"), 10, 16))
+        code = F.ascii(c)
+        kinds = ((48, 10), (97, 26), (65, 26))
+        new = [F.when(code.between(low, low + n - 1), F.char((code - low + add) % n + low)) for low, n in kinds]
+        return F.coalesce(*new, c)
+
+    def added(characters: Column, noise: Column) -> Column:
+        """64 characters with the bytes of a digest added to them."""
+        byte = lambda i: F.conv(F.substr(noise, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        return F.array_join(F.transform(characters, lambda c, i: new_character(c, byte(i))), "")
+
     def shifted(part: Column, other: Column, i: Column) -> Column:
-        noise = F.sha2(F.concat_ws(":", key, kind, i.cast("string"), other, F.length(part).cast("string")), 512)
+        def of_seed(seed: Column) -> Column:
+            def block(piece: Column, n: Column) -> Column:
+                noise = F.when(n == 0, seed).otherwise(F.sha2(F.concat_ws(":", seed, n.cast("string")), 512))
+                return let(noise, lambda x: added(F.split(piece, ""), x))
 
-        def moved(at: Column) -> Column:
-            c = F.substr(part, at, F.lit(1))
-            add = F.conv(F.substr(noise, at * 2 - 1, F.lit(2)), 16, 10).cast("int")
-            if hexadecimal:
-                return F.lower(F.conv(((F.conv(c, 16, 10).cast("int") + add) % 16).cast("string"), 10, 16))
-            code = F.ascii(c)
-            kinds = ((48, 10), (97, 26), (65, 26))
-            new = [F.when(code.between(low, low + n - 1), F.char((code - low + add) % n + low)) for low, n in kinds]
-            return F.coalesce(*new, c)
+            return F.array_join(F.transform(F.regexp_extract_all(part, F.lit("(?s).{1,64}"), F.lit(0)), block), "")
 
-        return F.when(F.length(part) == 0, part).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(part)), moved), ""))
+        return F.when(F.length(part) == 0, part).otherwise(let(F.sha2(F.concat_ws(":", key, kind, i.cast("string"), other, F.length(part).cast("string")), 512), of_seed))
 
     def step(s: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -188,7 +202,7 @@ def _ssn(value: Column, key: Column) -> Column:
         new = let(_walk(n, fits, 25_000, 40_000, key, "ssn"), lambda m: F.when(fits(m), refill(value, F.lpad(m.cast("string"), 9, "0"))).otherwise(value))
         return F.when(fits(n), new).otherwise(value)
 
-    return let(F.regexp_replace(value, "-", "").cast("bigint"), body)
+    return let(F.regexp_replace(value, "[ -]", "").cast("bigint"), body)
 
 
 def _token(value: Column, key: Column) -> Column:
@@ -212,10 +226,10 @@ def _date(value: Column, key: Column) -> Column:
     Dates with the month first stay among those with a day above 12, so that they
     aren't taken for others.
     """
-    iso = value.rlike("^[0-9]{4}-")
-    mark = F.substr(value, F.lit(3), F.lit(1))
+    iso = value.rlike("^[0-9]{4}")
+    mark = F.regexp_extract(value, "[./-]", 0)
     dashed = F.regexp_replace(value, "[./]", "-")
-    day_first = F.when(iso, F.try_to_timestamp(value, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(dashed, F.lit("dd-MM-yyyy")))
+    day_first = F.when(iso, F.try_to_timestamp(dashed, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(dashed, F.lit("dd-MM-yyyy")))
     month_first = F.when(~iso & day_first.isNull(), F.try_to_timestamp(dashed, F.lit("MM-dd-yyyy")))
 
     def days(parsed: Column) -> Column:
@@ -235,7 +249,7 @@ def _date(value: Column, key: Column) -> Column:
         def text(n: Column) -> Column:
             new = date(n)
             front, back = F.when(swapped, F.date_format(new, "MM")).otherwise(F.date_format(new, "dd")), F.when(swapped, F.date_format(new, "dd")).otherwise(F.date_format(new, "MM"))
-            written = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(front, mark, back, mark, F.date_format(new, "yyyy")))
+            written = F.when(iso, F.concat(F.date_format(new, "yyyy"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "dd"))).otherwise(F.concat(front, mark, back, mark, F.date_format(new, "yyyy")))
             return F.when((day >= 0) & (day < _DAYS) & fits(n), written).otherwise(value)
 
         return let(number, text)
@@ -243,6 +257,50 @@ def _date(value: Column, key: Column) -> Column:
     return let(F.struct(F.coalesce(days(day_first), days(month_first)).alias("day"), month_first.isNotNull().alias("swapped")), body)
 
 
+def _iban(value: Column, key: Column) -> Column:
+    """Account numbers whose rest modulo 97 is 1: the country stays, the account moves and the check digits follow."""
+
+    def rest(text: Column) -> Column:
+        number = lambda c: F.when(F.ascii(c) < 58, c.cast("int")).otherwise(F.ascii(c) - 55)
+        return F.aggregate(F.split(text, ""), F.lit(0), lambda s, c: (s * F.when(F.ascii(c) < 58, 10).otherwise(100) + number(c)) % 97)
+
+    def body(plain: Column) -> Column:
+        front, account = F.substr(plain, F.lit(1), F.lit(4)), F.substr(plain, F.lit(5))
+        country = F.substr(plain, F.lit(1), F.lit(2))
+        check = lambda moved: F.lpad((98 - rest(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
+        new = let(permute_text(account, key, "iban"), lambda moved: F.concat(country, check(moved), moved))
+        return F.when(rest(F.concat(account, front)) == 1, let(new, lambda n: refill(value, n, "[0-9A-Z]"))).otherwise(value)
+
+    return let(F.replace(value, F.lit(" "), F.lit("")), body)
+
+
+def _ipv6(value: Column, key: Column) -> Column:
+    """An address moves among all of 128 bits and is written in full, so that all spellings of one meet."""
+    halves = F.split(F.lower(value), "::", -1)
+    groups = lambda t: F.filter(F.split(t, ":", -1), lambda g: g != "")
+
+    def body(h: Column) -> Column:
+        def written(full: Column) -> Column:
+            digits = F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), "")
+            return let(permute_text(digits, key, "secret"), lambda d: F.array_join(F.regexp_extract_all(d, F.lit("[0-9a-f]{4}"), F.lit(0)), ":"))
+
+        left, right = groups(F.get(h, F.lit(0))), F.when(F.size(h) == 2, groups(F.get(h, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        missing = 8 - F.size(left) - F.size(right)
+        valid = F.when(F.size(h) == 2, missing >= 1).otherwise((F.size(h) == 1) & (missing == 0)) & (F.size(left) + F.size(right) > 0)
+        # no single colon at either end
+        valid = valid & ~value.rlike("^:[^:]|[^:]:$")
+        full = F.concat(left, F.when(missing > 0, F.array_repeat(F.lit("0"), missing)).otherwise(F.array().cast("array<string>")), right)
+        return F.when(valid, let(full, written)).otherwise(value)
+
+    return let(halves, body)
+
+
+def _private_key(value: Column, key: Column) -> Column:
+    front, back = F.regexp_extract(value, "^(-----BEGIN [A-Z ]*-----)", 1), F.regexp_extract(value, "(-----END [A-Z ]*-----)$", 1)
+    inner = F.substr(value, F.length(front) + 1, F.length(value) - F.length(front) - F.length(back))
+    return F.concat(front, permute_text(inner, key, "private key"), back)
+
+
 def _email(value: Column, key: Column) -> Column:
     """The local part, in lower case, moves within its form; the domain stays."""
     local, domain = F.regexp_extract(value, "^([^@]*)@", 1), F.regexp_extract(value, "@(.*)$", 1)
@@ -253,12 +311,15 @@ def pseudonym(value: Column, key: Column) -> Column:
     """The pseudonym of one found value, or the value itself if it does not validate."""
     is_ = {k: value.rlike(p) for k, p in _START.items()}
     return (
-        F.when(is_["email"], _email(value, key))
+        F.when(is_["private_key"], _private_key(value, key))
+        .when(is_["email"], _email(value, key))
         .when(is_["ip"], _ip(value, key))
+        .when(is_["ipv6"], _ipv6(value, key))
         .when(is_["date"], _date(value, key))
         .when(is_["phone"] | is_["local_phone"], _phone(value, key))
         .when(is_["ssn"], _ssn(value, key))
         .when(is_["card"], _card(value, key))
+        .when(is_["iban"], _iban(value, key))
         .when(is_["secret"], permute_text(value, key, "secret"))
         .when(is_["token"], _token(value, key))
         .otherwise(value)
@@ -269,8 +330,8 @@ def pseudonymize(docs: DataFrame, secret: str, *, text: str = "text", counts: st
     """``docs`` with personal data in ``text`` replaced by pseudonyms; other columns and repeated rows stay.
 
     One narrow pass without a shuffle, so hot values cost nothing more. A text is cut at
-    the found values and joined again around their pseudonyms; patterns are bounded, so a
-    text's length doesn't matter. Null and empty texts stay. ``counts`` names a column for
+    the found values and joined again around their pseudonyms. Neither a text's length nor a
+    value's matters to what is found; a value of n characters takes steps near n. Null and empty texts stay. ``counts`` names a column for
     the number of values that changed; a column of that name is replaced.
     """
 
@@ -284,7 +345,7 @@ def pseudonymize(docs: DataFrame, secret: str, *, text: str = "text", counts: st
             return let(F.struct(found.alias("old"), new.alias("new"), F.split(value, ANY, -1).alias("rest")), body)
 
         old = F.regexp_extract_all(value, F.lit(ANY), F.lit(0))
-        return F.when(value.rlike("[0-9@]|sk-|gh[opsu]_|AKIA"), let(old, lambda found: F.when(F.size(found) > 0, with_new(found)))).otherwise(None)
+        return F.when(value.rlike(HINT), let(old, lambda found: F.when(F.size(found) > 0, with_new(found)))).otherwise(None)
 
     done, key = spare_name(docs, "done"), spare_name(docs, "key")
     names = [c for c in docs.columns if c != counts]

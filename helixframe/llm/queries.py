@@ -7,6 +7,7 @@ reasonable time on whole tables; the others are tested against brute force.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import public_tokenizers
@@ -21,8 +22,15 @@ SECRET_SETTING = "spark.helixframe.pii.secret"  # Spark hides settings with "sec
 
 
 def secret(spark: SparkSession) -> str:
-    """The key of pseudonyms from the session's settings; where none is set, as in tests, a public one."""
-    return spark.conf.get(SECRET_SETTING, "no secret is set")
+    """The key of pseudonyms from the session's settings.
+
+    Where Spark runs on one machine, as in tests, a public one stands for it; with a public
+    key anybody can undo the pseudonyms, so on a cluster that is an error.
+    """
+    key = spark.conf.get(SECRET_SETTING, None)
+    if not key and not re.match(r"local(\[|-cluster\[|$)", spark.sparkContext.master):
+        raise RuntimeError(f"set {SECRET_SETTING} to a key of your own")
+    return key or "no secret is set"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
