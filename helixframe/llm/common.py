@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import re
 import tempfile
 import threading
@@ -27,7 +28,8 @@ with contextlib.suppress(OSError, AttributeError):
     ctypes.CDLL("libc.so.6").mallopt(-3, 8 << 20)
 
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 1 << 19  # text hashed by numpy at once; bounds the temporaries
+SLICE_BYTES = 1 << 19  # texts taken together
+PORTION = 1 << 21  # bytes hashed by numpy at once; bounds the temporaries
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -170,6 +172,11 @@ def tiled_hash(values: np.ndarray, starts: np.ndarray, blank: np.ndarray | None
     hashing), beyond place 64 or value 255 a mixed one, so no structure of words makes two
     of them meet. Places marked ``blank`` add nothing.
     """
+    return mix64(_tiled_sums(values, starts, blank, which))
+
+
+def _tiled_sums(values: np.ndarray, starts: np.ndarray, blank: np.ndarray | None, which: int, ahead: int = 0) -> np.ndarray:
+    """What the values of each sequence add, of the first one those from place ``ahead`` on."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     if which not in _tables:
@@ -178,6 +185,8 @@ def tiled_hash(values: np.ndarray, starts: np.ndarray, blank: np.ndarray | None
     values = values[first:]
     place = np.arange(len(values), dtype=np.int32)
     place -= np.repeat((starts - first).astype(np.int32), np.diff(np.append(starts - first, len(values))))
+    if ahead:
+        place[: starts[1] - first if len(starts) > 1 else None] += ahead
     at = np.minimum(place, _PLACES - 1)
     at <<= 8
     at |= (values & 255).astype(np.int32)
@@ -187,7 +196,7 @@ def tiled_hash(values: np.ndarray, starts: np.ndarray, blank: np.ndarray | None
         h[far] = mix64(joined_hash(place[far].astype(np.uint64) ^ table[0], values[far].astype(np.uint64)) ^ table[1])
     if blank is not None:
         h[blank[first:]] = 0
-    return mix64(np.add.reduceat(h, starts - first))
+    return np.add.reduceat(h, starts - first)
 
 
 def runs_hash(h: np.ndarray, size: int) -> np.ndarray:
@@ -204,26 +213,67 @@ def runs_hash(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class Words:
-    """Words of a run of texts: byte places, hashes and the text each belongs to."""
+    """Words of a run of texts: byte places, hashes and the text each belongs to.
+
+    Bytes are looked at PORTION at a time, words may go on from one to the next, so beyond
+    the texts themselves it takes 20 bytes for each word (8 more for each further hash).
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: int = 1):
         n_docs, base = len(offsets) - 1, int(offsets[0])
-        data = data[base : int(offsets[-1])]
-        self.data, self.offsets = data, offsets.astype(np.int64) - base
-        if lower:
-            data = _LOWER[data]
-        word = _SPACE[data].astype(bool)
-        before, after = np.zeros_like(word), np.zeros_like(word)
-        before[1:], after[:-1] = word[:-1], word[1:]
-        before[self.offsets[:-1][self.offsets[:-1] < len(data)]] = False
-        last = self.offsets[1:] - 1
-        after[last[last >= 0]] = False
-        self.starts = np.flatnonzero(word & ~before)
-        self.ends = np.flatnonzero(word & ~after) + 1
-        self.doc = np.searchsorted(self.offsets, self.starts, side="right") - 1
-        self.counts = np.bincount(self.doc, minlength=n_docs).astype(np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        self.hashes = [tiled_hash(data, self.starts, ~word, i) for i in range(hashes)]
+        self.data, self.offsets = data[base : int(offsets[-1])], offsets.astype(np.int64) - base
+        starts, sums = [], [[] for _ in range(hashes)]
+        begun = 0  # where the last word began
+        for low in range(0, len(self.data), PORTION):
+            part, own, goes_on = self._marked(low)
+            if lower:
+                part = _LOWER[part]
+            word = _SPACE[part].astype(bool)
+            at = np.append(0, own) if goes_on else own
+            for i in range(hashes):
+                found = _tiled_sums(part, at, ~word, i, low - begun if goes_on else 0)
+                if goes_on:
+                    sums[i][-1][-1:] += found[:1]
+                    found = found[1:]
+                if len(found):
+                    sums[i].append(found)
+            if len(own):
+                begun = low + int(own[-1])
+                starts.append(own + low)
+        self.starts = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
+        self.hashes = [mix64(np.concatenate(x)) if x else np.zeros(0, dtype=np.uint64) for x in sums]
+        self.first = np.searchsorted(self.starts, self.offsets)
+        self.counts = np.diff(self.first)
+        self.doc = np.repeat(np.arange(n_docs, dtype=np.int32), self.counts)
+
+    def _marked(self, low: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Bytes of the portion from ``low`` on, where words begin in it, and whether it begins within a word."""
+        part = self.data[low : low + PORTION]
+        word = _SPACE[part].astype(bool)
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        a, b = np.searchsorted(self.offsets, [low, low + len(part)])
+        inside = self.offsets[a:b] - low  # texts that begin here
+        goes_on = bool(low and word[0] and _SPACE[self.data[low - 1]] and not (len(inside) and inside[0] == 0))
+        begins[inside] = word[inside]
+        if goes_on:
+            begins[0] = False
+        return part, np.flatnonzero(begins), goes_on
+
+    @functools.cached_property
+    def ends(self) -> np.ndarray:
+        """Where each word ends."""
+        ends = []
+        for low in range(0, len(self.data), PORTION):
+            word = _SPACE[self.data[low : low + PORTION + 1]].astype(bool)
+            last = word[:PORTION].copy()
+            last[: len(word) - 1] &= ~word[1:]
+            a, b = np.searchsorted(self.offsets, [low + 1, low + len(last)], side="left")
+            before = self.offsets[a : b + 1] - 1 - low  # last bytes of texts
+            before = before[(before >= 0) & (before < len(last))]
+            last[before] = word[before]
+            ends.append(np.flatnonzero(last) + (low + 1))
+        return np.concatenate(ends) if ends else np.zeros(0, dtype=np.int64)
 
     def grams(self, size: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of each run of ``size`` words within one text."""

@@ -34,16 +34,17 @@ def _next_places(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[order[:-1][same]], at[order[1:][same]]
 
 
-def _seeds(ids: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(place, lag) at the start of each chain of neighbouring seeds; lags ascend by level, places within a lag."""
-    at, k, low = np.arange(len(ids)), LEAST_WORDS - 1, 1
-    salt = mix64(doc.astype(np.uint64) + np.uint64(1))
+def _seeds(ids: np.ndarray, doc: np.ndarray | None) -> Iterator[tuple[int, int]]:
+    """(place, lag) at the start of each chain of neighbouring seeds; lags ascend by level, places within a lag. Without ``doc`` all words are one text's."""
+    at, k, low = np.arange(len(ids), dtype=np.int32 if len(ids) < 1 << 31 else np.int64), LEAST_WORDS - 1, 1
     while True:
-        at = at[at + k <= len(ids)]
-        at = at[doc[at] == doc[at + k - 1]]
+        at = at[: np.searchsorted(at, len(ids) - k, side="right")]
+        if doc is not None:
+            at = at[doc[at] == doc[at + k - 1]]
         if not len(at):
             return
-        here, there = _next_places(joined_hash(runs_hash(ids, k)[at], salt[at]), at)
+        key = runs_hash(ids, k)[at]
+        here, there = _next_places(key if doc is None else joined_hash(key, mix64(doc[at].astype(np.uint64))), at)
         lag = there - here
         own = (lag >= low) & (lag < 2 * low)
         place, lag = here[own], lag[own]
@@ -75,11 +76,11 @@ def find_runs(ids: np.ndarray, first: np.ndarray) -> list[list[Run]]:
     Seeds are extended along their diagonal; the furthest place that an extension of a text
     and lag has covered keeps later seeds of it from being extended again.
     """
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    doc = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first)) if len(first) > 2 else None
     covered: dict[tuple[int, int], int] = {}
     found: list[dict[tuple[int, int], int]] = [{} for _ in range(len(first) - 1)]
     for at, lag in _seeds(ids, doc):
-        d = int(doc[at])
+        d = int(doc[at]) if doc is not None else 0
         if at < covered.get((d, lag), -1):
             continue
         low, high = int(first[d]), int(first[d + 1])
