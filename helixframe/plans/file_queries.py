@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from helixframe.operators.evidence import evidence
 from helixframe.plans.queries import CLINICAL, FOCUS, LINES_SQL, TARGET, VIEWS_SQL, _annotations, _clinical, _lines, _table, _variants, _vectors, benchmark_variants
-from helixframe.schemas import ANNOTATIONS, EVIDENCE, ID_LIST, SUMMARIES, VECTORS
+from helixframe.schemas import ANNOTATIONS, EVIDENCE, ID_LIST, PROFILES, SUMMARIES, VECTORS
 from helixframe.sources.annotations import first_existing, read_annotations, write_annotations
+from helixframe.sources.bgzf import read_bgzf, write_bgzf
 from helixframe.sources.literature import articles, read_responses, read_vectors
+from helixframe.sources.order import bgzf_in_file_order
 from helixframe.sources.store import Store, fresh_path
-from helixframe.sources.vcf import HEADER, SAMPLE, info, read_lines, read_vcf, record_line, write_vcf
+from helixframe.sources.vcf import HEADER, SAMPLE, info, numbered_lines, parse_lines, read_lines, read_vcf, record_line, write_vcf
+
+SHOWN = ", ".join(EVIDENCE.names)
+BLOCK_SPLIT = 64 << 10  # small, so that the small tables' files are cut too
 
 
 def _written_lines(spark: SparkSession, sf_dir: str, compression: str) -> str:
@@ -33,6 +38,30 @@ def scan_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_vcf(spark, f"{_written_lines(spark, sf_dir, 'gzip')}/*.gz")
 
 
+def scan_bgzf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in files of compressed blocks, each cut over many tasks, parsed."""
+    path = fresh_path(spark, "blocks")
+    write_bgzf(_lines(spark, sf_dir).select("value"), path)
+    return parse_lines(read_bgzf(spark, path, BLOCK_SPLIT), "value")
+
+
+def evidence_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten rows of evidence in the order of a variant file's lines, then of an annotation file's records."""
+    path, notes = fresh_path(spark, "blocks"), fresh_path(spark, "annotations")
+    in_order = lambda df, key: df.repartitionByRange(8, key).sortWithinPartitions(key)
+    write_bgzf(in_order(_variants(spark, sf_dir), "ord").select(record_line().alias("value")), path)
+    write_annotations(in_order(_annotations(spark, sf_dir), "c_ord"), notes)
+    lines = bgzf_in_file_order(read_bgzf(spark, path, BLOCK_SPLIT))
+    return evidence(parse_lines(lines, keep=["line"]), read_annotations(spark, notes, number="record"), TARGET, "served", order=("line", "record"))
+
+
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of plain files with its number."""
+    path = fresh_path(spark, "lines")
+    _lines(spark, sf_dir).repartitionByRange(8, "ord").sortWithinPartitions("ord").select("value").write.option("lineSep", "\n").text(path)
+    return numbered_lines(spark, path)
+
+
 def _annotation_file(spark: SparkSession, sf_dir: str) -> str:
     path = fresh_path(spark, "annotations")
     write_annotations(_annotations(spark, sf_dir), path)
@@ -131,7 +160,7 @@ def benchmark_file_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (scan_text, scan_gzip, annotations_tsv, annotations_tsv_raw, store_modes, evidence_other_root, vectors_json, vectors_overwritten, articles_recorded, benchmark_file, benchmark_file_evidence)
+    own = (scan_text, scan_gzip, scan_bgzf, evidence_line_order, line_numbers, annotations_tsv, annotations_tsv_raw, store_modes, evidence_other_root, vectors_json, vectors_overwritten, articles_recorded, benchmark_file, benchmark_file_evidence)
     return {f.__name__: f for f in own}
 
 
@@ -148,6 +177,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "scan_text": LINES_SQL + "SELECT value FROM lines",
         "scan_gzip": LINES_SQL + "SELECT p[1] AS chrom, n AS pos, p[3] AS rsid, p[4] AS ref, p[5] AS alt, gt AS gt_raw FROM judged WHERE reject IS NULL",
+        "scan_bgzf": LINES_SQL + "SELECT p[1] AS chrom, n AS pos, p[3] AS rsid, p[4] AS ref, p[5] AS alt, gt AS gt_raw FROM judged WHERE reject IS NULL",
+        "evidence_line_order": VIEWS_SQL + f"SELECT {SHOWN} FROM shown WHERE (gene = '{TARGET}' OR rsid = '{TARGET}') AND clinical_significance IN {PROFILES['served'].significance} ORDER BY ord, c_ord LIMIT 10",
+        "line_numbers": LINES_SQL + "SELECT value, row_number() OVER (ORDER BY ord) - 1 AS line FROM lines",
         "annotations_tsv": VIEWS_SQL + f"SELECT {columns} FROM annotations",
         "annotations_tsv_raw": VIEWS_SQL + f"SELECT {columns.replace('clinical_significance', 'coalesce(clinical_significance, chr(0)) AS clinical_significance').replace('chr(0)', repr(''))} FROM annotations",
         "store_modes": VIEWS_SQL + ", u AS (SELECT unnest(['fresh', 'kept', 'appended', 'replaced', 'nobody']) AS user_id), s AS (SELECT count(*) AS n, sum(pos)::BIGINT AS p, count(*) FILTER (ord % 2 = 0) AS ne, (sum(pos) FILTER (ord % 2 = 0))::BIGINT AS pe FROM variants) SELECT user_id, CASE user_id WHEN 'appended' THEN n + ne WHEN 'replaced' THEN ne WHEN 'nobody' THEN 0 ELSE n END AS n, CASE user_id WHEN 'appended' THEN p + pe WHEN 'replaced' THEN pe WHEN 'nobody' THEN 0 ELSE p END AS positions FROM u, s",

@@ -20,6 +20,7 @@ from helixframe.operators.routing import RULES, answer_text, routed, tools_used
 from helixframe.operators.search import top_k, top_k_of_each
 from helixframe.schemas import EVIDENCE, PROFILES, Profile
 from helixframe.sources.literature import DATE, FOCUS, SOURCE, TITLE, abstract, articles
+from helixframe.sources.order import numbered_by
 from helixframe.sources.store import fresh_path, upsert
 from helixframe.sources.vcf import parse_lines, parsed, record_line
 from helixframe.streaming.lines import stream_vcf
@@ -245,7 +246,7 @@ def articles_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 def articles_topn_per_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("gene").orderBy("pmid")
     top = _articles(spark, sf_dir).select("gene", "pmid", F.row_number().over(w).alias("ord")).where("ord <= 2")
-    return top.withColumn("doc_number", F.row_number().over(Window.orderBy("gene", "ord")).cast("bigint")).withColumn("ord", F.col("ord").cast("bigint"))
+    return numbered_by(top, ["gene", "ord"], "doc_number").withColumn("ord", F.col("ord").cast("bigint"))
 
 
 def summary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

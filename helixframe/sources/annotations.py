@@ -7,15 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.schemas import ANNOTATIONS
+from helixframe.sources.order import in_file_order
 from helixframe.sources.store import exists
 
 
-def read_annotations(spark: SparkSession, path: str, *, raw: bool = False) -> DataFrame:
-    """Tab-separated with a header; empty fields are null. ``raw`` takes quotes as text and keeps empties."""
+def read_annotations(spark: SparkSession, path: str, *, raw: bool = False, number: str | None = None) -> DataFrame:
+    """Tab-separated with a header; empty fields are null. ``raw`` takes quotes as text and keeps empties.
+
+    ``number`` names a column for the place of each record: files by name, records as they stand in them.
+    """
     reader = spark.read.schema(ANNOTATIONS).option("sep", "\t").option("header", True)
-    if raw:
-        return reader.option("quote", "").csv(path).fillna("")
-    return reader.option("escape", '"').csv(path)
+    rows = reader.option("quote", "").csv(path) if raw else reader.option("escape", '"').csv(path)
+    rows = in_file_order(rows, number) if number else rows
+    return rows.fillna("") if raw else rows
 
 
 def first_existing(spark: SparkSession, candidates: Sequence[str]) -> str:

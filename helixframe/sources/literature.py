@@ -6,11 +6,12 @@ import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.text import or_default, uri_component
 from helixframe.schemas import VECTORS
+from helixframe.sources.order import numbered_by
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -68,8 +69,8 @@ def union_of(searches: Sequence[Callable[[], DataFrame]], failed: Callable[[Exce
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Ids from 1 by gene and order; for the small article lists only, as one task numbers them."""
-    return df.withColumn("id", F.row_number().over(Window.orderBy("gene", "ord")).cast("bigint"))
+    """Ids from 1 by gene and order."""
+    return numbered_by(df, ["gene", "ord"], "id")
 
 
 def embedded(df: DataFrame, embed: Embedder, *, title: str = "title", body: str = "abstract", vector: str = "vector") -> DataFrame:

@@ -9,42 +9,56 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.text import trim_all
 from helixframe.schemas import MAX_POSITION
+from helixframe.sources.bgzf import has_blocks, read_bgzf
+from helixframe.sources.order import bgzf_in_file_order, in_file_order
+
+COMPRESSED = (".gz", ".bgz")
 
 
 def read_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Lines of a plain or gzip file (by suffix), without those that aren't UTF-8.
+    """Lines of a plain or compressed file (by suffix), without those that aren't UTF-8.
 
-    A gzip file is read by one task, which deals its lines out before they are parsed, to
-    ``partitions`` tasks or as many as run at once.
+    A file of BGZF blocks is read by as many tasks as it has splits. Any other gzip file is
+    read by one task, which deals its lines out before they are parsed, to ``partitions``
+    tasks or as many as run at once.
     """
+    if path.endswith(COMPRESSED) and has_blocks(path):
+        return read_bgzf(spark, path).select("value")
     lines = valid_lines(spark.read.option("lineSep", "\n").text(path))
     if partitions is None and path.endswith(".gz"):
         partitions = spark.sparkContext.defaultParallelism
     return lines.repartition(partitions) if partitions else lines
 
 
+def numbered_lines(spark: SparkSession, path: str, name: str = "line") -> DataFrame:
+    """As ``read_lines``, with the number of each line: files by name, lines as they stand in them."""
+    if path.endswith(COMPRESSED) and has_blocks(path):
+        return bgzf_in_file_order(read_bgzf(spark, path).select("file", "split", "place", "value"), name)
+    return valid_lines(in_file_order(spark.read.option("lineSep", "\n").text(path), name))
+
+
 def valid_lines(lines: DataFrame) -> DataFrame:
     """Lines that are UTF-8."""
     return lines.where(F.expr("is_valid_utf8(value)"))
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``value`` as the only column, worked out once a row: filters above don't move below it."""
-    return df.select(F.explode(F.array(value)).alias(name))
+def _once(df: DataFrame, name: str, value: Column, keep: Sequence[str]) -> DataFrame:
+    """``value`` beside the columns ``keep``, worked out once a row: filters above don't move below it."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
-def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Every line with its variant columns and ``reject``, null for a valid record.
+def parsed(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Every line with its variant columns, those to ``keep`` (not named ``f`` or ``k``) and ``reject``, null for a valid record.
 
     Reasons, first that fits: comment (or blank, or null), arity, position, format, genotype.
     """
     # ten fields and the rest: further samples aren't cut up
-    split = _once(lines, "f", F.split(trim_all(F.coalesce(F.col(column), F.lit(""))), "\t", 11))
+    split = _once(lines, "f", F.split(trim_all(F.coalesce(F.col(column), F.lit(""))), "\t", 11), keep)
     field = lambda i: F.get(F.col("f"), F.lit(i))
     rest = F.translate(field(1), "0123456789", "")
     whole = (rest == "") | ((rest == "+") & field(1).startswith("+"))
     at = F.coalesce(F.array_position(F.split(field(8), ":", -1), "GT"), F.lit(0))
-    keyed = _once(split, "k", F.struct("f", F.when(whole, field(1).try_cast("bigint")).alias("n"), at.alias("at"), F.split(field(9), ":", -1).alias("sample")))
+    keyed = _once(split, "k", F.struct("f", F.when(whole, field(1).try_cast("bigint")).alias("n"), at.alias("at"), F.split(field(9), ":", -1).alias("sample")), keep)
     genotype = F.when(F.col("k.at") > 0, F.get("k.sample", (F.col("k.at") - 1).cast("int")))
     field = lambda i: F.get(F.col("k.f"), F.lit(i))
     reject = (
@@ -55,12 +69,12 @@ def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(genotype.isNull(), "genotype")
     )
     pos = F.when(F.col("k.n") <= MAX_POSITION, F.col("k.n"))
-    return keyed.select(field(0).alias("chrom"), pos.alias("pos"), field(2).alias("rsid"), field(3).alias("ref"), field(4).alias("alt"), genotype.alias("gt_raw"), reject.alias("reject"))
+    return keyed.select(*keep, field(0).alias("chrom"), pos.alias("pos"), field(2).alias("rsid"), field(3).alias("ref"), field(4).alias("alt"), genotype.alias("gt_raw"), reject.alias("reject"))
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+def parse_lines(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """S3: the valid records as variants; all others are dropped."""
-    return parsed(lines, column).where("reject is null").drop("reject")
+    return parsed(lines, column, keep).where("reject is null").drop("reject")
 
 
 def read_vcf(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
