@@ -21,6 +21,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def read_text_file(spark: SparkSession, path: str) -> str:
+    """A small file in any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text_file(spark: SparkSession, path: str, text: str, *, new: bool = False) -> None:
+    """The same written; with ``new`` a file that is there already is an error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, not new)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``.
 

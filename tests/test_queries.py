@@ -20,8 +20,12 @@ def duck():
     return con
 
 
+#: Approximate: tests/test_index.py measures its recall.
+WITHOUT_SQL = {"vector_index_topk"}
+
+
 def test_each_has_sql():
-    assert QUERIES.keys() == SQL.keys()
+    assert QUERIES.keys() == SQL.keys() | WITHOUT_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
