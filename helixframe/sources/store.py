@@ -101,11 +101,20 @@ class Store:
         return {"rows": n, "null_keys": nulls, "out_of_range": outside}
 
 
-def upsert(current: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """K6: the batch's row for each key it has, else the current one; of equal keys in a batch one stays."""
-    both = current.withColumn("__batch", F.lit(0)).unionByName(batch.withColumn("__batch", F.lit(1)))
-    newest = Window.partitionBy(*keys).orderBy(F.desc("__batch"), *[F.col(c) for c in current.columns if c not in keys])
-    return both.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n", "__batch")
+def upsert(current: DataFrame, batch: DataFrame, keys: list[str], deal_by: str | None = None) -> DataFrame:
+    """K6: the batch's row for each key it has, else the current one; of equal keys in a batch one stays.
+
+    Columns may have any name. ``deal_by``, one of the keys, is the column rows are dealt by, where whole groups of it should stay together.
+    """
+    taken, new, place = {c.lower() for c in current.columns}, "new", "place"
+    while {new, place} & taken:
+        new, place = new + "_", place + "_"
+    both = current.withColumn(new, F.lit(0)).unionByName(batch.withColumn(new, F.lit(1)))
+    both = both.repartition(deal_by) if deal_by else both
+    # maps can't be ordered by
+    rest = [F.col(f"`{f.name}`") for f in current.schema if f.name not in keys and not isinstance(f.dataType, T.MapType)]
+    newest = Window.partitionBy(*[f"`{k}`" for k in keys]).orderBy(F.desc(new), *rest)
+    return both.withColumn(place, F.row_number().over(newest)).where(F.col(place) == 1).drop(new, place)
 
 
 def check_dimension(vectors: DataFrame, dimension: int, column: str = "vector") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from helixframe.sources.versions import VersionedStore
 from helixframe.sources.vcf import parse_lines, valid_lines
 
 
@@ -16,6 +17,19 @@ def stream_vcf(spark: SparkSession, folder: str, out: str, checkpoint: str) -> S
     return parse_lines(lines).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_into(spark: SparkSession, folder: str, store: VersionedStore, user: str, checkpoint: str, *, name: str) -> StreamingQuery:
+    """Parse what is new in a folder into a user's table, then stop.
+
+    Each micro-batch is a commit named ``name:number``, so one that is run again after a failure adds nothing twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        store.write_variants(parse_lines(batch), user, "append", f"{name}:{number}")
+
+    lines = valid_lines(spark.readStream.option("lineSep", "\n").text(folder))
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def with_progress(spark: SparkSession, job: Callable[[], None], report: Callable[[int, int], None], seconds: float = 0.5) -> None:
     """Run a Spark job and report (finished, all) tasks of its stages meanwhile."""
     import threading
