@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.genotype import decode
 from helixframe.schemas import EVIDENCE, PROFILES, Profile
+from helixframe.sources.store import fresh_path
+
+
+UNNAMED, SALTS = ".", 64  # the rsid of a variant without one, and how many tasks may share it
+
+
+def _joined(variants: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Rows with equal rsid. Most records of real files have none, written ``.``: these are dealt to many tasks, and annotations without a name to all of those."""
+    taken, salt = {c.lower() for c in (*variants.columns, *annotations.columns)}, "salt"
+    while salt in taken:
+        salt += "_"
+    unnamed = F.col("rsid") == UNNAMED
+    v = variants.withColumn(salt, F.when(unnamed, F.pmod(F.xxhash64(*variants.columns), F.lit(SALTS)).cast("int")).otherwise(0))
+    c = annotations.withColumn(salt, F.explode(F.when(unnamed, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return v.join(c, ["rsid", salt]).drop(salt)
 
 
 def evidence(variants: DataFrame, annotations: DataFrame, target: str | None = None, profile: str | Profile = "served", *, order: Sequence[str] = (), phased: bool = False) -> DataFrame:
@@ -25,7 +40,7 @@ def evidence(variants: DataFrame, annotations: DataFrame, target: str | None = N
     if p.significance is not None:
         c = c.where(F.col("clinical_significance").isin(*p.significance))
     genotype = decode(F.col("gt_raw"), F.col("ref"), F.col("alt"), exact=p.exact_decode, phased=phased)
-    rows = variants.join(c, "rsid").withColumn("user_genotype", genotype)
+    rows = _joined(variants, c).withColumn("user_genotype", genotype)
     if p.drop_nulls:
         rows = rows.dropna(subset=EVIDENCE.names)
     if p.limit is not None:
@@ -39,10 +54,14 @@ def find_first(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def cascade(candidates: Sequence[DataFrame]) -> DataFrame:
-    """L6, W2 in one plan: all rows of the first candidate that has any, with its ``priority``."""
+    """All rows of the first candidate that has any, with its ``priority``."""
     every = None
     for i, c in enumerate(candidates):
         c = c.withColumn("priority", F.lit(i))
         every = c if every is None else every.unionByName(c)
+    # written, so that no candidate is worked out again for its rows
+    path = fresh_path(every.sparkSession, "candidates")
+    every.write.parquet(path)
+    every = every.sparkSession.read.schema(every.schema).parquet(path)
     first = every.agg(F.min("priority").alias("first"))
     return every.join(F.broadcast(first), every["priority"] == first["first"]).drop("first")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,10 @@ RULES = (
     (("ssri", "antidepressant"), "CYP2D6"),
 )
 DEFAULT_TARGET = "rs762551"
+# The texts of an answer.
 NO_DATA = "No clinical variant data found."
+ANSWER = "Based on your genotype ({genotype} for rsID {rsid} in gene {gene}), clinical significance is {significance} ({phenotype}). Note: {note}"
+LITERATURE = '\n\n📚 Medical Literature (PubMed RAG): "{title}" (PMID: {pmid})'
 
 
 def route(question: str) -> str:
@@ -29,14 +34,28 @@ def routed(questions: DataFrame, column: str = "text") -> DataFrame:
     return questions.withColumn("target", ladder(F.col(column), RULES, DEFAULT_TARGET))
 
 
-def answer_text(gene: Column, rsid: Column, genotype: Column, phenotype: Column, significance: Column, note: Column, literature: Column | None = None) -> Column:
-    """one sentence from a row of evidence, and one from the best article if there is one."""
-    said = F.concat(F.lit("Your genotype at "), rsid, F.lit(" ("), gene, F.lit(") is "), genotype, F.lit(": "), phenotype, F.lit(" ["), significance, F.lit("]. "), note)
-    if literature is not None:
-        said = F.concat(said, F.coalesce(F.concat(F.lit(" Literature: "), literature), F.lit("")))
+def filled(template: str, **values: Column) -> Column:
+    """A template with columns in its places; null if any of them is."""
+    parts = [x for text, name, _, _ in Formatter().parse(template) for x in ([F.lit(text)] if text else []) + ([values[name]] if name else [])]
+    return F.concat(*parts)
+
+
+def answer_text(gene: Column, rsid: Column, genotype: Column, phenotype: Column, significance: Column, note: Column, title: Column | None = None, pmid: Column | None = None) -> Column:
+    """an answer from a row of evidence, with the best article if there is one."""
+    said = filled(ANSWER, gene=gene, rsid=rsid, genotype=genotype, phenotype=phenotype, significance=significance, note=note)
+    if title is not None and pmid is not None:
+        said = F.concat(said, F.coalesce(filled(LITERATURE, title=title, pmid=pmid.cast("string")), F.lit("")))
     return F.coalesce(said, F.lit(NO_DATA))
 
 
+def answer(row: dict | None, article: dict | None = None) -> str:
+    """The same for one row of evidence and one article."""
+    if row is None:
+        return NO_DATA
+    said = ANSWER.format(genotype=row["user_genotype"], rsid=row["rsid"], gene=row["gene"], significance=row["clinical_significance"], phenotype=row["phenotype"], note=row["evidence_note"])
+    return said + (LITERATURE.format(title=article["title"], pmid=article["pmid"]) if article else "")
+
+
 def tools_used(literature: Column) -> Column:
     """F18."""
     return F.array_compact(F.array(F.lit("query_genotype"), F.when(literature.isNotNull(), "search_medical_literature")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.operators.evidence import evidence
-from helixframe.operators.routing import NO_DATA, route
+from helixframe.operators.routing import answer, route
 from helixframe.operators.search import top_k
 from helixframe.sources.store import Store
 
@@ -40,9 +41,9 @@ class Assistant:
         hits = self.search_literature(question)
         found = [r.asDict() for r in hits.collect()] if hits is not None else []
         tools = ["query_genotype", *(["search_medical_literature"] if found else [])]
-        if not rows:
-            return Answer(NO_DATA, [], found, tools)
-        e = rows[0]
-        said = f"Your genotype at {e['rsid']} ({e['gene']}) is {e['user_genotype']}: {e['phenotype']} [{e['clinical_significance']}]. {e['evidence_note']}"
-        return Answer(said + (f" Literature: {found[0]['title']}" if found else ""), rows, found, tools)
+        return Answer(answer(rows[0] if rows else None, found[0] if found else None), rows, found, tools)
 
+
+def workflow_id(user: str, clock: Callable[[], float] = time.time) -> str:
+    """the name of a run, with the clock's milliseconds."""
+    return f"genomic-ingestion-{user}-{int(clock() * 1000)}"

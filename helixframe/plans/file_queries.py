@@ -7,17 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.functions.embedding import HashedTrigrams
 from helixframe.operators.evidence import evidence
-from helixframe.plans.queries import CLINICAL, FOCUS, LINES_SQL, TARGET, VIEWS_SQL, _annotations, _clinical, _lines, _table, _variants, _vectors, benchmark_variants
+from helixframe.plans.assistant import Assistant
+from helixframe.plans.ingest import Ingestion
+from helixframe.plans.queries import ARTICLES_SQL, CLINICAL, FOCUS, LINES_SQL, TARGET, VIEWS_SQL, _annotations, _articles, _clinical, _lines, _table, _variants, _vectors, benchmark_variants
 from helixframe.schemas import ANNOTATIONS, EVIDENCE, ID_LIST, PROFILES, SUMMARIES, VECTORS
 from helixframe.sources.annotations import first_existing, read_annotations, write_annotations
 from helixframe.sources.bgzf import read_bgzf, write_bgzf
-from helixframe.sources.literature import articles, read_responses, read_vectors
+from helixframe.sources.literature import articles, embedded, read_responses, read_vectors
 from helixframe.sources.order import bgzf_in_file_order
 from helixframe.sources.store import Store, fresh_path
+from helixframe.sources.versions import VersionedStore, VersionedTable
 from helixframe.sources.vcf import HEADER, SAMPLE, info, numbered_lines, parse_lines, read_lines, read_vcf, record_line, write_vcf
 
 SHOWN = ", ".join(EVIDENCE.names)
+EMBEDDED, QUESTION = 32, "muscle toxicity and statin side effects"
 BLOCK_SPLIT = 64 << 10  # small, so that the small tables' files are cut too
 
 
@@ -62,6 +67,47 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered_lines(spark, path)
 
 
+def article_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector of each article's title and abstract, its elements to six digits."""
+    rows = embedded(_articles(spark, sf_dir).select("pmid", "title", "abstract"), HashedTrigrams(EMBEDDED))
+    return rows.select("pmid", F.posexplode("vector").alias("place", "x")).select("pmid", "place", F.round("x", 6).alias("x"))
+
+
+def articles_to_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles embedded, kept as vectors of a known dimension, a part of them merged in again, and the nearest to a question with all they have."""
+    embed, store = HashedTrigrams(EMBEDDED), VersionedStore(spark, fresh_path(spark, "store"))
+    store.create_vectors(EMBEDDED)
+    docs = embedded(_articles(spark, sf_dir), embed).select(F.col("pmid").alias("id"), F.col("pmid").cast("string").alias("pmid"), "title", "abstract", "year", "gene", "vector")
+    store.upsert_vectors(docs.withColumn("year", F.when(F.col("id") % 10 == 3, "1900").otherwise(F.col("year"))), "articles:0")
+    for _ in range(2):  # the second is the same batch again
+        store.upsert_vectors(docs.where("id % 10 = 3").withColumn("title", F.concat(F.lit("Again: "), "title")), "articles:1")
+    hits = Assistant(spark, store, store.vectors(), lambda text: embed([text])[0]).search_literature(QUESTION, 5)
+    return hits.select("id", "pmid", "title", "year", "gene", "abstract", F.round("score", 6).alias("score"))
+
+
+def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6, T4: a table in buckets after two appends of one batch, and a merge of another, twice."""
+    now = _vectors(spark, sf_dir).select("id", F.col("label").cast("bigint").alias("label"))
+    batch = now.where("id % 3 = 0").select("id", (F.col("label") + 100).alias("label")).unionByName(now.where("id % 5 = 0").select((F.col("id") + 1000000).alias("id"), "label"))
+    table = VersionedTable.create(spark, fresh_path(spark, "versions"), now.schema, ("id",), 16)
+    for _ in range(2):
+        table.append(now, "load:0")
+    for _ in range(2):
+        table.upsert(batch, "load:1")
+    return table.read()
+
+
+def ingest_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of compressed blocks ingested twice under one name; its records, and the lines counted as they were written."""
+    path, store = fresh_path(spark, "blocks"), VersionedStore(spark, fresh_path(spark, "store"))
+    write_bgzf(_lines(spark, sf_dir).select("value"), path)
+    runs = [Ingestion(spark, store), Ingestion(spark, store)]
+    for run in runs:
+        run.run("u", path, mode="append", batch="file")
+    done = next(p for p in runs[0].history if p.done is not None)
+    return store.variants("u").groupBy("chrom").agg(F.count("*").alias("n"), F.sum("pos").alias("positions")).select("*", F.lit(done.done).cast("bigint").alias("lines"), F.lit(done.text).alias("shown"))
+
+
 def _annotation_file(spark: SparkSession, sf_dir: str) -> str:
     path = fresh_path(spark, "annotations")
     write_annotations(_annotations(spark, sf_dir), path)
@@ -160,7 +206,7 @@ def benchmark_file_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (scan_text, scan_gzip, scan_bgzf, evidence_line_order, line_numbers, annotations_tsv, annotations_tsv_raw, store_modes, evidence_other_root, vectors_json, vectors_overwritten, articles_recorded, benchmark_file, benchmark_file_evidence)
+    own = (article_embeddings, articles_to_hits, versioned_upsert, ingest_committed, scan_text, scan_gzip, scan_bgzf, evidence_line_order, line_numbers, annotations_tsv, annotations_tsv_raw, store_modes, evidence_other_root, vectors_json, vectors_overwritten, articles_recorded, benchmark_file, benchmark_file_evidence)
     return {f.__name__: f for f in own}
 
 
@@ -174,7 +220,16 @@ def oracle_sql() -> dict[str, str]:
     served = "CASE WHEN gt_raw = '0/0' THEN ref || '/' || ref WHEN gt_raw = '0/1' THEN ref || '/' || alt ELSE alt || '/' || alt END"
     title = "CASE WHEN o % 3 > 0 THEN 'Part ' || part ELSE 'Untitled Article' END"
     year = "CASE WHEN o % 4 > 0 THEN '1999' ELSE '2025' END"
+    abstract = f"title || '. Published in ' || source || ' (' || year || '). Clinical focus on ' || gene || '{FOCUS}'"
+    grams = "unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))"
+    placed = f"placed AS (SELECT pmid, h // 2 % {EMBEDDED} AS place, 1 - 2 * (h % 2) AS sign FROM (SELECT pmid, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM (SELECT pmid, {grams} AS g FROM texts))), summed AS (SELECT pmid, place, sum(sign)::DOUBLE AS s FROM placed GROUP BY ALL), sized AS (SELECT pmid, sqrt(sum(s * s)) AS size FROM summed GROUP BY pmid)"
+    embeddings = f"{ARTICLES_SQL}, texts AS (SELECT pmid, ' ' || title || ' ' || {abstract} || ' ' AS t FROM base), {placed}"
+    question = f"{embeddings.replace(' FROM base), placed', f' FROM base UNION ALL SELECT -1, {chr(39)} {QUESTION} {chr(39)}), placed')}, scored AS (SELECT a.pmid, sum(a.s * q.s) AS dot FROM summed a JOIN summed q ON q.pmid = -1 AND a.place = q.place WHERE a.pmid >= 0 GROUP BY a.pmid)"
     return {
+        "article_embeddings": f"{embeddings} SELECT b.pmid, p.place::INT AS place, CASE WHEN z.size > 0 THEN round(coalesce(s, 0) / z.size, 6) ELSE 0 END AS x FROM base b CROSS JOIN (SELECT unnest(range({EMBEDDED})) AS place) p JOIN sized z ON z.pmid = b.pmid LEFT JOIN summed m ON m.pmid = b.pmid AND m.place = p.place",
+        "articles_to_hits": f"{question} SELECT b.pmid AS id, b.pmid::VARCHAR AS pmid, CASE WHEN b.pmid % 10 = 3 THEN 'Again: ' ELSE '' END || title AS title, year, gene, {abstract} AS abstract, round(coalesce(dot, 0) / (z.size * o.size), 6) AS score FROM base b JOIN sized z ON z.pmid = b.pmid JOIN sized o ON o.pmid = -1 LEFT JOIN scored c ON c.pmid = b.pmid ORDER BY coalesce(dot, 0) / (z.size * o.size) DESC, b.pmid LIMIT 5",
+        "versioned_upsert": "SELECT vec_id AS id, label::BIGINT + CASE WHEN vec_id % 3 = 0 THEN 100 ELSE 0 END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label::BIGINT FROM embeddings WHERE vec_id % 5 = 0",
+        "ingest_committed": LINES_SQL + "SELECT p[1] AS chrom, count(*) AS n, sum(n)::BIGINT AS positions, (SELECT count(*) FROM lines) AS lines, '100.0%' AS shown FROM judged WHERE reject IS NULL GROUP BY 1",
         "scan_text": LINES_SQL + "SELECT value FROM lines",
         "scan_gzip": LINES_SQL + "SELECT p[1] AS chrom, n AS pos, p[3] AS rsid, p[4] AS ref, p[5] AS alt, gt AS gt_raw FROM judged WHERE reject IS NULL",
         "scan_bgzf": LINES_SQL + "SELECT p[1] AS chrom, n AS pos, p[3] AS rsid, p[4] AS ref, p[5] AS alt, gt AS gt_raw FROM judged WHERE reject IS NULL",

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.genotype import decode
-from helixframe.functions.text import basename, ladder, or_default, percent, percent_text, score_text, uri_component, user_of
+from helixframe.functions.text import basename, fixed, ladder, or_default, percent, percent_text, score_text, uri_component, user_of
 from helixframe.functions.vectors import cosine
 from helixframe.operators.evidence import cascade, evidence
 from helixframe.operators.index import VectorIndex
 from helixframe.operators.routing import RULES, answer_text, routed, tools_used
 from helixframe.operators.search import top_k, top_k_of_each
+from helixframe.plans.sql import register_evidence
 from helixframe.schemas import EVIDENCE, PROFILES, Profile
 from helixframe.sources.literature import DATE, FOCUS, SOURCE, TITLE, abstract, articles
 from helixframe.sources.order import numbered_by
@@ -264,7 +265,7 @@ def answer_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evidence(_variants(spark, sf_dir), _annotations(spark, sf_dir), None, "strict")
     best = rows.groupBy("gene").agg(F.min(F.struct(*[c for c in EVIDENCE.names if c != "gene"])).alias("e"))
     paper = F.when(F.length("gene") > 7, F.concat(F.lit("On "), F.col("gene")))
-    said = answer_text(F.col("gene"), F.col("e.rsid"), F.col("e.user_genotype"), F.col("e.phenotype"), F.col("e.clinical_significance"), F.col("e.evidence_note"), paper)
+    said = answer_text(F.col("gene"), F.col("e.rsid"), F.col("e.user_genotype"), F.col("e.phenotype"), F.col("e.clinical_significance"), F.col("e.evidence_note"), paper, F.length("gene"))
     return best.select("gene", said.alias("answer"), F.array_join(tools_used(paper), ",").alias("tools"))
 
 
@@ -321,6 +322,20 @@ def cosine_zero_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("id", F.round("score", 6).alias("score"), score_text(F.col("score")).alias("shown"))
 
 
+def evidence_unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 where nineteen of twenty variants have no name, and some annotations neither."""
+    dot = lambda c, n: F.when(F.col(c) % n != 0, ".").otherwise(F.col("rsid"))
+    v = _variants(spark, sf_dir).withColumn("rsid", dot("ord", 20))
+    c = _annotations(spark, sf_dir).withColumn("rsid", F.when(F.col("c_ord") % 100 == 7, ".").otherwise(F.col("rsid")))
+    return evidence(v, c, None, "strict").groupBy(*EVIDENCE.names).agg(F.count("*").alias("n"))
+
+
+def evidence_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1, P10: the evidence for a gene by the SQL function, the gene a bound parameter."""
+    register_evidence(spark, _variants(spark, sf_dir), _annotations(spark, sf_dir), "served")
+    return spark.sql("SELECT * FROM query_genotype(:target)", args={"target": TARGET})
+
+
 def evidence_nulls_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of evidence with a null in any column are dropped."""
     c = _annotations(spark, sf_dir).withColumn("evidence_note", F.when(F.col("c_ord") % 3 != 0, F.col("evidence_note")))
@@ -332,13 +347,19 @@ def progress_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("user_id", percent_text(F.col("processed"), F.col("total")).alias("shown"))
 
 
+def decimal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doubles with one and with two decimals, by their exact values."""
+    x = (F.col("l_orderkey") * 7 + F.col("l_partkey")) / F.lit(1001.0)
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.concat(fixed(x, 1), F.lit("%")).alias("one"), score_text(x).alias("two"))
+
+
 def uri_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("s3://genomic data/"), F.col("p_brand"), F.lit("/"), F.col("p_name"))
     return _table(spark, sf_dir, "part").select("p_partkey", basename(name).alias("base"), uri_component(name).alias("coded"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (vcf_parse, vcf_parse_rejects, vcf_roundtrip, genotype_decode_like, genotype_decode_equality, evidence_attached, evidence_cascade, count_guard, ingest_counts, progress_percent, cosine_topk, vector_first_hit, vector_upsert, route_questions, route_questions_domain, user_id_derivation, articles_project, articles_topn_per_gene, summary_lookup, answer_template, benchmark_variants, benchmark_evidence, vcf_stream, cosine_topk_each, vector_index_topk, vector_index_all_lists, cosine_zero_vectors, evidence_nulls_dropped, progress_texts, uri_texts)
+    plain = (vcf_parse, vcf_parse_rejects, vcf_roundtrip, genotype_decode_like, genotype_decode_equality, evidence_attached, evidence_cascade, count_guard, ingest_counts, progress_percent, cosine_topk, vector_first_hit, vector_upsert, route_questions, route_questions_domain, user_id_derivation, articles_project, articles_topn_per_gene, summary_lookup, answer_template, benchmark_variants, benchmark_evidence, vcf_stream, cosine_topk_each, vector_index_topk, vector_index_all_lists, cosine_zero_vectors, evidence_nulls_dropped, evidence_unnamed, evidence_sql, progress_texts, decimal_texts, uri_texts)
     return {f.__name__: f for f in plain} | {
         "evidence_served": _evidence(TARGET, "served"),
         "evidence_strict": _evidence(TARGET, "strict"),
@@ -351,7 +372,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _DOMAIN = [w for words, _ in RULES for w in words]
-_ARTICLES = r"""
+ARTICLES_SQL = r"""
 WITH base AS (
   SELECT doc_id AS pmid, coalesce(nullif(string_split(text, chr(10))[1], ''), 'Untitled Article') AS title, substr(coalesce(n_chars::VARCHAR, '2025'), 1, 4) AS year,
     ['LCT', 'APOE', 'CYP1A2', 'VKORC1'][doc_id % 4 + 1] AS gene, coalesce(nullif(source, ''), 'Medical Journal') AS source FROM documents)
@@ -381,6 +402,8 @@ def oracle_sql() -> dict[str, str]:
         "genotype_decode_like": VIEWS_SQL + grouped.format(like),
         "genotype_decode_equality": VIEWS_SQL + grouped.format(equal),
         "evidence_served": VIEWS_SQL + f"SELECT {_COLUMNS} FROM shown WHERE {_AT} AND {_SERVED} ORDER BY {_COLUMNS} LIMIT 10",
+        "evidence_sql": VIEWS_SQL + f"SELECT {_COLUMNS} FROM shown WHERE {_AT} AND {_SERVED} ORDER BY {_COLUMNS} LIMIT 10",
+        "evidence_unnamed": VIEWS_SQL + f", v AS (SELECT CASE WHEN ord % 20 <> 0 THEN '.' ELSE rsid END AS rsid, ref, alt, gt_raw FROM variants), c AS (SELECT CASE WHEN c_ord % 100 = 7 THEN '.' ELSE rsid END AS rsid, gene, phenotype, clinical_significance, evidence_note FROM annotations) SELECT v.rsid, gene, {like} AS user_genotype, phenotype, clinical_significance, evidence_note, count(*) AS n FROM v JOIN c ON v.rsid = c.rsid WHERE {_STRICT} GROUP BY ALL",
         "evidence_strict": VIEWS_SQL + f"SELECT {_COLUMNS} FROM shown WHERE {_AT} AND {_STRICT}",
         "evidence_strict_exact": VIEWS_SQL + f"SELECT {_COLUMNS.replace('user_genotype', 'exact_genotype AS user_genotype')} FROM shown WHERE {_AT} AND {_STRICT}",
         "evidence_cli": VIEWS_SQL + f"SELECT {_COLUMNS} FROM shown WHERE {_AT} AND clinical_significance IS NOT NULL ORDER BY {_COLUMNS} LIMIT 10",
@@ -398,16 +421,17 @@ def oracle_sql() -> dict[str, str]:
         "vector_index_all_lists": topk_each,
         "cosine_zero_vectors": _COSINE + "SELECT id, CASE WHEN id % 7 = 0 THEN 0.0::DOUBLE ELSE round(score, 6) END AS score, printf('%.2f%%', CASE WHEN id % 7 = 0 THEN 0.0::DOUBLE ELSE score END * 100) AS shown FROM scored",
         "evidence_nulls_dropped": VIEWS_SQL + f"SELECT {_COLUMNS} FROM shown WHERE c_ord % 3 <> 0 AND gene IS NOT NULL AND user_genotype IS NOT NULL AND phenotype IS NOT NULL AND clinical_significance IS NOT NULL AND evidence_note IS NOT NULL",
-        "progress_texts": "SELECT user_id, round_even(count(*) FILTER (value > 50) * 100.0::DOUBLE / count(*), 1)::VARCHAR || '%' AS shown FROM events GROUP BY 1",
+        "progress_texts": "SELECT user_id, printf('%.1f%%', count(*) FILTER (value > 50) * 100.0::DOUBLE / count(*)) AS shown FROM events GROUP BY 1",
+        "decimal_texts": "SELECT l_orderkey, l_partkey, printf('%.1f%%', x) AS one, printf('%.2f%%', x * 100) AS two FROM (SELECT l_orderkey, l_partkey, (l_orderkey * 7 + l_partkey) / 1001.0::DOUBLE AS x FROM lineitem)",
         "uri_texts": "SELECT p_partkey, string_split('s3://genomic data/' || p_brand || '/' || p_name, '/')[-1] AS base, url_encode('s3://genomic data/' || p_brand || '/' || p_name) AS coded FROM part",
         "vector_upsert": "SELECT vec_id AS id, label::BIGINT + CASE WHEN vec_id % 3 = 0 THEN 100 ELSE 0 END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label::BIGINT FROM embeddings WHERE vec_id % 5 = 0",
         "route_questions": "SELECT CASE WHEN contains(lower(text), 'tion') THEN 'has-tion' WHEN contains(lower(text), 'the') THEN 'has-the' ELSE 'neither' END AS target, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1",
         "route_questions_domain": f"WITH q AS (SELECT lower(text || ' Can I have ' || [{words}][(turn + conv_id) % 14 + 1] || '?') AS t FROM conversations) SELECT CASE {routes} ELSE 'rs762551' END AS target, count(*) AS n FROM q GROUP BY 1",
         "user_id_derivation": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'user-na12878' ELSE 'user-demo-01' END AS user_id, count(*) AS n FROM orders GROUP BY 1",
-        "articles_project": _ARTICLES + "SELECT pmid, title, year, gene, title || '. Published in ' || source || ' (' || year || '). Clinical focus on ' || gene || '" + FOCUS + "' AS abstract FROM base",
-        "articles_topn_per_gene": _ARTICLES + ", r AS (SELECT gene, pmid, row_number() OVER (PARTITION BY gene ORDER BY pmid) AS ord FROM base) SELECT gene, pmid, ord, row_number() OVER (ORDER BY gene, ord) AS doc_number FROM r WHERE ord <= 2",
+        "articles_project": ARTICLES_SQL + "SELECT pmid, title, year, gene, title || '. Published in ' || source || ' (' || year || '). Clinical focus on ' || gene || '" + FOCUS + "' AS abstract FROM base",
+        "articles_topn_per_gene": ARTICLES_SQL + ", r AS (SELECT gene, pmid, row_number() OVER (PARTITION BY gene ORDER BY pmid) AS ord FROM base) SELECT gene, pmid, ord, row_number() OVER (ORDER BY gene, ord) AS doc_number FROM r WHERE ord <= 2",
         "summary_lookup": "WITH i AS (SELECT DISTINCT l_orderkey::VARCHAR AS gene, l_partkey AS part FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY part) - 1 AS ord FROM i) SELECT gene, part::VARCHAR AS pmid, ord, 'Part ' || part AS title, '2025' AS year, 'Part ' || part || '. Published in Journal (2025). Clinical focus on ' || gene || '" + FOCUS + "' AS abstract FROM r WHERE ord < 3 AND part % 2 = 1",
-        "answer_template": VIEWS_SQL + f", r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY rsid, user_genotype, phenotype, clinical_significance, evidence_note) AS k FROM shown WHERE {_STRICT}) SELECT gene, 'Your genotype at ' || rsid || ' (' || gene || ') is ' || user_genotype || ': ' || phenotype || ' [' || clinical_significance || ']. ' || evidence_note || CASE WHEN length(gene) > 7 THEN ' Literature: On ' || gene ELSE '' END AS answer, CASE WHEN length(gene) > 7 THEN 'query_genotype,search_medical_literature' ELSE 'query_genotype' END AS tools FROM r WHERE k = 1",
+        "answer_template": VIEWS_SQL + f", r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY rsid, user_genotype, phenotype, clinical_significance, evidence_note) AS k FROM shown WHERE {_STRICT}) SELECT gene, 'Based on your genotype (' || user_genotype || ' for rsID ' || rsid || ' in gene ' || gene || '), clinical significance is ' || clinical_significance || ' (' || phenotype || '). Note: ' || evidence_note || CASE WHEN length(gene) > 7 THEN chr(10) || chr(10) || '📚 Medical Literature (PubMed RAG): \"On ' || gene || '\" (PMID: ' || length(gene) || ')' ELSE '' END AS answer, CASE WHEN length(gene) > 7 THEN 'query_genotype,search_medical_literature' ELSE 'query_genotype' END AS tools FROM r WHERE k = 1",
         "benchmark_variants": "SELECT 'chr' || ((c_custkey + 1) % 22 + 1) AS chrom, (c_custkey + 1) * 14250 + 1000000 AS pos, 'rs10000' || (c_custkey + 1) AS rsid, ['A', 'C', 'G', 'T'][(c_custkey + 1) % 4 + 1] AS ref, ['A', 'C', 'G', 'T'][(c_custkey + 2) % 4 + 1] AS alt, ['0/0', '0/1', '1/1'][(c_custkey + 1) % 3 + 1] AS gt_raw FROM customer",
         "benchmark_evidence": VIEWS_SQL + f", known(chrom, pos, rsid, r, a, g, gene, phenotype, clinical_significance, evidence_note) AS (VALUES {clinical}), turned AS (SELECT *, [{turns}][ord % {len(CLINICAL)} + 1] AS of FROM variants) SELECT of AS rsid, gene, {like} AS user_genotype, phenotype, clinical_significance, evidence_note, count(*) AS n FROM turned JOIN known ON of = known.rsid WHERE {_STRICT} GROUP BY ALL",
     }
