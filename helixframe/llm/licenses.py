@@ -1,10 +1,9 @@
-"""Operator 9: license notices found by wording and conditional compression.
+"""Operator 9: license notices by conditional compression, confirmed by wording.
 
-The words around each match of CANDIDATE, across line ends, are compared with every
-template that enough of them belong to: exact word differences confirm a notice. The
-passage of a confirmed notice is compressed alone and with the template as raw
-dictionary; where notices overlap, the wording with the smallest share of different
-words stays, then the one that saves most bytes.
+A candidate block, the words around a match of CANDIDATE across line ends, is compressed
+alone and with each template as zstandard raw dictionary. Templates are ranked by the
+share of their own bytes that they save, and in that order compared word by word with
+the block: the first whose exact wording differences are few enough is the notice.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ import bisect
 import functools
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -46,15 +45,49 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
     ("Proprietary", "All rights reserved."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "Licensed under GPLv2."),
+    ("GPL-3.0", "Licensed under GPLv3."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
 )
-CANDIDATE = re.compile(r"licen[cs]|copyright|creative[\W_]+commons|\bcc[\W_]?(?:by|0)\b|public[\W_]+domain|permission[\W_]+is[\W_]+hereby|redistribut|all[\W_]+rights[\W_]+reserved", re.IGNORECASE)
+#: SPDX ids that may follow "SPDX-License-Identifier:", and addresses of licences.
+IDENTIFIERS = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
+ADDRESSES = (
+    ("Apache-2.0", "www.apache.org/licenses/LICENSE-2.0"),
+    ("CC-BY-4.0", "creativecommons.org/licenses/by/4.0"),
+    ("CC-BY-NC-4.0", "creativecommons.org/licenses/by-nc/4.0"),
+    ("CC-BY-SA-4.0", "creativecommons.org/licenses/by-sa/4.0"),
+    ("CC0-1.0", "creativecommons.org/publicdomain/zero/1.0"),
+    ("MIT", "opensource.org/licenses/MIT"),
+)
+#: Titles, which are notices only word for word and where they fill their lines.
+TITLES = (
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("ISC", "ISC License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+)
+TEMPLATES += (*((name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS), *ADDRESSES)
+CANDIDATE = re.compile(r"licen[cs]|copyright|creative[\W_]*commons|\bcc[\W_]?(?:by|0)\b|public[\W_]+domain|permission[\W_]+is[\W_]+hereby|redistribut|all[\W_]+rights[\W_]+reserved|gpl|unencumbered|eclipse|permission[\W_]+to[\W_]+use", re.IGNORECASE)
+#: A text without any of these has no match of CANDIDATE; the two letters match i there but don't fold to it.
+HINTS, OTHER_I = ("licen", "copyright", "commons", "cc", "domain", "permission", "redistribut", "rights", "gpl", "unencumbered", "eclipse"), ("\u0130", "\u0131")
+LEAST_SAVED = 0.2  # of the bytes that a template saves for itself: below that share it isn't compared by wording
 MAX_DIFFERENT = 0.15  # share of the template's words that may differ
 SHORT_DIFFERENT = 3  # a quarter of a short template's words may differ, at most so many and one at least
+LEVEL = 3  # of compression
 SHORT = 16  # words of a template whose core words are all required
 #: Words that tell licenses apart: required where a template has them, never added where it has not. So are version numbers.
-TELLING = frozenset("mit apache bsd clause gnu gpl lgpl agpl lesser affero library mozilla mpl eclipse cc cc0 nc sa nd noncommercial commercial sharealike noderivatives noderivs not no non".split())
+TELLING = frozenset("mit apache bsd clause gnu gpl lgpl agpl lesser affero library mozilla mpl eclipse epl isc unlicense gplv1 gplv2 gplv3 cc cc0 by zero nc sa nd noncommercial commercial sharealike noderivatives noderivs not no non".split())
 #: Words without which a short template says something else.
-CORE = frozenset("license general public creative commons attribution by domain all rights reserved".split())
+CORE = frozenset("license general public creative commons attribution domain spdx identifier all rights reserved".split())
 #: Words that deny a notice which begins up to NEGATION_REACH words later in the same clause.
 NEGATIONS = frozenset("not no never neither nor without cannot isn aren wasn weren don".split())
 NEGATION_REACH = 3
@@ -124,69 +157,102 @@ class Wording:
         return out
 
 
-@functools.cache
-def _worded(templates: tuple[tuple[str, str], ...]) -> list[Wording]:
-    return [Wording(t) for _, t in templates]
+class Templates:
+    """Wordings with their compressors; titles come last."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...], titles: tuple[tuple[str, str], ...]):
+        every = (*templates, *titles)
+        self.names, self.texts = [n for n, _ in every], [t.casefold().encode() for _, t in every]
+        self.wordings = [Wording(t) for _, t in every]
+        self.titles_from = len(templates)
+        self.reach = max(len(w.words) + w.most for w in self.wordings)
+        self._alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+        self._given = []
+        for t in self.texts:
+            known = zstandard.ZstdCompressionDict(t, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=LEVEL)
+            self._given.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False))
+        self.own = [max(1, self.saved(t, i)) for i, t in enumerate(self.texts)]
+
+    def saved(self, block: bytes, i: int) -> int:
+        """Bytes that template i saves in compressing the block."""
+        return len(self._alone.compress(block)) - len(self._given[i].compress(block))
+
+    def ranked(self, block: str) -> list[int]:
+        """The templates that save enough in the block, the largest share of their own bytes first."""
+        raw = block.casefold().encode(errors="replace")
+        alone = len(self._alone.compress(raw))
+        share = [(alone - len(c.compress(raw))) / own for c, own in zip(self._given, self.own, strict=True)]
+        return sorted((i for i, x in enumerate(share) if x >= LEAST_SAVED), key=lambda i: (-share[i], i))
 
 
 @functools.cache
-def _compressors(template: str | None) -> zstandard.ZstdCompressor:
-    """Of texts given the template, or of texts alone."""
-    if template is None:
-        return zstandard.ZstdCompressor(level=19)
-    return zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(template.casefold().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+def _of(templates: tuple[tuple[str, str], ...], titles: tuple[tuple[str, str], ...]) -> Templates:
+    return Templates(templates, titles)
 
 
-@functools.lru_cache(maxsize=50_000)
-def saved(passage: str, template: str) -> int:
-    """Bytes that the template saves in compressing the passage; case makes no difference."""
-    raw = passage.casefold().encode(errors="replace")
-    return len(_compressors(None).compress(raw)) - len(_compressors(template).compress(raw))
+class _Text:
+    """A text's words, and which of them notices have."""
 
+    def __init__(self, text: str):
+        self.text, self.found = text, list(_WORD.finditer(text))
+        self.starts, self.words = [m.start() for m in self.found], [_word(m[0]) for m in self.found]
+        self.taken = bytearray(len(self.words))
+
+    def denied(self, first: int) -> bool:
+        for i in range(first - 1, max(-1, first - 1 - NEGATION_REACH), -1):
+            if _CLAUSE_END.search(self.text, self.found[i].end(), self.starts[i + 1]):
+                return False
+            if self.words[i] in NEGATIONS:
+                return True
+        return False
 
-def notices(text: str, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[int, list[tuple[str, int, int]]]:
+    def passage(self, a: int, b: int) -> str:
+        return self.text[self.starts[a] : self.found[b - 1].end()]
+
+    def fills_lines(self, a: int, b: int) -> bool:
+        low = self.text.rfind("\n", 0, self.starts[a]) + 1
+        high = self.text.find("\n", self.found[b - 1].end())
+        return not _WORD.search(self.text, low, self.starts[a]) and not _WORD.search(self.text, self.found[b - 1].end(), len(self.text) if high < 0 else high)
+
+
+def notice_at(t: _Text, at: int, given: Templates, order: Callable[[str], Iterable[int]]) -> tuple[int, int, int, int] | None:
+    """(from, to, template, words different) of the notice that has the word ``at``: of the templates in order the first that its block words."""
+    low, high = max(0, at - given.reach), min(len(t.words), at + given.reach + 1)
+    block = t.words[low:high]
+    for i in order(t.passage(low, high)):
+        fits = [
+            (different, low + a, low + b)
+            for a, b, different in given.wordings[i].places(block)
+            if low + a <= at < low + b and not any(t.taken[low + a : low + b]) and not t.denied(low + a) and (i < given.titles_from or not different and t.fills_lines(low + a, low + b))
+        ]
+        if fits:
+            different, a, b = min(fits)
+            return a, b, i, different
+    return None
+
+
+def notices(text: str, templates: tuple[tuple[str, str], ...] = TEMPLATES, titles: tuple[tuple[str, str], ...] = TITLES) -> tuple[int, list[tuple[str, int, int]]]:
     """Lines with a match of CANDIDATE, and (SPDX id, bytes saved, words different) of each notice in order."""
+    low = text.casefold()
+    if not any(h in low for h in HINTS) and not any(c in text for c in OTHER_I):
+        return 0, []
     at = [m.start() for m in CANDIDATE.finditer(text)]
     if not at:
         return 0, []
-    wordings = _worded(templates)
-    reach = max(len(w.words) + w.most for w in wordings)
-    found = list(_WORD.finditer(text))
-    starts, words = [m.start() for m in found], [_word(m[0]) for m in found]
-    n_lines, line_end, stretches = 0, -1, []
+    t, given = _Text(text), _of(templates, titles)
+    n_lines, line_end, out = 0, -1, []
     for place in at:
         if place > line_end:
             n_lines += 1
             line_end = text.find("\n", place)
             line_end = len(text) if line_end < 0 else line_end
-        word = max(0, bisect.bisect_right(starts, place) - 1)
-        low, high = max(0, word - reach), min(len(words), word + reach + 1)
-        if stretches and low <= stretches[-1][1]:
-            stretches[-1][1] = high
-        else:
-            stretches.append([low, high])
-    def denied(first: int) -> bool:
-        for i in range(first - 1, max(-1, first - 1 - NEGATION_REACH), -1):
-            if _CLAUSE_END.search(text, found[i].end(), starts[i + 1]):
-                return False
-            if words[i] in NEGATIONS:
-                return True
-        return False
-
-    worded = []
-    for low, high in stretches:
-        block = words[low:high]
-        for i, wording in enumerate(wordings):
-            for a, b, different in wording.places(block):
-                if denied(low + a):
-                    continue
-                save = saved(text[starts[low + a] : found[low + b - 1].end()], templates[i][1])
-                worded.append((different / len(wording.words), -save, low + a, low + b, i, different))
-    taken, out = bytearray(len(words)), []
-    for _, save, a, b, i, different in sorted(worded):
-        if not any(taken[a:b]):
-            taken[a:b] = b"\1" * (b - a)
-            out.append((a, (templates[i][0], -save, different)))
+        word = max(0, bisect.bisect_right(t.starts, place) - 1)
+        found = None if t.taken[word] else notice_at(t, word, given, given.ranked)
+        if found:
+            a, b, i, different = found
+            t.taken[a:b] = b"\1" * (b - a)
+            out.append((a, (given.names[i], given.saved(t.passage(a, b).casefold().encode(errors="replace"), i), different)))
     return n_lines, [notice for _, notice in sorted(out)]
 
 
@@ -197,7 +263,9 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     of which a line may hold several. ``license`` is of the notice with the fewest
     differences, then most bytes saved, then earliest; null without one. ``licenses``
     lists the distinct ids in order.
-    Null and empty texts have no blocks. One narrow pass; templates have a fixed size.
+    Null and empty texts have no blocks, an empty table gives no rows, repeated rows stay. One
+    narrow pass; templates have a fixed size. A text of any length is read whole: beside its words
+    each candidate takes the compression of one block of some hundred bytes by every template.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -223,6 +223,52 @@ def test_license_wordings(spark):
     assert found and all(r.n_confirmed == r.n_blocks for r in found)
 
 
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+FORMS = {
+    "SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: CC-BY-SA-4.0\nx": "CC-BY-SA-4.0", "MIT License": "MIT", "see\n  MIT License  \nCopyright": "MIT", "the MIT License applies": None, "Licensed under GPLv3.": "GPL-3.0",
+    "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n": "GPL-2.0", ISC: "ISC", "This is free and unencumbered software released into the public domain.": "Unlicense",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "GPL-2.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at": "EPL-2.0", "https://creativecommons.org/licenses/by/4.0/": "CC-BY-4.0", "https://creativecommons.org/licenses/by-nc/4.0/": "CC-BY-NC-4.0",
+    "l\u0131censed under the M\u0130T licence": None,
+}
+
+
+def test_license_forms():
+    for text, want in FORMS.items():
+        assert [n for n, _, _ in licenses.notices(text)[1]] == ([want] if want else []), text
+
+
+def test_ranking_loses_no_notice(spark):
+    """Against every template compared by wording alone, without compression: the smallest share of different words wins."""
+    import bisect
+
+    given = licenses._of(licenses.TEMPLATES, licenses.TITLES)
+
+    def plain(text):
+        t, out = licenses._Text(text), []
+        for m in licenses.CANDIDATE.finditer(text):
+            at = max(0, bisect.bisect_right(t.starts, m.start()) - 1)
+            found = [] if t.taken[at] else [f for i in range(len(given.wordings)) if (f := licenses.notice_at(t, at, given, lambda block: [i]))]
+            if found:
+                a, b, i, different = min(found, key=lambda f: (f[3] / len(given.wordings[f[2]].words), -given.saved(t.passage(f[0], f[1]).casefold().encode(), f[2])))
+                t.taken[a:b] = b"\1" * (b - a)
+                out.append((a, given.names[i], different))
+        return [x[1:] for x in sorted(out)]
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()] + [*FORMS, *(t for _, t in licenses.TEMPLATES)]
+    assert sum(len(plain(t)) for t in texts) > 50
+    for t in texts:
+        assert [(n, d) for n, _, d in licenses.notices(t)[1]] == plain(t)
+
+
+def test_compression_decides():
+    """A template that saves too little in a block isn't compared; without any saving there is no notice."""
+    given = licenses._of(licenses.TEMPLATES, licenses.TITLES)
+    names = lambda block: [given.names[i] for i in given.ranked(block)]
+    assert names("some words. Released under the MIT License. more words")[0] == "MIT" and names("nothing of the kind stands here") == []
+    assert len(names("This work is licensed under the GNU General Public License, version 3.")) < len(given.names)
+
+
 def test_license_places(spark):
     many = " ".join(f"w{i}rd" for i in range(20_000))
     rows = {
