@@ -20,9 +20,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import distinct, mapped, word_slices, written
+from helixframe.llm.common import distinct, mapped, scratch, word_slices, written
 
-SAMPLE_ROWS = 6_000  # rows that the SVM is fitted on, at most; counts cover all rows
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 96 << 20  # rows that the SVM is fitted on and bytes of their features, at most; counts cover all rows
 KEEP_ROWS = 512  # rows scored and filtered at once
 WORD_BITS = 17  # of the table of words and pairs
 _CLASSES = 32
@@ -182,11 +182,11 @@ def _calibrate(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 and math.isfinite(a) else (1.0, 0.0)
 
 
-def fit(training: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(training: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from rows (doc_id, features, label 0 or 1).
 
     The ratios cover all rows. The SVM sees at most ``sample_rows`` rows, those whose
-    ids hash lowest. Without rows of both classes every score is the share of label 1
+    ids hash lowest, as many of them as have ``sample_bytes`` of features together (one at least). Without rows of both classes every score is the share of label 1
     (without any rows 0.5).
     """
     ratios, n0, n1 = log_count_ratios(training)
@@ -197,7 +197,10 @@ def fit(training: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
     hashed = training.select("features", "label", at.alias("at"))
     if n0 + n1 > sample_rows:  # so that the driver gets few more rows than it keeps
         hashed = hashed.where(F.col("at") < int(2**52 * (1.1 * sample_rows + 500) / (n0 + n1)))
-    rows = hashed.orderBy("at", "label", "features").limit(sample_rows).collect()
+    # first the sizes, then the rows that fit
+    sizes = [r["size"] for r in hashed.select("at", "label", F.length("features").alias("size")).orderBy("at", "label", "size").limit(sample_rows).collect()]
+    fits = int(np.searchsorted(np.cumsum(sizes), sample_bytes, side="right"))
+    rows = hashed.orderBy("at", "label", F.length("features"), "features").limit(max(1, fits)).collect()
     sets = [np.frombuffer(r["features"], dtype=np.uint32) for r in rows]
     labels = np.array([r["label"] for r in rows])
     weights, bias = fit_hinge(sets, labels, ratios)
@@ -219,7 +222,9 @@ def _learnt(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(~held_out())
-    return docs.sparkSession.sparkContext.broadcast(fit(written(features(rows.join(known.hint("merge"), "doc_id")), "features"), sample_rows=sample_rows))
+    with scratch(docs.sparkSession):  # nothing reads the features after the fit
+        model = fit(written(features(rows.join(known.hint("merge"), "doc_id")), "features"), sample_rows=sample_rows)
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
