@@ -171,8 +171,7 @@ def vectors_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.vectors().select("id", "title", F.size("vector").alias("n"))
 
 
-def articles_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded searches and summaries; every tenth order's search isn't JSON and is skipped."""
+def _recorded(spark: SparkSession, sf_dir: str) -> str:
     path = fresh_path(spark, "responses")
     items = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("string").alias("part")).distinct()
     gene = F.col("o").cast("string")
@@ -181,6 +180,17 @@ def articles_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.struct("part", F.struct(F.when(F.col("o") % 3 > 0, F.concat(F.lit("Part "), "part")).alias("title"), F.when(F.col("o") % 4 > 0, "1999 Jan").alias("pubdate"), F.lit("").alias("source")))
     some = items.where("cast(part as int) % 2 = 1").groupBy("o").agg(F.map_from_entries(F.collect_list(entry)).alias("result"))
     some.select(F.to_json(F.struct(gene.alias("gene"), "result"))).write.text(f"{path}/summaries")
+    return path
+
+
+def articles_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches that aren't JSON, counted by what they are."""
+    return read_responses(spark, f"{_recorded(spark, sf_dir)}/ids", ID_LIST, bad=True).groupBy("bad").agg(F.count("*").alias("n"))
+
+
+def articles_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded searches and summaries; every tenth order's search isn't JSON and is left out."""
+    path = _recorded(spark, sf_dir)
     found = articles(read_responses(spark, f"{path}/ids", ID_LIST).select("gene", "esearchresult.idlist"), read_responses(spark, f"{path}/summaries", SUMMARIES), 3)
     return found.withColumn("ord", F.col("ord").cast("bigint"))
 
@@ -206,7 +216,7 @@ def benchmark_file_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (article_embeddings, articles_to_hits, versioned_upsert, ingest_committed, scan_text, scan_gzip, scan_bgzf, evidence_line_order, line_numbers, annotations_tsv, annotations_tsv_raw, store_modes, evidence_other_root, vectors_json, vectors_overwritten, articles_recorded, benchmark_file, benchmark_file_evidence)
+    own = (article_embeddings, articles_to_hits, versioned_upsert, ingest_committed, scan_text, scan_gzip, scan_bgzf, evidence_line_order, line_numbers, annotations_tsv, annotations_tsv_raw, store_modes, evidence_other_root, vectors_json, vectors_overwritten, articles_recorded, articles_rejected, benchmark_file, benchmark_file_evidence)
     return {f.__name__: f for f in own}
 
 
@@ -241,6 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "evidence_other_root": VIEWS_SQL + f"SELECT rsid, gene, user_genotype, phenotype, clinical_significance, evidence_note FROM shown JOIN part ON c_ord = p_partkey WHERE (gene = '{TARGET}' OR rsid = '{TARGET}') AND clinical_significance IN ('Pathogenic', 'Likely Pathogenic', 'Risk Factor') AND p_size > 25",
         "vectors_json": "SELECT vec_id AS id, 'p' || vec_id AS pmid, 'title \"' || vec_id AS title, 'about ' || vec_id AS abstract, '2025' AS year, 'G' || vec_id AS gene, len(embedding)::INT AS n, round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE, 4))), 4) AS total FROM embeddings",
         "vectors_overwritten": "SELECT vec_id AS id, 'title \"' || vec_id AS title, len(embedding)::INT AS n FROM embeddings WHERE vec_id % 2 = 1",
+        "articles_rejected": "SELECT '<html>' AS bad, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_orderkey % 10 = 0",
         "articles_recorded": f"WITH i AS (SELECT DISTINCT l_orderkey AS o, l_partkey::VARCHAR AS part FROM lineitem WHERE l_orderkey % 10 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY part) - 1 AS ord FROM i) SELECT o::VARCHAR AS gene, part AS pmid, ord, {title} AS title, {year} AS year, {title} || '. Published in Medical Journal (' || {year} || '). Clinical focus on ' || o || '{FOCUS}' AS abstract FROM r WHERE ord < 3 AND part::INT % 2 = 1",
         "benchmark_file": f"WITH {clinical}, {background} SELECT {fields.format(repr('99.9'), "'RS=' || rsid || ';GENE=' || gene || ';CLNSIG=' || regexp_replace(clinical_significance, '[[:space:]]+', '_', 'g')", repr(':99:65'))} AS value FROM known UNION ALL SELECT {fields.format(repr('98.5'), "'RS=' || rsid || ';GENE=GENE_' || substr(chrom, 4)", repr(':85:40'))} FROM background UNION ALL SELECT * FROM (VALUES {header}) UNION ALL SELECT concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', '{SAMPLE}')",
         "benchmark_file_evidence": f"WITH {clinical}, {background} SELECT v.rsid, gene, {served.replace('gt_raw', 'v.gt_raw').replace('ref', 'v.ref').replace('alt', 'v.alt')} AS user_genotype, phenotype, clinical_significance, evidence_note FROM (SELECT chrom, pos, rsid, ref, alt, gt_raw FROM known UNION ALL SELECT * FROM background) v JOIN known k ON v.rsid = k.rsid WHERE clinical_significance IN ('Pathogenic', 'Likely Pathogenic', 'Risk Factor', 'Drug Response') ORDER BY ALL LIMIT 10",

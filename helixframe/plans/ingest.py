@@ -16,6 +16,7 @@ from helixframe.schemas import MAX_POSITION
 from helixframe.sources.store import Store
 from helixframe.sources.vcf import parse_lines, parsed, read_lines
 from helixframe.sources.versions import VersionedStore
+from helixframe.streaming.lines import records_read, with_progress
 
 STEPS = ("DOWNLOADING_S3", "PARSING_VCF", "VALIDATING", "COMPLETED", "ERROR")
 STEP_SECONDS = 600.0  # a step's jobs are cancelled after these
@@ -103,6 +104,7 @@ class Ingestion:
     spark: SparkSession
     store: Store
     report: Callable[[Progress], None] = lambda p: None
+    seconds: float = 0.5  # between reports while lines are parsed
     history: list[Progress] = field(default_factory=list)
 
     @property
@@ -130,7 +132,12 @@ class Ingestion:
                 raise SourceError(f"{path}: {e}") from e
             self._say("PARSING_VCF", path, 55, "parsing records")
             name = batch or uuid.uuid4().hex
-            counted = retry(lambda: timed(self.spark, lambda: self._write(lines, user, path, mode, name), seconds), first_wait=wait)
+
+            def meanwhile(tasks: int, every: int) -> None:
+                share = tasks / every if every else 0.0
+                self._say("PARSING_VCF", path, max(self.last.percentage, 55 + 24 * share), "parsing records", records_read(self.spark))
+
+            counted = retry(lambda: with_progress(self.spark, lambda: timed(self.spark, lambda: self._write(lines, user, path, mode, name), seconds), meanwhile, self.seconds), first_wait=wait)
             if counted:
                 self._say("PARSING_VCF", path, 80, "all lines parsed", counted["lines"], counted["lines"])
             self._say("VALIDATING", path, 85, "checking the stored table")

@@ -32,9 +32,15 @@ def targets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TARGETS, "gene string, query string").withColumn("term", uri_component(F.col("query")))
 
 
-def read_responses(spark: SparkSession, path: str, response: str) -> DataFrame:
-    """Recorded responses, a JSON object with its gene in each line; those that aren't JSON are skipped."""
-    return spark.read.schema(f"gene string, {response}").option("mode", "DROPMALFORMED").json(path)
+def read_responses(spark: SparkSession, path: str, response: str, *, bad: bool = False) -> DataFrame:
+    """Recorded responses, a JSON object with its gene in each line.
+
+    With ``bad`` the lines that aren't such objects instead, in a column ``bad``, so that they can be counted.
+    """
+    lines = spark.read.text(path).where(F.length("value") > 0)
+    read = lines.select(F.from_json("value", f"gene string, {response}, bad string", {"columnNameOfCorruptRecord": "bad"}).alias("r"), "value")
+    wrong = F.col("r").isNull() | F.col("r.bad").isNotNull()
+    return read.where(wrong).select(F.col("value").alias("bad")) if bad else read.where(~wrong).select("r.*").drop("bad")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:

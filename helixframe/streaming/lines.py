@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from helixframe.sources.versions import VersionedStore
 from helixframe.sources.vcf import parse_lines, valid_lines
 
+T = TypeVar("T")
+
 
 def stream_vcf(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
     """Parse what is new in a folder of variant files into Parquet, then stop; the parser keeps no state."""
@@ -30,10 +34,14 @@ def stream_into(spark: SparkSession, folder: str, store: VersionedStore, user: s
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def with_progress(spark: SparkSession, job: Callable[[], None], report: Callable[[int, int], None], seconds: float = 0.5) -> None:
-    """Run a Spark job and report (finished, all) tasks of its stages meanwhile."""
-    import threading
+def records_read(spark: SparkSession) -> int:
+    """Records that the stages at work have read so far, as the executors last reported."""
+    stages = spark.sparkContext._jsc.sc().statusStore().activeStages()
+    return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+
 
+def with_progress(spark: SparkSession, job: Callable[[], T], report: Callable[[int, int], None], seconds: float = 0.5) -> T:
+    """``job()``, reporting (finished, all) tasks of the stages at work meanwhile."""
     ended = threading.Event()
     tracker = spark.sparkContext.statusTracker()
 
@@ -45,7 +53,7 @@ def with_progress(spark: SparkSession, job: Callable[[], None], report: Callable
     thread = threading.Thread(target=watch, daemon=True)
     thread.start()
     try:
-        job()
+        return job()
     finally:
         ended.set()
         thread.join()

@@ -165,3 +165,27 @@ def test_retry_and_empty_file(spark, tmp_path):
 def test_benchmark_table(spark):
     rows = spark.createDataFrame(CLINICAL, CLINICAL_SCHEMA)
     assert rows.count() == 14 and [evidence(rows.drop("gene", "phenotype", "clinical_significance", "evidence_note"), rows.drop("ref", "alt", "gt_raw"), None, p).count() for p in ("served", "strict")] == [10, 7]
+
+
+def test_variant_file_in_parts(spark, tmp_path):
+    """K8: the parts in the order of their names are one file, its header first and once."""
+    from helixframe.sources.vcf import HEADER, write_vcf
+
+    rows = [(f"chr{i % 3 + 1}", 10**6 - i, f"rs{i}", "A", "C", "0/1") for i in range(2000)]
+    write_vcf(spark.createDataFrame(rows, "chrom string, pos long, rsid string, ref string, alt string, gt_raw string").repartition(5), str(tmp_path / "v"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "v").glob("part-*"))).splitlines()
+    assert text[: len(HEADER)] == list(HEADER) and text[len(HEADER)].startswith("#CHROM")
+    body = [x.split("\t") for x in text[len(HEADER) + 1 :]]
+    assert [(x[0], int(x[1])) for x in body] == sorted((c, p) for c, p, *_ in rows)
+
+
+def test_progress_of_an_ingestion(spark, tmp_path):
+    """Lines read are reported while the file is parsed, then all of all."""
+    from helixframe.sources.versions import VersionedStore
+
+    (tmp_path / "a.vcf").write_text("".join(f"1\t{i}\trs{i}\tA\tC\t9\tPASS\t.\tGT\t0/1\n" for i in range(400_000)))
+    run = Ingestion(spark, VersionedStore(spark, str(tmp_path / "s")), seconds=0.05)
+    run.run("u", str(tmp_path / "a.vcf"))
+    parsing = [p for p in run.history if p.step == "PARSING_VCF"]
+    assert len(parsing) > 2 and (parsing[-1].done, parsing[-1].total, parsing[-1].text) == (400_000, 400_000, "100.0%")
+    assert all(p.done is None or p.done <= 400_000 for p in parsing) and [p.percentage for p in run.history] == sorted(p.percentage for p in run.history)
