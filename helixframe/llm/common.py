@@ -20,12 +20,14 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-with contextlib.suppress(OSError, AttributeError):
-    # arrays of 8 MB and more leave the process when they are freed (glibc's M_MMAP_THRESHOLD)
-    ctypes.CDLL("libc.so.6").mallopt(-3, 8 << 20)
+if TaskContext.get() is not None:  # in a Python worker, not in a process of the user's
+    with contextlib.suppress(OSError, AttributeError):
+        # arrays of 8 MB and more leave the process when they are freed (glibc's M_MMAP_THRESHOLD)
+        ctypes.CDLL("libc.so.6").mallopt(-3, 8 << 20)
 
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 19  # texts taken together
@@ -125,9 +127,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def mapped(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with this package on the executors."""
+    """``mapInArrow`` with this package on the executors; a worker gives back what it has freed when its task ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 # ---- numpy hashing of words and word sequences -------------------------------
