@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -53,9 +53,17 @@ def fixed(value: Column, digits: int, half: str = "even") -> Column:
     """
     if digits not in (0, 1, 2) or half not in ("even", "up"):
         raise ValueError("0 to 2 digits, half even or up")
+    # the value is bound first: a column inside a lambda could be taken for an alias of the same select
+    return _let(value, lambda v: _fixed(v, digits, half))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fixed(value: Column, digits: int, half: str) -> Column:
     size = F.abs(value)
     power = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
-    let = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))
 
     def scaled(k: Column) -> Column:
         """size * 2**k, which is exact."""
@@ -70,9 +78,9 @@ def fixed(value: Column, digits: int, half: str = "even") -> Column:
 
     # the logarithm may be off by one next to a power of two
     guess = F.least(F.greatest(F.lit(52) - F.floor(F.log2(size)), F.lit(0)), F.lit(60)).cast("int")
-    near = let(guess, lambda k: F.when((k > 0) & (scaled(k) >= 2.0**53), k - 1).when((k < 60) & (scaled(k) < 2.0**52), k + 1).otherwise(k))
+    near = _let(guess, lambda k: F.when((k > 0) & (scaled(k) >= 2.0**53), k - 1).when((k < 60) & (scaled(k) < 2.0**52), k + 1).otherwise(k))
     # below 2**-8 even the second decimal is zero
-    units = F.when(size < 2.0**-8, F.lit(0).cast("bigint")).otherwise(let(near, of))
+    units = F.when(size < 2.0**-8, F.lit(0).cast("bigint")).otherwise(_let(near, of))
     unit = 10**digits
 
     def written(n: Column) -> Column:
@@ -81,7 +89,7 @@ def fixed(value: Column, digits: int, half: str = "even") -> Column:
         return F.concat(F.call_function("div", n, F.lit(unit)).cast("string"), F.lit("."), F.lpad((n % unit).cast("string"), digits, "0"))
 
     zeros = F.lit("." + "0" * digits if digits else "")
-    text = F.when(size >= 2.0**52, F.concat(F.when(size < 2.0**63, size.cast("bigint").cast("string")).otherwise(size.cast("decimal(38,0)").cast("string")), zeros)).otherwise(let(units, written))
+    text = F.when(size >= 2.0**52, F.concat(F.when(size < 2.0**63, size.cast("bigint").cast("string")).otherwise(size.cast("decimal(38,0)").cast("string")), zeros)).otherwise(_let(units, written))
     signed = F.concat(F.when(value < 0, "-").otherwise(""), text)
     odd = F.isnan(value) | (size > 1e38)
     return F.when(odd, value.cast("string")).otherwise(signed)

@@ -104,7 +104,7 @@ def ingest_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = [Ingestion(spark, store), Ingestion(spark, store)]
     for run in runs:
         run.run("u", path, mode="append", batch="file")
-    done = next(p for p in runs[0].history if p.done is not None)
+    done = next(p for p in runs[0].history if p.total is not None)
     return store.variants("u").groupBy("chrom").agg(F.count("*").alias("n"), F.sum("pos").alias("positions")).select("*", F.lit(done.done).cast("bigint").alias("lines"), F.lit(done.text).alias("shown"))
 
 

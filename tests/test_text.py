@@ -37,3 +37,9 @@ def test_percentages(spark):
 def test_no_numbers(spark):
     df = spark.createDataFrame([(x,) for x in (math.inf, -math.inf, math.nan, None)], "x double")
     assert [r[0] for r in df.select(fixed(F.col("x"), 1)).collect()] == ["Infinity", "-Infinity", "NaN", None]
+
+
+def test_column_not_its_alias(spark):
+    """A select that also rounds the column under its own name."""
+    df = spark.createDataFrame([(-0.07114998230862801,)], "score double")
+    assert df.select(F.round("score", 6).alias("score"), score_text(F.col("score")).alias("shown")).first() == (-0.07115, "-7.11%")
