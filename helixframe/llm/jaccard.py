@@ -260,13 +260,18 @@ def _linkable(rows: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     m elements there it must share percent / (100 + percent) of n + m, so it can do without
     all partners if that is more than ``free`` for the smallest m that shares a signature.
     """
-    docs = rows.select("rep", "root").distinct()
-    elements = written(kept.select("rep", F.explode("shingles").alias("e")).join(docs, "rep"), "elements")
+    docs = written(rows.select("rep", "root").distinct(), "docs")
+    elements = written(kept.select("rep", "shingles").join(docs, "rep").select("rep", "root", F.explode("shingles").alias("e")), "elements")
     shared = elements.groupBy("e").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("e")
     free = _with_groups(elements, shared, "e").groupBy("rep").agg(F.count("*").alias("free"))
     low = rows.groupBy("signature").agg(F.min("n").alias("low"))
     counted = _with_groups(rows.drop("free").join(free, "rep"), low, "signature")
-    return counted.where(F.col("free") * (100 + percent) >= (F.col("n") + F.col("low")) * percent).select("signature", "rep", "n", "free")
+    return written(counted.where(F.col("free") * (100 + percent) >= (F.col("n") + F.col("low")) * percent).select("signature", "rep", "n", "free"), "linkable")
+
+
+def _within(kept: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sets that stand in ``rows``, written: most don't, and whoever reads sets moves whole arrays."""
+    return written(kept.join(written(rows.select("rep").distinct(), "docs"), "rep", "left_semi").select("rep", "shingles"), "kept")
 
 
 def _heads(members: DataFrame, rank) -> DataFrame:
@@ -291,6 +296,7 @@ def _classes(kept: DataFrame, percent: int) -> DataFrame:
     for _ in range(2):  # fewer sets share fewer elements
         if _many_pairs(rest):
             rest = written(_open(_linkable(rest, kept, percent), roots), "open")
+            kept = _within(kept, rest)
     if _many_pairs(rest):  # another of each signature by chance: a set meets as many as it has signatures
         found = written(_shared_links(_fitting(_heads(rest, F.xxhash64("rep", "signature")), percent), kept, percent), "links")
         if not found.isEmpty():

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import fingerprint, host_rules, jaccard, licenses, mixing, pii, quality, substrings
+from helixframe.llm.common import scratch
 from helixframe.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -75,6 +76,24 @@ def test_edited_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == classes(rows)
 
 
+def test_sets_asked_for_narrow_down(spark, monkeypatch):
+    """Who stands in no open signature any more isn't read again, and a bound is worked out once."""
+    sets = {1: range(100), 2: range(100, 200), 3: [*range(50), *range(100, 150)], 4: [*range(50), *range(150, 200)], 5: range(50, 150), 6: range(1000, 1100)}
+    kept = spark.createDataFrame([(d, len(s), [7], list(s)) for d, s in sets.items()], "rep long, n long, signatures array<long>, shingles array<long>")
+    seen, own = [], jaccard._linkable
+
+    def linkable(rows, kept, percent):
+        found = own(rows, kept, percent)
+        seen.append((kept.count(), found.count(), "Join" in found._jdf.queryExecution().executedPlan().toString()))
+        return found
+
+    monkeypatch.setattr(jaccard, "_linkable", linkable)
+    monkeypatch.setattr(jaccard, "_many_pairs", lambda rows: True)
+    with scratch(spark):
+        assert jaccard._classes(kept, 80).collect() == []
+    assert seen == [(6, 5, False), (5, 5, False)]
+
+
 def test_components(spark):
     import random
 
