@@ -29,6 +29,7 @@ _HEAD = struct.Struct("<4sIQ")
 _MAGIC = b"HWM2"
 _STEP = 512
 _SOME = 4096  # occurrences looked up at once
+_PART = 1 << 16  # bits of a plane taken together, whose places stay in a core's cache
 
 FILE_SCHEMA = "shard bigint, block bigint, doc_ids array<bigint>, doc_tokens array<bigint>, n_ids bigint, payload binary"
 
@@ -41,6 +42,11 @@ def _counts(plane: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(steps)]).astype("<u4")
 
 
+def _filtered(values: np.ndarray, plane: np.ndarray) -> np.ndarray:
+    """The values at the ones of a packed plane; Arrow reads the packed bits, about twice as fast as numpy goes by masks."""
+    return pa.array(values).filter(pa.BooleanArray.from_buffers(pa.bool_(), len(values), [None, pa.py_buffer(plane)])).to_numpy()
+
+
 class WaveletMatrix:
     """A sequence of non-negative integers as bit planes with rank and select."""
 
@@ -55,11 +61,11 @@ class WaveletMatrix:
         v = v.astype(np.uint16) if bits <= 16 else v
         zeros, planes = [], []
         for b in range(bits - 1, -1, -1):
-            one = (v & v.dtype.type(1 << b)) != 0
-            planes.append(np.packbits(one, bitorder="little"))
-            low = v[~one]
+            plane = np.packbits((v & v.dtype.type(1 << b)) != 0, bitorder="little")
+            planes.append(plane)
+            low, high = _filtered(v, ~plane), _filtered(v, plane)
             zeros.append(len(low))
-            v = np.concatenate([low, v[one]])
+            v = np.concatenate([low, high])
         return cls(len(v), zeros, planes, [_counts(p) for p in planes])
 
     def to_bytes(self) -> bytes:
@@ -147,9 +153,14 @@ class WaveletMatrix:
         """All values in order, from the lowest plane up."""
         values = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
         for b, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
-            one = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
-            above = np.empty_like(values)
-            above[~one], above[one] = values[:zeros], values[zeros:] | values.dtype.type(1 << b)
+            above, ones = np.empty_like(values), 0
+            for low in range(0, self.n, _PART):
+                part = above[low : low + _PART]
+                one = np.unpackbits(plane[low >> 3 : (low + _PART) >> 3], count=len(part), bitorder="little").view(bool)
+                at, off = np.flatnonzero(one), np.flatnonzero(~one)
+                part[at] = values[zeros + ones : zeros + ones + len(at)] | values.dtype.type(1 << b)
+                part[off] = values[low - ones : low - ones + len(off)]
+                ones += len(at)
             values = above
         return values.astype(np.uint32)
 
