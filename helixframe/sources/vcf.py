@@ -47,10 +47,10 @@ def _once(df: DataFrame, name: str, value: Column, keep: Sequence[str]) -> DataF
     return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
-def parsed(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+def parsed(lines: DataFrame, column: str = "value", keep: Sequence[str] = (), last: int = MAX_POSITION) -> DataFrame:
     """Every line with its variant columns, those to ``keep`` (not named ``f`` or ``k``) and ``reject``, null for a valid record.
 
-    Reasons, first that fits: comment (or blank, or null), arity, position, format, genotype.
+    Reasons, first that fits: comment (or blank, or null), arity, position (none, or beyond ``last``), format, genotype.
     """
     # ten fields and the rest: further samples aren't cut up
     split = _once(lines, "f", F.split(trim_all(F.coalesce(F.col(column), F.lit(""))), "\t", 11), keep)
@@ -64,17 +64,17 @@ def parsed(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) ->
     reject = (
         F.when(field(0).startswith("#") | ((field(0) == "") & (F.size("k.f") == 1)), "comment")
         .when(F.size("k.f") < 10, "arity")
-        .when(F.coalesce(F.col("k.n") > MAX_POSITION, F.lit(True)), "position")
+        .when(F.coalesce(F.col("k.n") > last, F.lit(True)), "position")
         .when(F.col("k.at") == 0, "format")
         .when(genotype.isNull(), "genotype")
     )
-    pos = F.when(F.col("k.n") <= MAX_POSITION, F.col("k.n"))
+    pos = F.when(F.col("k.n") <= last, F.col("k.n"))
     return keyed.select(*keep, field(0).alias("chrom"), pos.alias("pos"), field(2).alias("rsid"), field(3).alias("ref"), field(4).alias("alt"), genotype.alias("gt_raw"), reject.alias("reject"))
 
 
-def parse_lines(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+def parse_lines(lines: DataFrame, column: str = "value", keep: Sequence[str] = (), last: int = MAX_POSITION) -> DataFrame:
     """S3: the valid records as variants; all others are dropped."""
-    return parsed(lines, column, keep).where("reject is null").drop("reject")
+    return parsed(lines, column, keep, last).where("reject is null").drop("reject")
 
 
 def read_vcf(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
