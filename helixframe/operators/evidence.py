@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.genotype import decode
-from helixframe.schemas import EVIDENCE, PROFILES, Profile
+from helixframe.schemas import ANNOTATIONS, EVIDENCE, PROFILES, Profile
 from helixframe.sources.store import fresh_path
 
 
@@ -26,6 +26,14 @@ def _joined(variants: DataFrame, annotations: DataFrame) -> DataFrame:
     return v.join(c, ["rsid", salt]).drop(salt)
 
 
+def _significant(annotations: DataFrame, target: str | None, p: Profile) -> DataFrame:
+    """The annotations of a gene or rsid, or all, that the profile keeps."""
+    c = annotations
+    if target is not None:
+        c = c.where((F.col("gene") == target) | (F.col("rsid") == target))
+    return c if p.significance is None else c.where(F.col("clinical_significance").isin(*p.significance))
+
+
 def evidence(variants: DataFrame, annotations: DataFrame, target: str | None = None, profile: str | Profile = "served", *, order: Sequence[str] = (), phased: bool = False) -> DataFrame:
     """Variants joined with annotations by rsid, for a gene or rsid, or all.
 
@@ -34,13 +42,8 @@ def evidence(variants: DataFrame, annotations: DataFrame, target: str | None = N
     scan; whether that side is broadcast is left to the optimizer, which knows its size.
     """
     p = PROFILES[profile] if isinstance(profile, str) else profile
-    c = annotations
-    if target is not None:
-        c = c.where((F.col("gene") == target) | (F.col("rsid") == target))
-    if p.significance is not None:
-        c = c.where(F.col("clinical_significance").isin(*p.significance))
     genotype = decode(F.col("gt_raw"), F.col("ref"), F.col("alt"), exact=p.exact_decode, phased=phased)
-    rows = _joined(variants, c).withColumn("user_genotype", genotype)
+    rows = _joined(variants, _significant(annotations, target, p)).withColumn("user_genotype", genotype)
     if p.drop_nulls:
         rows = rows.dropna(subset=EVIDENCE.names)
     if p.limit is not None:
@@ -48,6 +51,22 @@ def evidence(variants: DataFrame, annotations: DataFrame, target: str | None = N
     return rows.select(EVIDENCE.names)
 
 
+def evidence_counts(variants: DataFrame, annotations: DataFrame, target: str | None = None, profile: str | Profile = "served", *, phased: bool = False) -> DataFrame:
+    """The rows of ``evidence`` without its limit, each once, with their number ``n``.
+
+    Equal variants and equal annotations are counted before they meet, so the join makes a row for each
+    pair of different ones: unnamed variants, which all meet all unnamed annotations, count as many as they have forms.
+    """
+    p = PROFILES[profile] if isinstance(profile, str) else profile
+    genotype = decode(F.col("gt_raw"), F.col("ref"), F.col("alt"), exact=p.exact_decode, phased=phased)
+    v = variants.groupBy("rsid", genotype.alias("user_genotype")).agg(F.count("*").alias("n_variants"))
+    c = _significant(annotations, target, p).groupBy(*ANNOTATIONS.names).agg(F.count("*").alias("n_annotations"))
+    rows = _joined(v, c)
+    if p.drop_nulls:
+        rows = rows.dropna(subset=EVIDENCE.names)
+    return rows.select(*EVIDENCE.names, (F.col("n_variants") * F.col("n_annotations")).alias("n"))
+
+
 def find_first(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The first row, by all columns, that has the value."""
     return rows.where(F.col(key) == value).orderBy(*rows.columns).limit(1)
