@@ -78,3 +78,31 @@ def test_exact_search_of_unequal_lengths(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0, 5.0]), (4, []), (5, None)], "id long, vector array<double>")
     got = found(top_k_of_each(df, df.where("id = 1"), 3))
     assert got == {1: [(1, 1.0), (2, 1.0), (3, 0.0)]}
+
+
+def test_queries_move_once_for_each_part():
+    """Forty lists in four parts: a query goes to four parts at most, however many lists it looks at."""
+    rng = np.random.default_rng(4)
+    centroids, asked = index._unit(rng.normal(size=(40, 8))), rng.normal(size=(100, 8))
+    parts = index._parts([(i, 1000) for i in range(40)], 8, 2)
+    assert sorted({p for p, _ in parts.values()}) == [0, 1, 2, 3] and all(n == 1 for _, n in parts.values())
+    for probes in (1, 5, 40):
+        moved = [(p, int(key)) for p, keys, *_ in index._asked(np.arange(100), asked, centroids, parts, probes) for key in keys]
+        near = index._nearest(index._unit(asked), centroids, probes)
+        assert sorted(moved) == sorted({(parts[int(i)][0], q) for q in range(100) for i in near[q]})
+    long = index._parts([(0, 10), (1, 9000), (2, 10)], 8, 1)
+    assert long == {0: (0, 1), 1: (1, 2), 2: (3, 1)}
+
+
+def test_many_parts_and_near_ties(spark, tmp_path, monkeypatch):
+    """Lists in many parts, one dealt over several, pairs in small portions, scores closer than short floats tell: as the exact search."""
+    for name, value in (("PART_ROWS", 8), ("PART_BYTES", 8 * 4 * 16), ("BLOCK", 8), ("PAIRS", 16)):
+        monkeypatch.setattr(index, name, value)
+    rng = np.random.default_rng(6)
+    close = [(i, [1.0, 1.0, 1.0, 1.0 + 1e-4 * (i % 37)]) for i in range(120)]
+    rows = close + [(200 + i, rng.normal(size=4).tolist()) for i in range(120)] + [(500, [0.0] * 4), (501, [1e-200] * 4), (502, [-1.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    ix = VectorIndex.build(df, str(tmp_path / "ix"), lists=5)
+    assert found(ix.search(df, 4, probes=5)) == found(top_k_of_each(df, df, 4))
+    few = found(ix.search(df, 4, probes=2))
+    assert few.keys() == {r[0] for r in rows if any(r[1])}
