@@ -47,3 +47,9 @@ def test_keys(spark, on_cluster, monkeypatch):
         assert queries.secret(spark) == "given"
     finally:
         spark.conf.unset(queries.SECRET_SETTING)
+
+
+def test_pipeline_without_a_key(on_cluster):
+    """All five stages run, the third with one key throughout."""
+    with pytest.warns(UserWarning, match="this application only"):
+        assert corpus_pipeline.run(on_cluster, DIR).count() > 0
